@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from . import warc
+from pyspark.sql import functions as F
+
+from . import simhash, warc
 from .shared import table
 
 
@@ -12,7 +14,13 @@ def op1_warc(spark, sf_dir):
     return warc.read_records(index).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES = {"op1_warc": op1_warc}
+def op3_simhash(spark, sf_dir):
+    """Fingerprint every document and name its component of linked fingerprints."""
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+QUERIES = {"op1_warc": op1_warc, "op3_simhash": op3_simhash}
 
 ORACLE_SQL = {
     "op1_warc": """
