@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
+
 from pyspark.sql import functions as F
 
-from . import simhash, warc
+from . import packing, simhash, sstable, warc
 from .shared import table
 
 
@@ -20,7 +22,18 @@ def op3_simhash(spark, sf_dir):
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-QUERIES = {"op1_warc": op1_warc, "op3_simhash": op3_simhash}
+def op7_sstable(spark, sf_dir):
+    """Write the ids of every document into sorted-string-table shards and read the shards back."""
+    shards = sstable.write_shards(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+    return sstable.read_shards(shards)
+
+
+def op10_packing(spark, sf_dir):
+    """Pack every document into sequences of at most 1024 tokens."""
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
+
+
+QUERIES = {"op1_warc": op1_warc, "op3_simhash": op3_simhash, "op7_sstable": op7_sstable, "op10_packing": op10_packing}
 
 ORACLE_SQL = {
     "op1_warc": """

@@ -13,6 +13,7 @@ dropped, whatever their names.
 from __future__ import annotations
 
 import hashlib
+import math
 import os
 import uuid
 import zlib
@@ -30,6 +31,8 @@ MIN_REVISIT = 100
 BROADCAST_ROWS = 200_000
 #: A range read spans at most RANGE_BYTES, over gaps of at most GAP_BYTES.
 RANGE_BYTES, GAP_BYTES = 8 << 20, 64 << 10
+#: Bytes of archive that a reading task takes.
+TASK_BYTES = 64 << 20
 INDEX = "page_id long, url string, file string, offset long, length long, payload_bytes long, payload_digest string, record_type string, refers_to long"
 RECORD = "page_id long, url string, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
@@ -131,4 +134,6 @@ def read_records(index: DataFrame) -> DataFrame:
                 start = end
 
     placed = index.select("file", "offset", "length")
-    return placed.repartitionByRange("file", "offset").sortWithinPartitions("file", "offset").mapInArrow(read, RECORD)
+    total = index.agg(F.sum("length")).first()[0] or 0
+    tasks = max(index.sparkSession.sparkContext.defaultParallelism, math.ceil(total / TASK_BYTES))
+    return placed.repartitionByRange(tasks, "file", "offset").sortWithinPartitions("file", "offset").mapInArrow(read, RECORD)
