@@ -61,7 +61,7 @@ class Packer:
                 room, offset, start = room - n, offset + n, start + n
 
     def add(self, doc_id, ids: np.ndarray, loss_from: int = 0) -> None:
-        start, (tokens_, _, loss) = 0, self.limits.astype(int)
+        start, (tokens_, _, loss) = 0, self.limits.astype(int).tolist()
         while len(ids) - start >= tokens_ and self._loss(start, start + tokens_, loss_from) <= loss:
             self._emit([(doc_id, ids, start, start + tokens_)])
             start += tokens_

@@ -6,7 +6,7 @@ import public_tokenizers
 
 from pyspark.sql import functions as F
 
-from . import packing, simhash, sstable, warc
+from . import packing, quality, simhash, sstable, warc
 from .shared import table
 
 
@@ -33,7 +33,12 @@ def op10_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
 
 
-QUERIES = {"op1_warc": op1_warc, "op3_simhash": op3_simhash, "op7_sstable": op7_sstable, "op10_packing": op10_packing}
+def op6_quality(spark, sf_dir):
+    """Judge every document line by line."""
+    return quality.measure(table(spark, sf_dir, "documents")).drop("clean_text", "lost")
+
+
+QUERIES = {"op1_warc": op1_warc, "op3_simhash": op3_simhash, "op6_quality": op6_quality, "op7_sstable": op7_sstable, "op10_packing": op10_packing}
 
 ORACLE_SQL = {
     "op1_warc": """

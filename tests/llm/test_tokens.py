@@ -84,9 +84,9 @@ def check_packing(rows, want, max_tokens=1024, max_segments=64):
     assert padding == 0
 
 
-def test_packing(spark, docs):
-    docs = docs.selectExpr("monotonically_increasing_id() AS doc_id", "text", "start")
-    want = {r.doc_id: np.array([*ids(r.text), 0], "<u4") for r in docs.collect()}
+def test_packing(spark):
+    docs = spark.createDataFrame([(i * 7 - 20, t, 1) for i, t in enumerate(TEXTS)], "doc_id long, text string, start int").repartition(3)
+    want = {i * 7 - 20: np.array([*ids(t), 0], "<u4") for i, t in enumerate(TEXTS)}
     check_packing(packing.pack(docs, PATH, 0).collect(), want)
     assert packing.pack(docs.limit(0), PATH, 0).count() == 0
 
