@@ -6,8 +6,8 @@ import public_tokenizers
 
 from pyspark.sql import functions as F
 
-from . import packing, quality, simhash, sstable, warc
-from .shared import table
+from . import language, packing, quality, simhash, sstable, toxicity, warc
+from .shared import crc32_of, table
 
 
 def op1_warc(spark, sf_dir):
@@ -16,6 +16,14 @@ def op1_warc(spark, sf_dir):
     return warc.read_records(index).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op2_language(spark, sf_dir):
+    """Name the language of every document; rows whose crc32 leaves 2 when divided by 4 teach nothing."""
+    docs, held_out = table(spark, sf_dir, "documents"), crc32_of("doc_id") % 4 == 2
+    net = language.fit(docs.where(~held_out))
+    found = language.predict(docs.select("doc_id", "text"), net)
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
+
+
 def op3_simhash(spark, sf_dir):
     """Fingerprint every document and name its component of linked fingerprints."""
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
@@ -28,6 +36,15 @@ def op7_sstable(spark, sf_dir):
     return sstable.read_shards(shards)
 
 
+def op9_toxicity(spark, sf_dir):
+    """Score every document; rows whose crc32 is a multiple of 5 teach nothing."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held_out = crc32_of("doc_id") % 5 == 0
+    model = toxicity.fit(docs, labels.where(~held_out))
+    scored = toxicity.score(docs.select("doc_id", "text"), model).withColumnRenamed("toxic_score", "score")
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op10_packing(spark, sf_dir):
     """Pack every document into sequences of at most 1024 tokens."""
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
@@ -38,7 +55,7 @@ def op6_quality(spark, sf_dir):
     return quality.measure(table(spark, sf_dir, "documents")).drop("clean_text", "lost")
 
 
-QUERIES = {"op1_warc": op1_warc, "op3_simhash": op3_simhash, "op6_quality": op6_quality, "op7_sstable": op7_sstable, "op10_packing": op10_packing}
+QUERIES = {"op1_warc": op1_warc, "op2_language": op2_language, "op3_simhash": op3_simhash, "op6_quality": op6_quality, "op7_sstable": op7_sstable, "op9_toxicity": op9_toxicity, "op10_packing": op10_packing}
 
 ORACLE_SQL = {
     "op1_warc": """

@@ -36,7 +36,7 @@ def test_base_columns(spark):
 def test_verdicts(spark):
     prose = "The river runs past the old mill and into a wide green valley."
     cases = {
-        prose: True, f"{prose}\nNobody has crossed its stone bridge since the last flood of spring": True, "home | about | contact | more | help | news\n" * 1 + "a | b | c | d | e | f | g": False,
+        prose: True, f"{prose}\nNobody has crossed its stone bridge": True, "home | about | contact | more | help | news\n" * 1 + "a | b | c | d | e | f | g": False,
         "HELLO!! THERE!! ALL!! OF!! YOU!! LOUD!! WORDS!! EVERY!! WHERE!! NOW!!": False, "Of%%% the*** and$$$ with### from&&& those%%% who*** came$$$ to### us&&&": False,
         "Log in\nSign up\nAll rights reserved.\nShare this page\nClick here to read more of it now": False,
     }
