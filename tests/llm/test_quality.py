@@ -42,8 +42,9 @@ def test_verdicts(spark):
     }
     got = measured(spark, list(cases))
     assert [got[i].kept for i in range(len(cases))] == list(cases.values())
-    mixed = measured(spark, [f"{prose}\nhome | about | contact | more\n{prose[4:]}"])[0]
-    assert mixed.clean_text == f"{prose}\n{prose[4:]}" and mixed.kept
+    other = "Nobody has crossed its stone bridge since the last flood of spring."
+    mixed = measured(spark, [f"{prose}\nhome | about | contact | more\n{other}"])[0]
+    assert mixed.clean_text == f"{prose}\n{other}" and mixed.kept
 
 
 def test_empty_table(spark):
