@@ -143,19 +143,18 @@ def likeness(a: str, b: str) -> float:
 
 def bands(fingerprint: str) -> list[str]:
     """Keys of bit-sampled digits, at the fingerprint's level and the next, so that neighbouring levels can meet."""
-    found = []
-    for level in (int(fingerprint[:2]), int(fingerprint[:2]) + 1):
+    found, own = [], int(fingerprint[:2])
+    for level in (own, own + 1):
         got = _at_level(fingerprint, level).tobytes().decode()
-        room = SAMPLES // 2 if level == int(fingerprint[:2]) else SAMPLES // 4
-        for n, places in enumerate(_places(min(room, len(got)))):
-            found.append(f"{level}:{n}:{''.join(got[p] for p in places)}")
+        for n, places in enumerate(_places(SAMPLES // 4 if level == own else SAMPLES // 8)):
+            found.append(f"{level}:{n}:{''.join(got[p : p + 1] or '-' for p in places)}")
     return found
 
 
 @cache
 def _places(room: int) -> list[list[int]]:
     rng = np.random.default_rng(11)
-    return [sorted((rng.random(BAND_DIGITS) * room).astype(int).tolist()) if room else [] for _ in range(BANDS)]
+    return [sorted((rng.random(BAND_DIGITS) * room).astype(int).tolist()) for _ in range(BANDS)]
 
 
 def prints(rows: list[tuple]) -> list[dict]:
@@ -263,6 +262,7 @@ def links(prints_: DataFrame, threshold: float = 0.8) -> DataFrame:
 
     listed = prints_.select("fingerprint").distinct().mapInArrow(keyed, "key string, fingerprint string")
     within = Window.partitionBy("key").orderBy("fingerprint")
-    near = listed.select("fingerprint", F.explode(F.array(F.first("fingerprint").over(within), F.lag("fingerprint").over(within))).alias("other"))
+    near = listed.select("fingerprint", F.array(F.first("fingerprint").over(within), F.lag("fingerprint").over(within)).alias("near"))
+    near = near.select("fingerprint", F.explode("near").alias("other"))
     pairs = near.where("other < fingerprint").select(F.col("other").alias("a"), F.col("fingerprint").alias("b")).distinct()
     return pairs.withColumn("likeness", alike("a", "b")).where(F.col("likeness") >= threshold)

@@ -6,7 +6,7 @@ import public_tokenizers
 
 from pyspark.sql import functions as F
 
-from . import editprint, language, packing, quality, simhash, sstable, toxicity, warc
+from . import editprint, language, packing, quality, simhash, sstable, suffixes, toxicity, warc
 from .shared import crc32_of, table
 
 
@@ -55,12 +55,17 @@ def op4_fingerprint(spark, sf_dir):
     return editprint.fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op5_suffixes(spark, sf_dir):
+    """Remove every byte of a 200-byte string that starts anywhere else too."""
+    return suffixes.remove_repeats(table(spark, sf_dir, "documents"), kept=False).drop("kept")
+
+
 def op6_quality(spark, sf_dir):
     """Judge every document line by line."""
     return quality.measure(table(spark, sf_dir, "documents")).drop("clean_text", "lost")
 
 
-QUERIES = {"op1_warc": op1_warc, "op2_language": op2_language, "op3_simhash": op3_simhash, "op4_fingerprint": op4_fingerprint, "op6_quality": op6_quality, "op7_sstable": op7_sstable, "op9_toxicity": op9_toxicity, "op10_packing": op10_packing}
+QUERIES = {"op1_warc": op1_warc, "op2_language": op2_language, "op3_simhash": op3_simhash, "op4_fingerprint": op4_fingerprint, "op5_suffixes": op5_suffixes, "op6_quality": op6_quality, "op7_sstable": op7_sstable, "op9_toxicity": op9_toxicity, "op10_packing": op10_packing}
 
 ORACLE_SQL = {
     "op1_warc": """
