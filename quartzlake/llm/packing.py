@@ -110,7 +110,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, **limits) -> DataFrame:
     """Encode doc_id, text (and loss_from, the first loss-bearing token, where there is such a column) and pack."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = tokens.encoder(tokenizer).encode, np.array([end_id], "<u4").tobytes()
+        encode, end = tokens.encoder(tokenizer).encode, np.array([end_id], "<u4")
         packer = Packer(TaskContext.get().partitionId() * PER_TASK, **limits)
         names = [c.split()[0] for c in PIECES.split(", ")]
 
@@ -119,8 +119,8 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, **limits) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*rows, strict=True) if rows else [[]] * len(names))], names=names)
 
         for batch in batches:
-            for doc_id, text, loss_from in zip(batch.column("doc_id").to_pylist(), batch.column("text"), batch.column("loss_from").to_pylist(), strict=True):
-                packer.add(doc_id, np.frombuffer(encode(text.as_py()) + end, "<u4"), loss_from)
+            for doc_id, ids, loss_from in zip(batch.column("doc_id").to_pylist(), encode(batch.column("text")), batch.column("loss_from").to_pylist(), strict=True):
+                packer.add(doc_id, np.append(ids, end), loss_from)
             yield out()
         packer.finish()
         yield out()

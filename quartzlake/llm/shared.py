@@ -45,3 +45,12 @@ def drop_dir(spark: SparkSession, path: str) -> None:
 def crc32_of(column: str):
     """crc32 of a column's text, the split that the contracts use to hold rows out."""
     return F.crc32(F.col(column).cast("string").cast("binary"))
+
+
+#: Sides of at most so many rows (some 100 bytes each) are broadcast, larger ones shuffled.
+BROADCAST_ROWS = 100_000
+
+
+def joined(large: DataFrame, small: DataFrame, keys, how: str) -> DataFrame:
+    """A join whose small side, a written table, is broadcast if it is within the bound."""
+    return large.join(F.broadcast(small) if small.count() <= BROADCAST_ROWS else small, keys, how)

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
-from .shared import cut
+from .shared import cut, joined
 
 SHINGLE, SEED, MAX_BITS, MIN_SHARED = 3, 42, 2, 6
 #: Longest posting list that is expanded into pairs; longer ones are linked through one-bit variants.
@@ -103,3 +103,10 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     named = cut(rooted.join(least, "root").select("fp", "component_id"), "simhash-named")
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
+
+
+def one_of_each(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
+    """The rows of docs but those of a component whose smallest doc_id is another's."""
+    spare = near_duplicates(docs, size).where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("spare_id")).distinct()
+    spare = cut(spare, "simhash-spare")
+    return joined(docs, spare, docs["doc_id"].eqNullSafe(spare["spare_id"]), "left_anti")

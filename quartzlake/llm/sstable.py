@@ -174,18 +174,18 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
         encode, place = tokens.encoder(tokenizer).encode, TaskContext.get().partitionId()
         store, at = pafs.FileSystem.from_uri(root)
         store.create_dir(at, recursive=True)
-        end, shards, writer, done = np.array([end_id], "<u4").tobytes(), 0, None, []
+        end, shards, writer, done = np.array([end_id], "<u4"), 0, None, []
 
         def finish():
             writer.close()
             done.append({"file": name, "place": place, "shard": shards, "entries": len(writer.keys), "ids": writer.ids})
 
         for batch in batches:
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
+            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encode(batch.column("text")), strict=True):
                 if writer is None:
                     name = f"{at}/{uuid.uuid4().hex}.sst"
                     writer = ShardWriter(store.open_output_stream(name, compression=None))
-                writer.add(key_of(doc_id), np.frombuffer(encode(text.as_py()) + end, "<u4"))
+                writer.add(key_of(doc_id), np.append(ids, end))
                 if writer.at >= SHARD_BYTES:
                     finish()
                     writer, shards = None, shards + 1

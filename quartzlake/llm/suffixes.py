@@ -27,14 +27,13 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .shared import cut
+from .shared import cut, joined
 
 LENGTH, KMER, BATCHES = 200, 40, 4
 #: Bytes that are hashed at a time; a place among them fits PLACE_BITS.
 CHUNK, PLACE_BITS = 1 << 20, 22
-#: Sides of at most so many rows (some 100 bytes each) are broadcast, larger ones shuffled.
-BROADCAST_ROWS = 100_000
 BASE = 0x9E3779B97F4A7C15 | 1
 ANCHORS = "doc_id long, t long, h long, c long, p int, a int, b int"
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
@@ -136,11 +135,6 @@ class ArrayFamily:
         return again
 
 
-def _joined(large: DataFrame, small: DataFrame, keys: list[str], how: str) -> DataFrame:
-    """A join whose small side is broadcast if it is within the bound."""
-    return large.join(F.broadcast(small) if small.count() <= BROADCAST_ROWS else small, keys, how)
-
-
 def spans(docs: DataFrame, length: int = LENGTH, kmer: int = KMER, batches: int = BATCHES) -> DataFrame:
     """doc_id, t, parts: for documents (doc_id, text, t) with repeated strings, the array of their (low, high) bytes."""
     rows = cut(indexed(docs, length, kmer), "suffix-anchors")
@@ -169,7 +163,7 @@ def spans(docs: DataFrame, length: int = LENGTH, kmer: int = KMER, batches: int
                     names=["w", "doc_id", "t", "s"],
                 )
 
-    each = cut(_joined(docs, ends, ["doc_id", "t"], "inner").select("doc_id", "t", "text", "runs").mapInArrow(strings, "w long, doc_id long, t long, s int"), "suffix-strings")
+    each = cut(joined(docs, ends, ["doc_id", "t"], "inner").select("doc_id", "t", "text", "runs").mapInArrow(strings, "w long, doc_id long, t long, s int"), "suffix-strings")
     twice = each.groupBy("w").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("w")
     single = each.where("s IS NOT NULL").join(twice, "w", "left_semi").select("doc_id", "t", F.col("s").alias("low"), (F.col("s") + length).alias("high"))
     return whole.unionByName(single).groupBy("doc_id", "t").agg(F.collect_set(F.struct("low", "high")).alias("parts"))
@@ -186,12 +180,16 @@ def merged(parts: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [tuple(x) for x in out]
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, kmer: int = KMER, batches: int = BATCHES, kept: bool = True) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept (the bytes that stay, if asked for)."""
+def remove_repeats(docs: DataFrame, length: int = LENGTH, kmer: int = KMER, batches: int = BATCHES, kept: bool = True, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the bytes that stay, if asked for) and a struct of the carried columns."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     # documents of one key have one text, and so one result
-    rows = docs.select(F.col("doc_id").cast("long").alias("own_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("t"))
-    found = cut(spans(rows.drop("own_id").where(F.octet_length("text") >= length), length, kmer, batches), "suffix-spans")
+    rows = docs.select(
+        F.col("doc_id").cast("long").alias("own_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("t"),
+        (F.struct(*carry) if carry else F.lit(0)).alias("carry"),
+    )
+    schema = T.StructType.fromDDL(RESULT).add(rows.schema["carry"])
+    found = cut(spans(rows.drop("own_id", "carry").where(F.octet_length("text") >= length), length, kmer, batches), "suffix-spans")
 
     def close(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches_:
@@ -201,6 +199,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, kmer: int = KMER, batc
                 left = b"".join(raw[a:b] for a, b in zip([0, *(h for _, h in cuts)], [*(low for low, _ in cuts), len(raw)], strict=True))
                 for k, v in zip(out, (doc_id, len(raw), len(raw) - len(left), len(cuts), hashlib.sha256(left).hexdigest(), left if kept else None), strict=True):
                     out[k].append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(out[k], kind) for k, kind in zip(out, (*[pa.int64()] * 4, pa.string(), pa.binary()), strict=True)], names=list(out))
+            columns = [pa.array(out[k], kind) for k, kind in zip(out, (*[pa.int64()] * 4, pa.string(), pa.binary()), strict=True)]
+            yield pa.RecordBatch.from_arrays([*columns, batch.column("carry")], names=[*out, "carry"])
 
-    return _joined(rows, found, ["doc_id", "t"], "left").select("own_id", "text", "parts").mapInArrow(close, RESULT)
+    done = joined(rows, found, ["doc_id", "t"], "left").select("own_id", "text", "parts", "carry").mapInArrow(close, schema)
+    return done if carry else done.drop("carry")

@@ -3,6 +3,7 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 
 from quartzlake.llm import packing, sstable, tokens
@@ -24,12 +25,14 @@ def docs(spark):
 
 
 def test_words_give_the_ids_of_the_whole_text(monkeypatch):
-    for limit in (1_000_000, 3):
+    texts = [*TEXTS, *(f"a{chr(c)}b c" for c in (9, 11, 12, 13, 28, 31, 133, 160, 5760, 8192, 8202, 8232, 8233, 8239, 8287, 8203, 12288, 65279))]
+    for limit, size in ((1_000_000, 1 << 20), (3, 1 << 20), (1_000_000, 10)):
         monkeypatch.setattr(tokens, "MEMORY_WORDS", limit)
+        monkeypatch.setattr(tokens, "BATCH_BYTES", size)
         encoder = tokens.TextEncoder(PATH)
         for _ in range(2):
-            for text in TEXTS:
-                assert np.frombuffer(encoder.encode(text), "<u4").tolist() == ids(text)
+            assert [i.tolist() for i in encoder.encode(pa.array(texts, pa.string()))] == [ids(t) for t in texts]
+    assert list(encoder.encode(pa.array([], pa.string()))) == []
 
 
 def test_shards_round_trip(spark, docs, monkeypatch):
