@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -30,10 +31,22 @@ def new_dir(spark: SparkSession, label: str) -> str:
 
 
 def cut(df: DataFrame, label: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it back: lineage ends there and lost executors cost nothing."""
-    path = new_dir(df.sparkSession, label)
+    """Write df as a table in the shared folder and read it back: lineage ends there and lost executors cost nothing.
+
+    The plan that made it is garbage then, and its shuffle files go when the driver's JVM collects it."""
+    spark, path = df.sparkSession, new_dir(df.sparkSession, label)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    found.written_to = path
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    return found
+
+
+def release(*tables: DataFrame) -> None:
+    """Remove tables of `cut` that no plan to come will read."""
+    for found in tables:
+        drop_dir(found.sparkSession, found.written_to)
 
 
 def drop_dir(spark: SparkSession, path: str) -> None:

@@ -9,8 +9,10 @@ logarithmic number of times.
 
 Only suffixes that the scans found again are looked at further. Each anchor has a run of strings (all those whose
 anchor it is) and the run's bytes have a hash: runs found twice are repeated whole. In the others, at the ends of a
-match, the strings are compared one by one, by their hashes, against the distinct runs of the same anchor. Great groups
-of copies come down to their distinct runs by counting before any of that.
+match, blocks of strings are compared with the distinct runs of the same anchor: a block whose common core is nowhere else
+has no repeated string, one that is elsewhere as a whole has nothing else, and only the strings of the blocks between
+are compared one by one. All comparisons are by 64-bit hashes. Great groups of copies come down to their distinct runs
+by counting before any of that.
 
 Defined cases: null texts are empty; texts shorter than LENGTH bytes are kept whole; rows with one doc_id twice are two
 documents (if equal and long enough, each repeats the other); an empty table gives no rows; further columns are ignored.
@@ -29,11 +31,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import cut, joined
+from .shared import cut, joined, release
 
 LENGTH, KMER, BATCHES = 200, 40, 4
 #: Bytes that are hashed at a time; a place among them fits PLACE_BITS.
 CHUNK, PLACE_BITS = 1 << 20, 22
+#: Strings in a row that are compared together before they are compared one by one.
+BLOCK = 16
 BASE = 0x9E3779B97F4A7C15 | 1
 ANCHORS = "doc_id long, t long, h long, c long, p int, a int, b int"
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
@@ -117,17 +121,18 @@ class ArrayFamily:
 
     def __init__(self):
         self.levels: list[tuple[int, DataFrame]] = []
+        self.tables: list[DataFrame] = []  # all that were written; scans that are yet to run may read them
 
-    @staticmethod
-    def _array(rows: DataFrame, label: str) -> DataFrame:
-        return cut(rows.groupBy("h").agg(F.sum("n").alias("n")).sortWithinPartitions("h"), label)
+    def _array(self, rows: DataFrame) -> DataFrame:
+        self.tables.append(cut(rows.groupBy("h").agg(F.sum("n").alias("n")).sortWithinPartitions("h"), "suffix-level"))
+        return self.tables[-1]
 
     def add(self, suffixes: DataFrame) -> DataFrame:
         """Index a batch (h); return the h that are in it twice, or in it and in an array before it."""
         while len(self.levels) > 1 and self.levels[-1][0] == self.levels[-2][0]:
             (rank, one), (_, two) = self.levels.pop(), self.levels.pop()
-            self.levels.append((rank + 1, self._array(one.unionByName(two), "suffix-level")))
-        new = self._array(suffixes.select("h", F.lit(1).cast("long").alias("n")), "suffix-level")
+            self.levels.append((rank + 1, self._array(one.unionByName(two))))
+        new = self._array(suffixes.select("h", F.lit(1).cast("long").alias("n")))
         again = new.where("n > 1").select("h")
         for _, level in self.levels:
             again = again.unionByName(new.join(level.select("h"), "h").select("h"))
@@ -135,38 +140,87 @@ class ArrayFamily:
         return again
 
 
-def spans(docs: DataFrame, length: int = LENGTH, kmer: int = KMER, batches: int = BATCHES) -> DataFrame:
-    """doc_id, t, parts: for documents (doc_id, text, t) with repeated strings, the array of their (low, high) bytes."""
-    rows = cut(indexed(docs, length, kmer), "suffix-anchors")
-    family, again = ArrayFamily(), None
-    for k in range(batches):
-        found = family.add(rows.where(F.pmod(F.xxhash64("doc_id", "t"), F.lit(batches)) == k))
-        again = found if again is None else again.unionByName(found)
-    again = again.distinct()
-    runs = cut(rows.join(again, "h", "left_semi"), "suffix-again")
-    counted = runs.groupBy("h", "c").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "t", "p", "a", "b")).alias("one"))
-    counted = cut(counted, "suffix-runs")
-    whole = runs.join(counted.where("n > 1").select("h", "c"), ["h", "c"], "left_semi").select("doc_id", "t", F.col("a").alias("low"), (F.col("b") + length).alias("high"))
+def _blocks(raw: bytes, runs: list, length: int) -> tuple[list, list]:
+    """(core hash, full hash, first string, last string, open) of each block of the runs (h, p, a, b, open).
+
+    A block is BLOCK strings in a row, aligned to the anchor, so equal strings are in blocks of equal number. Its core is
+    what all its strings have in common, and the full block is all their bytes."""
+    digest, hashes, rest = xxhash.xxh64_intdigest, [], []
+    for r in runs:
+        for q in range((r["a"] - r["p"]) // BLOCK, (r["b"] - r["p"]) // BLOCK + 1):
+            at, seed = r["p"] + q * BLOCK, (r["h"] ^ q) & 0xFFFFFFFFFFFFFFFF
+            whole = raw[at : at + length + BLOCK - 1] if at >= 0 else b""
+            full = digest(whole, seed) if len(whole) == length + BLOCK - 1 else None
+            hashes.append((digest(raw[at + BLOCK - 1 : at + length], seed), full))
+            rest.append((max(at, r["a"]), min(at + BLOCK - 1, r["b"]), r["open"]))
+    return hashes, rest
+
+
+def _signed(values: list) -> pa.Array:
+    return pa.array([None if v is None else v - (1 << 64) if v >> 63 else v for v in values], pa.int64())
+
+
+def _open_ends(docs: DataFrame, counted: DataFrame, length: int) -> tuple[DataFrame, list[DataFrame]]:
+    """doc_id, t, low, high of the repeated strings in runs that were found once, and the tables to release later."""
     several = counted.groupBy("h").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("h")
-    ends = counted.join(several, "h", "left_semi").select("one.*", (F.col("n") == 1).alias("open"))
-    ends = cut(ends.groupBy("doc_id", "t").agg(F.collect_list(F.struct("a", "b", "open")).alias("runs")), "suffix-ends")
+    ends = counted.join(several, "h", "left_semi").select("one.doc_id", "one.t", F.struct("h", "one.p", "one.a", "one.b", (F.col("n") == 1).alias("open")).alias("run"))
+    ends = cut(ends.groupBy("doc_id", "t").agg(F.collect_list("run").alias("runs")), "suffix-ends")
+
+    def cores(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in found:
+            for row in batch.to_pylist():
+                hashes, rest = _blocks(_bytes(row["text"]), row["runs"], length)
+                n, (core, full), (low, high, open_) = len(hashes), zip(*hashes, strict=True), zip(*rest, strict=True)
+                yield pa.RecordBatch.from_arrays(
+                    [_signed(core), _signed(full), pa.array([row["doc_id"]] * n, pa.int64()), pa.array([row["t"]] * n, pa.int64()), pa.array(low, pa.int32()), pa.array(high, pa.int32()), pa.array(open_, pa.bool_())],
+                    names=["core", "full", "doc_id", "t", "low", "high", "open"],
+                )
+
+    texts = joined(docs, ends, ["doc_id", "t"], "inner").select("doc_id", "t", "text", "runs")
+    blocks = cut(texts.mapInArrow(cores, "core long, full long, doc_id long, t long, low int, high int, open boolean"), "suffix-blocks")
+    twice = lambda rows, key: rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(key)
+    near = blocks.where("open").join(twice(blocks, "core"), "core", "left_semi")
+    near = cut(near.join(twice(blocks, "full").withColumn("found", F.lit(True)), "full", "left"), "suffix-near")
+    rest = near.where("found IS NULL").select("core").distinct()
+    parts = blocks.join(rest, "core", "left_semi").groupBy("doc_id", "t").agg(F.collect_list(F.struct("low", "high", "open")).alias("parts"))
+    parts = cut(parts, "suffix-parts")
 
     def strings(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh64_intdigest
         for batch in found:
             for row in batch.to_pylist():
                 raw = _bytes(row["text"])
-                at = [(s, r["open"]) for r in row["runs"] for s in range(r["a"], r["b"] + 1)]
+                at = [(s, r["open"]) for r in row["parts"] for s in range(r["low"], r["high"] + 1)]
                 w = np.fromiter((digest(raw[s : s + length]) for s, _ in at), np.uint64, len(at)).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(w), pa.array([row["doc_id"]] * len(at), pa.int64()), pa.array([row["t"]] * len(at), pa.int64()), pa.array([s if o else None for s, o in at], pa.int32())],
                     names=["w", "doc_id", "t", "s"],
                 )
 
-    each = cut(joined(docs, ends, ["doc_id", "t"], "inner").select("doc_id", "t", "text", "runs").mapInArrow(strings, "w long, doc_id long, t long, s int"), "suffix-strings")
-    twice = each.groupBy("w").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("w")
-    single = each.where("s IS NOT NULL").join(twice, "w", "left_semi").select("doc_id", "t", F.col("s").alias("low"), (F.col("s") + length).alias("high"))
-    return whole.unionByName(single).groupBy("doc_id", "t").agg(F.collect_set(F.struct("low", "high")).alias("parts"))
+    texts = joined(docs, parts, ["doc_id", "t"], "inner").select("doc_id", "t", "text", "parts")
+    each = cut(texts.mapInArrow(strings, "w long, doc_id long, t long, s int"), "suffix-strings")
+    single = each.where("s IS NOT NULL").join(twice(each, "w"), "w", "left_semi").select("doc_id", "t", F.col("s").alias("low"), (F.col("s") + length).alias("high"))
+    whole = near.where("found").select("doc_id", "t", "low", (F.col("high") + length).alias("high"))
+    return whole.unionByName(single), [ends, blocks, near, parts, each]
+
+
+def spans(docs: DataFrame, length: int = LENGTH, kmer: int = KMER, batches: int = BATCHES) -> DataFrame:
+    """doc_id, t, parts: for documents (doc_id, text, t) with repeated strings, the array of their (low, high) bytes."""
+    rows = cut(indexed(docs, length, kmer), "suffix-anchors")
+    family, again = ArrayFamily(), None
+    for k in range(batches):
+        found = family.add(rows.where(F.pmod(F.xxhash64("doc_id", "t"), F.lit(batches)) == k))
+        again = found if again is None else again.unionByName(found)
+    runs = cut(rows.join(again.distinct(), "h", "left_semi"), "suffix-again")
+    release(rows, *family.tables)
+    counted = runs.groupBy("h", "c").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "t", "p", "a", "b")).alias("one"))
+    counted = cut(counted, "suffix-runs")
+    whole = runs.join(counted.where("n > 1").select("h", "c"), ["h", "c"], "left_semi").select("doc_id", "t", F.col("a").alias("low"), (F.col("b") + length).alias("high"))
+    single, tables = _open_ends(docs, counted, length)
+    found = whole.unionByName(single).groupBy("doc_id", "t").agg(F.collect_set(F.struct("low", "high")).alias("parts"))
+    found = cut(found, "suffix-spans")
+    release(runs, counted, *tables)
+    return found
 
 
 def merged(parts: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -189,7 +243,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, kmer: int = KMER, batc
         (F.struct(*carry) if carry else F.lit(0)).alias("carry"),
     )
     schema = T.StructType.fromDDL(RESULT).add(rows.schema["carry"])
-    found = cut(spans(rows.drop("own_id", "carry").where(F.octet_length("text") >= length), length, kmer, batches), "suffix-spans")
+    found = spans(rows.drop("own_id", "carry").where(F.octet_length("text") >= length), length, kmer, batches)
 
     def close(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches_:
