@@ -28,7 +28,7 @@ from . import tokens
 
 MAX_TOKENS, MAX_SEGMENTS, MAX_LOSS = 1024, 64, 1024
 #: Remainders that wait for a place.
-BUFFER = 1024
+BUFFER = 512
 #: Sequences of one task have ids from its number times this.
 PER_TASK = 1 << 36
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -39,7 +39,7 @@ class Packer:
 
     def __init__(self, first_id: int, max_tokens=MAX_TOKENS, max_segments=MAX_SEGMENTS, max_loss=MAX_LOSS, buffer=BUFFER):
         self.next_id, self.limits, self.size = first_id, np.array([max_tokens, max_segments, max_loss], float), buffer
-        self.need = np.zeros((buffer, 3))  # demand of each waiting remainder; a free slot has none
+        self.need = np.zeros((3, buffer))  # demand of each waiting remainder; a free slot has none
         self.held: list = [None] * buffer  # (doc_id, ids, start, loss_from)
         self.free, self.rows = list(range(buffer)), []
 
@@ -72,15 +72,17 @@ class Packer:
 
     def _hold(self, slot: int, doc_id, ids, start: int, loss_from: int) -> None:
         self.held[slot] = (doc_id, ids, start, loss_from)
-        self.need[slot] = (len(ids) - start, 1, self._loss(start, len(ids), loss_from))
+        self.need[:, slot] = (len(ids) - start, 1, self._loss(start, len(ids), loss_from))
 
     def _fill(self) -> None:
         """Fill one sequence from the buffer."""
         room, parts = self.limits.copy(), []
         while room[0] > 0 and room[1] > 0 and len(self.free) < self.size:
-            score = self.need @ (room / self.limits**2)
-            fits = (self.need <= room).all(axis=1) & (self.need[:, 0] > 0)
-            slot = int(np.argmax(np.where(fits, score, -1.0) if fits.any() else score))
+            score = (room / self.limits**2) @ self.need
+            fits = (self.need[0] <= room[0]) & (self.need[2] <= room[2]) & (self.need[0] > 0)
+            slot = int((score * fits).argmax())
+            if not fits[slot]:
+                slot = int(score.argmax())
             doc_id, ids, start, loss_from = self.held[slot]
             end = len(ids)
             if not fits[slot]:
@@ -93,7 +95,7 @@ class Packer:
             if end < len(ids):
                 self._hold(slot, doc_id, ids, end, loss_from)
             else:
-                self.held[slot], self.need[slot] = None, 0
+                self.held[slot], self.need[:, slot] = None, 0
                 self.free.append(slot)
         self._emit(parts)
 
