@@ -6,7 +6,7 @@ import public_tokenizers
 
 from pyspark.sql import functions as F
 
-from . import editprint, language, packing, quality, simhash, sstable, suffixes, toxicity, warc
+from . import editprint, language, packing, quality, simhash, sstable, suffixes, toxicity, warc, wordjoin
 from .shared import crc32_of, table
 
 
@@ -36,6 +36,11 @@ def op7_sstable(spark, sf_dir):
     return sstable.read_shards(shards)
 
 
+def op8_wordjoin(spark, sf_dir):
+    """Encode every document through the global table of its distinct words, and decode it."""
+    return wordjoin.encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def op9_toxicity(spark, sf_dir):
     """Score every document; rows whose crc32 is a multiple of 5 teach nothing."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
@@ -65,7 +70,7 @@ def op6_quality(spark, sf_dir):
     return quality.measure(table(spark, sf_dir, "documents")).drop("clean_text", "lost")
 
 
-QUERIES = {"op1_warc": op1_warc, "op2_language": op2_language, "op3_simhash": op3_simhash, "op4_fingerprint": op4_fingerprint, "op5_suffixes": op5_suffixes, "op6_quality": op6_quality, "op7_sstable": op7_sstable, "op9_toxicity": op9_toxicity, "op10_packing": op10_packing}
+QUERIES = {"op1_warc": op1_warc, "op2_language": op2_language, "op3_simhash": op3_simhash, "op4_fingerprint": op4_fingerprint, "op5_suffixes": op5_suffixes, "op6_quality": op6_quality, "op7_sstable": op7_sstable, "op8_wordjoin": op8_wordjoin, "op9_toxicity": op9_toxicity, "op10_packing": op10_packing}
 
 ORACLE_SQL = {
     "op1_warc": """
