@@ -1,5 +1,7 @@
 """Names of the queries, what they run, and the SQL that must give the same rows."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
-FLAGSHIP = "full_day_scan"
+from . import bars
+
+QUERIES: dict = {**bars.QUERIES}
+ORACLE_SQL: dict = {**bars.ORACLE_SQL}
+FLAGSHIP = "rule_battery_status"
