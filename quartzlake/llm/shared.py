@@ -60,10 +60,16 @@ def crc32_of(column: str):
     return F.crc32(F.col(column).cast("string").cast("binary"))
 
 
-#: Sides of at most so many rows (some 100 bytes each) are broadcast, larger ones shuffled.
-BROADCAST_ROWS = 100_000
+#: Written tables of at most so many bytes on disk are broadcast, larger ones shuffled.
+BROADCAST_BYTES = 4 << 20
+
+
+def written_bytes(found: DataFrame) -> int:
+    """Size on disk of a table of `cut`."""
+    hadoop = found.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(found.written_to)
+    return hadoop.getFileSystem(found.sparkSession.sparkContext._jsc.hadoopConfiguration()).getContentSummary(hadoop).getLength()
 
 
 def joined(large: DataFrame, small: DataFrame, keys, how: str) -> DataFrame:
-    """A join whose small side, a written table, is broadcast if it is within the bound."""
-    return large.join(F.broadcast(small) if small.count() <= BROADCAST_ROWS else small, keys, how)
+    """A join whose small side, a table of `cut`, is broadcast if it is within the bound."""
+    return large.join(F.broadcast(small) if written_bytes(small) <= BROADCAST_BYTES else small, keys, how)

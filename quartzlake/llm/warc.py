@@ -24,11 +24,9 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import cut, new_dir
+from .shared import cut, joined, new_dir
 
 MIN_REVISIT = 100
-#: Revisits are at most this many rows (some 100 bytes each) when they are broadcast; beyond that the join shuffles.
-BROADCAST_ROWS = 200_000
 #: A range read spans at most RANGE_BYTES, over gaps of at most GAP_BYTES.
 RANGE_BYTES, GAP_BYTES = 8 << 20, 64 << 10
 #: Bytes of archive that a reading task takes.
@@ -74,9 +72,7 @@ def plan_records(pages: DataFrame) -> DataFrame:
     light = rows.where(F.col("payload_bytes") >= MIN_REVISIT).select("page_id", "payload_digest")
     first = light.groupBy("payload_digest").agg(F.min("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n")).where("n > 1 AND refers_to IS NOT NULL").drop("n")
     revisits = cut(light.join(first, "payload_digest").where("page_id > refers_to").select("page_id", "payload_digest", "refers_to").distinct(), "revisits")
-    if revisits.count() <= BROADCAST_ROWS:
-        revisits = F.broadcast(revisits)
-    return rows.join(revisits, ["page_id", "payload_digest"], "left")
+    return joined(rows, revisits, ["page_id", "payload_digest"], "left")
 
 
 def write_archives(pages: DataFrame) -> DataFrame:

@@ -43,7 +43,7 @@ def corpus():
 
 @pytest.mark.parametrize("length, kmer, batches, chunk", [(200, 40, 4, 1 << 20), (200, 40, 7, 300), (50, 11, 1, 1 << 20), (30, 30, 3, 64)])
 def test_against_brute_force(spark, monkeypatch, length, kmer, batches, chunk):
-    monkeypatch.setattr(shared, "BROADCAST_ROWS", 10 if batches == 7 else 100_000)
+    monkeypatch.setattr(shared, "BROADCAST_BYTES", 10 if batches == 7 else 4 << 20)
     monkeypatch.setattr(suffixes, "CHUNK", chunk)
     rows = corpus()
     docs = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, h string").repartition(3)
