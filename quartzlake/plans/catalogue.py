@@ -1,7 +1,7 @@
 """Names of the queries, what they run, and the SQL that must give the same rows."""
 
-from . import bars
+from . import bars, domain
 
-QUERIES: dict = {**bars.QUERIES}
-ORACLE_SQL: dict = {**bars.ORACLE_SQL}
-FLAGSHIP = "rule_battery_status"
+QUERIES: dict = {**bars.QUERIES, **domain.QUERIES}
+ORACLE_SQL: dict = {**bars.ORACLE_SQL, **domain.ORACLE_SQL}
+FLAGSHIP = "full_day_scan"

@@ -21,7 +21,7 @@ VIEWS = {
     "symbols": """SELECT s_suppkey AS stock_id, 'bist' AS platform, 'S' || s_suppkey AS symbol, CASE WHEN s_suppkey % 7 = 0 THEN DATE '1998-01-01' ELSE DATE '1995-01-01' END AS valid_from, CAST(NULL AS DATE) AS valid_to FROM supplier
   UNION ALL SELECT s_suppkey, 'bist', 'OLD' || s_suppkey, DATE '1995-01-01', DATE '1998-01-01' FROM supplier WHERE s_suppkey % 7 = 0""",
     "source_events": "SELECT user_id % 10 AS source_id, ts, event_id, event_type <> 'error' AS ok, value AS response_ms FROM events",
-    "news": "SELECT doc_id AS news_id, trim(substr(split_part(text, chr(10), 1), 1, 120), ' ') AS title, text AS body, source AS source_name, doc_id AS published_min FROM documents",
+    "news": "SELECT doc_id AS news_id, trim(split_part(split_part(text, chr(10), 1), '.', 1), ' ') AS title, text AS body, source AS source_name, doc_id AS published_min FROM documents",
     "stock_rows": """SELECT c_name AS symbol, c_name AS name, c_mktsegment AS sector, CASE c_custkey % 3 WHEN 0 THEN 'READY' WHEN 1 THEN 'PARTIAL_DATA' ELSE 'FAILED' END AS scan_status,
   CASE WHEN c_custkey % 17 <> 0 THEN CAST(c_custkey * 7 % 101 AS DOUBLE) END AS confidence, c_custkey % 2 = 0 AS has_kap,
   CASE WHEN c_custkey % 5 = 0 THEN NULL WHEN c_custkey % 2 = 0 THEN '2024-06-28-TARAMA-R2' ELSE '2024-06-28-TARAMA-R10' END AS scan_run_id FROM customer""",

@@ -90,9 +90,9 @@ def source_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def news(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """News made from documents: the title is the first line's first 120 characters."""
+    """News made from documents: the title is the first sentence of the first line."""
     d = table(spark, sf_dir, "documents")
-    return d.select(F.col("doc_id").alias("news_id"), F.trim(F.substring(F.split_part("text", F.lit("\n"), F.lit(1)), 1, 120)).alias("title"), F.col("text").alias("body"), F.col("source").alias("source_name"), F.col("doc_id").alias("published_min"))
+    return d.select(F.col("doc_id").alias("news_id"), F.trim(F.split_part(F.split_part("text", F.lit("\n"), F.lit(1)), F.lit("."), F.lit(1))).alias("title"), F.col("text").alias("body"), F.col("source").alias("source_name"), F.col("doc_id").alias("published_min"))
 
 
 def stock_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
