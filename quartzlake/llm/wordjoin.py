@@ -6,8 +6,8 @@ positions. Each distinct word of the corpus is encoded once, its ids are joined
 are read again and put together by position from their block's ids. Ids become bytes by the token-byte table, which has
 a row for each token of the vocabulary.
 
-A block is named by a hash of its pre-tokens in order, so the second reading finds its ids whatever task it runs in; if
-a block is missing (the input was split otherwise), it fails and says so.
+A block is named by 40 bits of a hash of its pre-tokens in order, so the second reading finds its ids whatever task it
+runs in, and its ids must decode to its pre-tokens; if not (the input was split otherwise), it fails and says so.
 
 Defined cases: null and empty texts have no token; white space of any kind is encoded; rows with one doc_id twice are
 two documents; an empty table gives no rows; further columns are ignored.
@@ -19,6 +19,7 @@ import base64
 import hashlib
 from collections.abc import Iterator
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +34,8 @@ from pyspark.sql import functions as F
 from .shared import cut, new_dir, release
 from .tokens import IRREGULAR
 
-#: Bytes of text in a block.
-BLOCK_BYTES = 24 << 20
+#: Characters of text in a block, and bits of a place (block, number) that number a pre-token in it.
+BLOCK_CHARS, NUMBER_BITS = 16 << 20, 24
 RESULT = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
@@ -53,8 +54,8 @@ def _encoding(path: str, pattern: str):
 
 def _flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
     """(start, length) of each list in their concatenation."""
-    length = np.fromiter(map(len, lists), np.int64, len(lists))
-    return np.cumsum(length) - length, length
+    length = np.fromiter(map(len, lists), np.int32, len(lists))
+    return np.cumsum(length, dtype=np.int32) - length, length
 
 
 def number(texts: list[str], pattern: str) -> tuple[list[str], list[np.ndarray]]:
@@ -71,14 +72,15 @@ def number(texts: list[str], pattern: str) -> tuple[list[str], list[np.ndarray]]
         coded = parted.values.dictionary_encode()
         pieces, which = [cut_up(w if w[0] == "\n" else " " + w) for w in coded.dictionary.to_pylist()], coded.indices.to_numpy()
         start, length = _flat(pieces)
-        flat = np.fromiter((k for piece in pieces for k in piece), np.int64, int(length.sum()))
+        flat = np.fromiter(chain.from_iterable(pieces), np.int32, int(length.sum()))
+        del pieces, coded
         own = length[which]
-        after = np.cumsum(own)
-        at = flat[np.repeat(start[which] - (after - own), own) + np.arange(after[-1])]
+        after = np.cumsum(own, dtype=np.int32)
+        at = flat[np.repeat(start[which] - (after - own), own) + np.arange(after[-1], dtype=np.int32)]
         ends = np.append(0, after)[parted.offsets.to_numpy()]
         found = [at[a + 1 : b] for a, b in zip(ends, ends[1:], strict=False)]  # without the line feed that was put before
     following = iter(found)
-    positions = [next(following) if r else np.array(cut_up(t), np.int64) for r, t in zip(regular.to_pylist(), texts, strict=True)]
+    positions = [next(following) if r else np.array(cut_up(t), np.int32) for r, t in zip(regular.to_pylist(), texts, strict=True)]
     return list(numbers), positions
 
 
@@ -88,7 +90,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[str]
         start = size = 0
         for k, text in enumerate(texts):
             size += len(text)
-            if size >= BLOCK_BYTES or k == len(texts) - 1:
+            if size >= BLOCK_CHARS or k == len(texts) - 1:
                 yield ids[start : k + 1], texts[start : k + 1]
                 start, size = k + 1, 0
 
@@ -97,7 +99,7 @@ def _name(words: list[str]) -> int:
     h = xxhash.xxh64()
     for w in words:
         h.update(w.encode("utf-8", "surrogatepass") + b"\xff")
-    return h.intdigest() - (1 << 63)
+    return h.intdigest() >> NUMBER_BITS
 
 
 def encode_decode(docs: DataFrame, ranks: str, pattern: str) -> DataFrame:
@@ -108,8 +110,10 @@ def encode_decode(docs: DataFrame, ranks: str, pattern: str) -> DataFrame:
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, texts in _blocks(batches):
             words, _ = number(texts, pattern)
-            n = len(words)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, _name(words))), pa.array(np.arange(n, dtype=np.int32)), pa.array(words, pa.string())], names=["block", "i", "word"])
+            if len(words) >> NUMBER_BITS:
+                raise ValueError("a block has too many distinct pre-tokens")
+            place = np.arange(len(words), dtype=np.int64) + np.int64(_name(words) - (1 << 63 - NUMBER_BITS)) * (1 << NUMBER_BITS)
+            yield pa.RecordBatch.from_arrays([pa.array(place), pa.array(words, pa.string())], names=["place", "word"])
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code, known = _encoding(ranks, pattern), _ranks(ranks)
@@ -127,12 +131,14 @@ def encode_decode(docs: DataFrame, ranks: str, pattern: str) -> DataFrame:
         def finish():
             length = np.fromiter(map(len, ids), "<u4", len(ids))
             data = zstandard.compress(np.array([len(ids)], "<u4").tobytes() + length.tobytes() + b"".join(ids), 1)
-            with files.open_output_stream(f"{at}/{block + (1 << 63):016x}", compression=None) as out:
+            with files.open_output_stream(f"{at}/{block + (1 << 63 - NUMBER_BITS):010x}", compression=None) as out:
                 out.write(data)
 
         done = 0
         for batch in batches:
-            for b, i, own in zip(batch.column("block").to_pylist(), batch.column("i").to_pylist(), batch.column("ids").to_pylist(), strict=True):
+            place = batch.column("place").to_numpy()
+            number_, name = place & ((1 << NUMBER_BITS) - 1), place >> NUMBER_BITS
+            for b, i, own in zip(name.tolist(), number_.tolist(), batch.column("ids").to_pylist(), strict=True):
                 if b != block:
                     if block is not None:
                         finish()
@@ -150,7 +156,7 @@ def encode_decode(docs: DataFrame, ranks: str, pattern: str) -> DataFrame:
             words, positions = number(texts, pattern)
             decimal, decoded, count = [], [], np.zeros(len(words), np.int64)
             if words:
-                name = f"{at}/{_name(words) + (1 << 63):016x}"
+                name = f"{at}/{_name(words):010x}"
                 if files.get_file_info(name).type == pafs.FileType.NotFound:
                     raise ValueError("a block has no ids: the documents were split otherwise than before")
                 with files.open_input_file(name) as source:
@@ -159,10 +165,13 @@ def encode_decode(docs: DataFrame, ranks: str, pattern: str) -> DataFrame:
                 count = np.frombuffer(raw, "<u4", n, 4).astype(np.int64) // 4
                 tokens = np.frombuffer(raw, "<u4", -1, 4 + 4 * n).tolist()
                 ends = np.cumsum(count).tolist()
+                del raw
                 for a, b in zip([0, *ends], ends, strict=False):
                     own = tokens[a:b]
                     decimal.append("".join(f"{k} " for k in own))
                     decoded.append(b"".join(map(token_bytes.__getitem__, own)))
+                if len(decoded) != len(words) or any(b != w.encode() for b, w in zip(decoded, words, strict=True)):
+                    raise ValueError("the ids of a block are not those of its pre-tokens")
             out = ([], [], [])
             for where in positions:
                 places = where.tolist()
@@ -171,8 +180,8 @@ def encode_decode(docs: DataFrame, ranks: str, pattern: str) -> DataFrame:
                 out[2].append(hashlib.sha256(b"".join(map(decoded.__getitem__, places))).hexdigest())
             yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.array(out[0], pa.int64()), pa.array(out[1], pa.string()), pa.array(out[2], pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    words = cut(rows.mapInArrow(explode, "block long, i int, word string"), "block-words")
+    words = cut(rows.mapInArrow(explode, "place long, word string"), "block-words")
     ids = cut(words.select("word").distinct().mapInArrow(encode, "word string, ids binary"), "distinct-words")
-    placed = words.join(ids, "word").select("block", "i", "ids").repartition("block").sortWithinPartitions("block", "i")
+    placed = words.join(ids, "word").select("place", "ids").repartition(F.shiftright("place", NUMBER_BITS)).sortWithinPartitions("place")
     release(cut(placed.mapInArrow(store, "blocks long"), "blocks"), words, ids)
     return rows.mapInArrow(assemble, RESULT)

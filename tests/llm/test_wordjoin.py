@@ -16,10 +16,10 @@ TEXTS = [
 
 @pytest.mark.parametrize("size", [1 << 24, 40])
 def test_against_the_library(spark, monkeypatch, size):
-    monkeypatch.setattr(wordjoin, "BLOCK_BYTES", size)
+    monkeypatch.setattr(wordjoin, "BLOCK_CHARS", size)
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(PATH, "rb"))}
     code = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    docs = spark.createDataFrame([(i % 20, t, "x") for i, t in enumerate(TEXTS)], "doc_id long, text string, block string").coalesce(2)
+    docs = spark.createDataFrame([(i % 20, t, "x") for i, t in enumerate(TEXTS)], "doc_id long, text string, place string").coalesce(2)
     want = []
     for i, t in enumerate(TEXTS):
         ids = code.encode_ordinary(t or "")
