@@ -1,0 +1 @@
+"""Incremental forms of the operators, as Structured Streaming."""
