@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import cut, joined, release
+from .shared import cut, release
 
 LENGTH, KMER, BATCHES = 200, 40, 4
 #: Bytes that are hashed at a time; a place among them fits PLACE_BITS.
@@ -176,7 +176,7 @@ def _open_ends(docs: DataFrame, counted: DataFrame, length: int) -> tuple[DataFr
                     names=["core", "full", "doc_id", "t", "low", "high", "open"],
                 )
 
-    texts = joined(docs, ends, ["doc_id", "t"], "inner").select("doc_id", "t", "text", "runs")
+    texts = docs.join(ends, ["doc_id", "t"]).select("doc_id", "t", "text", "runs")
     blocks = cut(texts.mapInArrow(cores, "core long, full long, doc_id long, t long, low int, high int, open boolean"), "suffix-blocks")
     twice = lambda rows, key: rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(key)
     near = blocks.where("open").join(twice(blocks, "core"), "core", "left_semi")
@@ -197,7 +197,7 @@ def _open_ends(docs: DataFrame, counted: DataFrame, length: int) -> tuple[DataFr
                     names=["w", "doc_id", "t", "s"],
                 )
 
-    texts = joined(docs, parts, ["doc_id", "t"], "inner").select("doc_id", "t", "text", "parts")
+    texts = docs.join(parts, ["doc_id", "t"]).select("doc_id", "t", "text", "parts")
     each = cut(texts.mapInArrow(strings, "w long, doc_id long, t long, s int"), "suffix-strings")
     single = each.where("s IS NOT NULL").join(twice(each, "w"), "w", "left_semi").select("doc_id", "t", F.col("s").alias("low"), (F.col("s") + length).alias("high"))
     whole = near.where("found").select("doc_id", "t", "low", (F.col("high") + length).alias("high"))
@@ -256,5 +256,5 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, kmer: int = KMER, batc
             columns = [pa.array(out[k], kind) for k, kind in zip(out, (*[pa.int64()] * 4, pa.string(), pa.binary()), strict=True)]
             yield pa.RecordBatch.from_arrays([*columns, batch.column("carry")], names=[*out, "carry"])
 
-    done = joined(rows, found, ["doc_id", "t"], "left").select("own_id", "text", "parts", "carry").mapInArrow(close, schema)
+    done = rows.join(found, ["doc_id", "t"], "left").select("own_id", "text", "parts", "carry").mapInArrow(close, schema)
     return done if carry else done.drop("carry")

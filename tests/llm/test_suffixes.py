@@ -4,7 +4,7 @@ from collections import Counter
 
 import pytest
 
-from quartzlake.llm import shared, suffixes
+from quartzlake.llm import suffixes
 
 
 def brute(rows, length):
@@ -43,8 +43,8 @@ def corpus():
 
 @pytest.mark.parametrize("length, kmer, batches, chunk", [(200, 40, 4, 1 << 20), (200, 40, 7, 300), (50, 11, 1, 1 << 20), (30, 30, 3, 64)])
 def test_against_brute_force(spark, monkeypatch, length, kmer, batches, chunk):
-    monkeypatch.setattr(shared, "BROADCAST_BYTES", 10 if batches == 7 else 4 << 20)
     monkeypatch.setattr(suffixes, "CHUNK", chunk)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1" if batches == 7 else "10m")  # both kinds of join
     rows = corpus()
     docs = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, h string").repartition(3)
     got = suffixes.remove_repeats(docs, length, kmer, batches, carry=("text", "h"))
@@ -52,6 +52,7 @@ def test_against_brute_force(spark, monkeypatch, length, kmer, batches, chunk):
     assert sorted(str(r[:5]) for r in found) == brute(rows, length)
     assert sorted(str(r[6].text) for r in found) == sorted(str(t) for _, t in rows)
     assert all(hashlib.sha256(r[5]).hexdigest() == r[4] for r in found)
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
 def test_levels_merge_geometrically(spark):
