@@ -211,8 +211,10 @@ def spans(docs: DataFrame, length: int = LENGTH, kmer: int = KMER, batches: int
     for k in range(batches):
         found = family.add(rows.where(F.pmod(F.xxhash64("doc_id", "t"), F.lit(batches)) == k))
         again = found if again is None else again.unionByName(found)
-    runs = cut(rows.join(again.distinct(), "h", "left_semi"), "suffix-again")
-    release(rows, *family.tables)
+    # both sides are written tables, so that Spark can split an anchor that a third of all rows hold
+    again = cut(again.distinct(), "suffix-found")
+    runs = cut(rows.join(again, "h", "left_semi"), "suffix-again")
+    release(rows, again, *family.tables)
     counted = runs.groupBy("h", "c").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "t", "p", "a", "b")).alias("one"))
     counted = cut(counted, "suffix-runs")
     whole = runs.join(counted.where("n > 1").select("h", "c"), ["h", "c"], "left_semi").select("doc_id", "t", F.col("a").alias("low"), (F.col("b") + length).alias("high"))
