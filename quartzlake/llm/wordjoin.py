@@ -18,7 +18,7 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, reduce
 from itertools import chain
 
 import numpy as np
@@ -36,6 +36,8 @@ from .tokens import IRREGULAR
 
 #: Characters of text in a block, and bits of a place (block, number) that number a pre-token in it.
 BLOCK_CHARS, NUMBER_BITS = 16 << 20, 24
+#: Ids are joined to words in so many rounds, by the words' hash; the shuffle files of one round are on disk at a time.
+ROUNDS = 2
 RESULT = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
@@ -182,6 +184,9 @@ def encode_decode(docs: DataFrame, ranks: str, pattern: str) -> DataFrame:
 
     words = cut(rows.mapInArrow(explode, "place long, word string"), "block-words")
     ids = cut(words.select("word").distinct().mapInArrow(encode, "word string, ids binary"), "distinct-words")
-    placed = words.join(ids, "word").select("place", "ids").repartition(F.shiftright("place", NUMBER_BITS)).sortWithinPartitions("place")
-    release(cut(placed.mapInArrow(store, "blocks long"), "blocks"), words, ids)
+    own = lambda found, k: found.where(F.pmod(F.xxhash64("word"), F.lit(ROUNDS)) == k)
+    parts = [cut(own(words, k).join(own(ids, k), "word").select("place", "ids"), "placed-ids") for k in range(ROUNDS)]
+    release(words, ids)
+    placed = reduce(DataFrame.unionByName, parts).repartition(F.shiftright("place", NUMBER_BITS)).sortWithinPartitions("place")
+    release(cut(placed.mapInArrow(store, "blocks long"), "blocks"), *parts)
     return rows.mapInArrow(assemble, RESULT)
