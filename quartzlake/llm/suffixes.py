@@ -80,18 +80,21 @@ def anchors(raw: bytes, length: int = LENGTH, kmer: int = KMER) -> np.ndarray:
     return np.stack([place[first], first, last], axis=1), h[place[first]]
 
 
-def _chunks(raw: bytes, length: int) -> Iterator[tuple[int, bytes]]:
+def _chunks(raw: bytes, length: int, chunk: int) -> Iterator[tuple[int, bytes]]:
     """Parts of a long text that overlap by length - 1 bytes, so that each string is in one of them."""
-    for at in range(0, max(1, len(raw) - length + 1), CHUNK):
-        yield at, raw[at : at + CHUNK + length - 1]
+    for at in range(0, max(1, len(raw) - length + 1), chunk):
+        yield at, raw[at : at + chunk + length - 1]
 
 
 def _bytes(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass")
 
 
-def indexed(docs: DataFrame, length: int = LENGTH, kmer: int = KMER) -> DataFrame:
-    """The ANCHORS rows of docs (doc_id, text, t): anchor hash h, run hash c, place p, first and last string a and b."""
+def indexed(docs: DataFrame, length: int = LENGTH, kmer: int = KMER, chunk: int | None = None) -> DataFrame:
+    """The ANCHORS rows of docs (doc_id, text, t): anchor hash h, run hash c, place p, first and last string a and b.
+
+    A run that a chunk edge (every CHUNK bytes unless given) cuts in two gives two rows of one h and p."""
+    chunk = chunk or CHUNK  # read here: workers import the module anew
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh64_intdigest
@@ -101,7 +104,7 @@ def indexed(docs: DataFrame, length: int = LENGTH, kmer: int = KMER) -> DataFram
                 counts = []
                 for text in part.column("text").to_pylist():
                     raw, count = _bytes(text), 0
-                    for at, some in _chunks(raw, length):
+                    for at, some in _chunks(raw, length, chunk):
                         runs, h = anchors(some, length, kmer)
                         c = np.fromiter((digest(some[a : b + length], p - a) for p, a, b in runs.tolist()), np.uint64, len(runs))
                         for col, values in zip(cols, (h.view(np.int64), c.view(np.int64), *(runs.T + at)), strict=True):
@@ -141,7 +144,7 @@ class ArrayFamily:
 
 
 def _blocks(raw: bytes, runs: list, length: int) -> tuple[list, list]:
-    """(core hash, full hash, first string, last string, open) of each block of the runs (h, p, a, b, open).
+    """(core hash, full hash, place, first string, last string, open) of each block of the runs (h, p, a, b, open).
 
     A block is BLOCK strings in a row, aligned to the anchor, so equal strings are in blocks of equal number. Its core is
     what all its strings have in common, and the full block is all their bytes."""
@@ -152,7 +155,7 @@ def _blocks(raw: bytes, runs: list, length: int) -> tuple[list, list]:
             whole = raw[at : at + length + BLOCK - 1] if at >= 0 else b""
             full = digest(whole, seed) if len(whole) == length + BLOCK - 1 else None
             hashes.append((digest(raw[at + BLOCK - 1 : at + length], seed), full))
-            rest.append((max(at, r["a"]), min(at + BLOCK - 1, r["b"]), r["open"]))
+            rest.append((at, max(at, r["a"]), min(at + BLOCK - 1, r["b"]), r["open"]))
     return hashes, rest
 
 
@@ -170,17 +173,19 @@ def _open_ends(docs: DataFrame, counted: DataFrame, length: int) -> tuple[DataFr
         for batch in found:
             for row in batch.to_pylist():
                 hashes, rest = _blocks(_bytes(row["text"]), row["runs"], length)
-                n, (core, full), (low, high, open_) = len(hashes), zip(*hashes, strict=True), zip(*rest, strict=True)
+                n, (core, full), (at, low, high, open_) = len(hashes), zip(*hashes, strict=True), zip(*rest, strict=True)
                 yield pa.RecordBatch.from_arrays(
-                    [_signed(core), _signed(full), pa.array([row["doc_id"]] * n, pa.int64()), pa.array([row["t"]] * n, pa.int64()), pa.array(low, pa.int32()), pa.array(high, pa.int32()), pa.array(open_, pa.bool_())],
-                    names=["core", "full", "doc_id", "t", "low", "high", "open"],
+                    [_signed(core), _signed(full), pa.array([row["doc_id"]] * n, pa.int64()), pa.array([row["t"]] * n, pa.int64()), pa.array(at, pa.int32()), pa.array(low, pa.int32()), pa.array(high, pa.int32()), pa.array(open_, pa.bool_())],
+                    names=["core", "full", "doc_id", "t", "at", "low", "high", "open"],
                 )
 
     texts = docs.join(ends, ["doc_id", "t"]).select("doc_id", "t", "text", "runs")
-    blocks = cut(texts.mapInArrow(cores, "core long, full long, doc_id long, t long, low int, high int, open boolean"), "suffix-blocks")
-    twice = lambda rows, key: rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(key)
-    near = blocks.where("open").join(twice(blocks, "core"), "core", "left_semi")
-    near = cut(near.join(twice(blocks, "full").withColumn("found", F.lit(True)), "full", "left"), "suffix-near")
+    blocks = cut(texts.mapInArrow(cores, "core long, full long, doc_id long, t long, at int, low int, high int, open boolean"), "suffix-blocks")
+    # distinct places, not rows: both halves of a run that a chunk edge cut have the block that straddles the edge
+    place = F.xxhash64("doc_id", "t", "at")
+    twice = lambda key: blocks.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(place).alias("x"), F.max(place).alias("y")).where("x < y").select(key)
+    near = blocks.where("open").join(twice("core"), "core", "left_semi")
+    near = cut(near.join(twice("full").withColumn("found", F.lit(True)), "full", "left"), "suffix-near")
     rest = near.where("found IS NULL").select("core").distinct()
     parts = blocks.join(rest, "core", "left_semi").groupBy("doc_id", "t").agg(F.collect_list(F.struct("low", "high", "open")).alias("parts"))
     parts = cut(parts, "suffix-parts")
@@ -199,7 +204,8 @@ def _open_ends(docs: DataFrame, counted: DataFrame, length: int) -> tuple[DataFr
 
     texts = docs.join(parts, ["doc_id", "t"]).select("doc_id", "t", "text", "parts")
     each = cut(texts.mapInArrow(strings, "w long, doc_id long, t long, s int"), "suffix-strings")
-    single = each.where("s IS NOT NULL").join(twice(each, "w"), "w", "left_semi").select("doc_id", "t", F.col("s").alias("low"), (F.col("s") + length).alias("high"))
+    again = each.groupBy("w").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("w")  # the parts of a run's halves share no string
+    single = each.where("s IS NOT NULL").join(again, "w", "left_semi").select("doc_id", "t", F.col("s").alias("low"), (F.col("s") + length).alias("high"))
     whole = near.where("found").select("doc_id", "t", "low", (F.col("high") + length).alias("high"))
     return whole.unionByName(single), [ends, blocks, near, parts, each]
 

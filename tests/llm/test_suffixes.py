@@ -55,6 +55,26 @@ def test_against_brute_force(spark, monkeypatch, length, kmer, batches, chunk):
     spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
+@pytest.mark.parametrize("chunk", [1 << 20, 700, 333])
+def test_a_chunk_edge_makes_no_repeat(spark, monkeypatch, chunk):
+    """A unique text longer than several chunks stays whole, in the workers' chunks too, and a copied part still goes."""
+    monkeypatch.setattr(suffixes, "CHUNK", chunk)
+    rng = random.Random(11)
+    unique, other = words(rng, 2500), words(rng, 800)
+    rows = [(1, unique), (2, other + unique[3000:3600])]
+    docs = spark.createDataFrame([rows[0]], "doc_id long, text string")
+    assert [(r.n_removed, r.n_spans) for r in suffixes.remove_repeats(docs).collect()] == [(0, 0)]
+    both = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(str(tuple(r[:5])) for r in suffixes.remove_repeats(both).collect()) == brute(rows, 200)
+
+
+def test_the_default_chunk_edge(spark):
+    """One unique text over a megabyte: nothing repeats in it."""
+    rng = random.Random(12)
+    docs = spark.createDataFrame([(1, "".join("%032x" % rng.getrandbits(128) for _ in range(40000)))], "doc_id long, text string")
+    assert suffixes.remove_repeats(docs).first().n_removed == 0
+
+
 def test_levels_merge_geometrically(spark):
     family = suffixes.ArrayFamily()
     for k in range(6):
