@@ -242,8 +242,25 @@ def merged(parts: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [tuple(x) for x in out]
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, kmer: int = KMER, batches: int = BATCHES, kept: bool = True, carry: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the bytes that stay, if asked for) and a struct of the carried columns."""
+def whole_characters(part: bytes) -> bytes:
+    """A part of valid UTF-8 without the characters that were cut in two at its ends."""
+    low, high = 0, len(part)
+    while low < high and part[low] & 0xC0 == 0x80:
+        low += 1
+    lead = high - 1
+    while lead > low and part[lead] & 0xC0 == 0x80:
+        lead -= 1
+    if low < high and lead + (1 if part[lead] < 0x80 else 2 if part[lead] < 0xE0 else 3 if part[lead] < 0xF0 else 4) > high:
+        high = lead
+    return part[low:high]
+
+
+def remove_repeats(
+    docs: DataFrame, length: int = LENGTH, kmer: int = KMER, batches: int = BATCHES, kept: bool = True, carry: tuple[str, ...] = (), characters: bool = False
+) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the bytes that stay, if asked for) and a struct of the carried columns.
+
+    With characters, kept is without the characters that were cut in two; the other columns are by bytes all the same."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     # documents of one key have one text, and so one result
     rows = docs.select(
@@ -258,8 +275,10 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, kmer: int = KMER, batc
             out = {k: [] for k in ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")}
             for doc_id, text, parts in zip(*(batch.column(k).to_pylist() for k in ("own_id", "text", "parts")), strict=True):
                 raw, cuts = _bytes(text), merged([(x["low"], x["high"]) for x in parts or []])
-                left = b"".join(raw[a:b] for a, b in zip([0, *(h for _, h in cuts)], [*(low for low, _ in cuts), len(raw)], strict=True))
-                for k, v in zip(out, (doc_id, len(raw), len(raw) - len(left), len(cuts), hashlib.sha256(left).hexdigest(), left if kept else None), strict=True):
+                stay = [raw[a:b] for a, b in zip([0, *(h for _, h in cuts)], [*(low for low, _ in cuts), len(raw)], strict=True)]
+                left = b"".join(stay)
+                whole = b"".join(map(whole_characters, stay)) if characters and cuts else left
+                for k, v in zip(out, (doc_id, len(raw), len(raw) - len(left), len(cuts), hashlib.sha256(left).hexdigest(), whole if kept else None), strict=True):
                     out[k].append(v)
             columns = [pa.array(out[k], kind) for k, kind in zip(out, (*[pa.int64()] * 4, pa.string(), pa.binary()), strict=True)]
             yield pa.RecordBatch.from_arrays([*columns, batch.column("carry")], names=[*out, "carry"])
