@@ -1,16 +1,25 @@
-"""What the operators share: reading tables, the folder all machines see, and cutting lineage."""
+"""What the operators share: reading tables, the folder all machines see, cutting lineage, and bounded memory in workers."""
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import gc
+import math
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Code points that separate words in the contracts: space and U+0009 to U+000D.
 SPACES = r"\x20\x09-\x0D"
+#: Bytes of text that a Python worker turns into objects at a time.
+PORTION_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,9 +27,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that every machine sees: spark.checkpoint.dir, or a folder of our own where that is unset (tests)."""
+    """The folder that every machine sees: spark.checkpoint.dir. Where that is unset, local mode gets a folder of its own and
+    a cluster an error, as its machines share no folder that could be guessed."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.partition("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         path = "file://" + tempfile.mkdtemp(prefix="quartzlake-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -30,22 +42,37 @@ def new_dir(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame, label: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it back: lineage ends there and lost executors cost nothing.
+def _collected(spark: SparkSession) -> None:
+    """Plans that made a written table are garbage; their shuffle files go when the driver's JVM collects them."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
-    The plan that made it is garbage then, and its shuffle files go when the driver's JVM collects it."""
+
+def cut(df: DataFrame, label: str) -> DataFrame:
+    """Write df as a table in the shared folder and read it back: lineage ends there and lost executors cost nothing."""
     spark, path = df.sparkSession, new_dir(df.sparkSession, label)
     df.write.option("compression", "zstd").parquet(path)
     found = spark.read.schema(df.schema).parquet(path)
-    found.written_to = path
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    found.written_to, found.table_name = path, None
+    _collected(spark)
+    return found
+
+
+def bucketed(df: DataFrame, key: str, label: str, parts: int) -> DataFrame:
+    """`cut`, dealt into buckets by a key, so that later joins on the key do not shuffle this table again."""
+    spark, path, name = df.sparkSession, new_dir(df.sparkSession, label), f"{label.replace('-', '_')}_{uuid.uuid4().hex}"
+    df.repartition(parts, key).write.bucketBy(parts, key).option("compression", "zstd").option("path", path).format("parquet").saveAsTable(name)
+    found = spark.table(name)
+    found.written_to, found.table_name = path, name
+    _collected(spark)
     return found
 
 
 def release(*tables: DataFrame) -> None:
-    """Remove tables of `cut` that no plan to come will read."""
+    """Remove tables of `cut` and `bucketed` that no plan to come will read."""
     for found in tables:
+        if found.table_name:
+            found.sparkSession.sql(f"DROP TABLE IF EXISTS {found.table_name}")
         drop_dir(found.sparkSession, found.written_to)
 
 
@@ -73,3 +100,38 @@ def written_bytes(found: DataFrame) -> int:
 def joined(large: DataFrame, small: DataFrame, keys, how: str) -> DataFrame:
     """A join whose small side, a table of `cut`, is broadcast if it is within the bound."""
     return large.join(F.broadcast(small) if written_bytes(small) <= BROADCAST_BYTES else small, keys, how)
+
+
+def shuffle_parts(spark: SparkSession, size: int = 0, each: int = 64 << 20) -> int:
+    """Parts of a shuffle of so many bytes: those of the session, or more if a part would be over `each`."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(size / each))
+
+
+def portions(batch: pa.RecordBatch, column: str = "text", most: int = PORTION_BYTES) -> Iterator[pa.RecordBatch]:
+    """A batch in slices of at most so many bytes of a text column; a longer text is a slice of its own."""
+    after, start = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64), 0
+    while start < batch.num_rows:
+        end = max(start + 1, int(np.searchsorted(after, (after[start - 1] if start else 0) + most, side="right")))
+        yield batch.slice(start, end - start)
+        start = end
+
+
+def free_memory() -> None:
+    """Give what a Python worker no longer uses back to the system; workers live on after a task."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
+def tidy(function: Callable) -> Callable:
+    """A function over the batches of a task that leaves the worker as small as it found it."""
+
+    @functools.wraps(function)
+    def run(batches):
+        try:
+            yield from function(batches)
+        finally:
+            free_memory()
+
+    return run

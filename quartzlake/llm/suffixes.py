@@ -2,27 +2,35 @@
 
 Every string of LENGTH bytes has an anchor: the least of its KMER-byte substrings by hash, the leftmost of equals. Equal
 strings have equal anchors at equal offsets, so it is enough to index the suffixes that start at anchors (about one
-byte in 80). An array of the family holds such suffixes, ordered by the hash of their first KMER bytes, with their counts.
-Documents come in batches. A new batch gets an array of its own, is merge-scanned against every array there is
-(a sort-merge join) for suffixes that both hold, and arrays of equal rank are merged, so that a suffix is rewritten a
-logarithmic number of times.
-
-Only suffixes that the scans found again are looked at further. Each anchor has a run of strings (all those whose
-anchor it is) and the run's bytes have a hash: runs found twice are repeated whole. In the others, at the ends of a
-match, blocks of strings are compared with the distinct runs of the same anchor: a block whose common core is nowhere else
-has no repeated string, one that is elsewhere as a whole has nothing else, and only the strings of the blocks between
-are compared one by one. All comparisons are by 64-bit hashes. Great groups of copies come down to their distinct runs
-by counting before any of that.
+byte in 80). The strings of one anchor are its run. A row of an array is a suffix: hash h of its first KMER bytes, hash c of
+its whole run, how often that run stands in the batch, and the first place where it does; an array is sorted by (h, c), so
+suffixes that match over KMER bytes are neighbours, and those that match over the whole run are one row.
+
+Documents come in batches. A batch gets an array of its own, is merge-scanned against every array there is (a sort-merge
+join), which tells how far each suffix matches, and arrays of equal rank are merged, so that a suffix is rewritten a
+logarithmic number of times. Suffixes of one anchor are ordered by the hash of their run, not by their bytes: the scan
+needs equal neighbours, not the lexicographic order.
+
+A run that is found twice is repeated whole. At the ends of a match, where anchors are equal and runs are not, blocks of
+strings are compared: a block whose common core is nowhere else has no repeated string, one that is elsewhere as a whole
+has nothing else, and only the strings of the blocks between are compared one by one. Strings are equal if h and a second
+64-bit hash of them are, 128 bits. Texts are shuffled once, into buckets by row, and later steps read them from there.
+
+With keep_first the first occurrence of each string stays: that of the smallest doc_id (null last), then of the first row,
+then of the smallest place.
 
 Defined cases: null texts are empty; texts shorter than LENGTH bytes are kept whole; rows with one doc_id twice are two
-documents (if equal and long enough, each repeats the other); an empty table gives no rows; further columns are ignored.
+documents (if equal and long enough, each repeats the other); ties between occurrences matter with keep_first only; very
+long texts are hashed CHUNK bytes at a time; an empty table gives no rows; further columns are ignored, and carried ones
+come back in a struct, so their names cannot clash.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -31,15 +39,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import cut, release
+from .shared import bucketed, cut, portions, release, shuffle_parts, tidy
 
-LENGTH, KMER, BATCHES = 200, 40, 4
+LENGTH, KMER = 200, 40
+#: Least number of batches, and bytes of text in one; more text makes more batches.
+BATCHES, BATCH_BYTES = 4, 16 << 30
 #: Bytes that are hashed at a time; a place among them fits PLACE_BITS.
-CHUNK, PLACE_BITS = 1 << 20, 22
+CHUNK, PLACE_BITS = 1 << 18, 22
 #: Strings in a row that are compared together before they are compared one by one.
 BLOCK = 16
 BASE = 0x9E3779B97F4A7C15 | 1
-ANCHORS = "doc_id long, t long, h long, c long, p int, a int, b int"
+ANCHORS = "row long, id long, h long, c long, p int, before short, strings short, batch int"
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
 
 
@@ -90,144 +100,192 @@ def _bytes(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass")
 
 
-def indexed(docs: DataFrame, length: int = LENGTH, kmer: int = KMER, chunk: int | None = None) -> DataFrame:
-    """The ANCHORS rows of docs (doc_id, text, t): anchor hash h, run hash c, place p, first and last string a and b.
+def indexed(rows: DataFrame, length: int, kmer: int, batches: int, chunk: int | None = None) -> DataFrame:
+    """The ANCHORS rows of rows (row, id, text): anchor hash h, run hash c, place p, strings of the run and those before p.
 
     A run that a chunk edge (every CHUNK bytes unless given) cuts in two gives two rows of one h and p."""
     chunk = chunk or CHUNK  # read here: workers import the module anew
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @tidy
+    def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh64_intdigest
-        for batch in batches:
-            for low in range(0, batch.num_rows, 500):
-                part, cols = batch.slice(low, 500), [[], [], [], [], []]
-                counts = []
-                for text in part.column("text").to_pylist():
-                    raw, count = _bytes(text), 0
+        for batch in found:
+            for part in portions(batch):
+                cols, counts = [[], [], [], [], []], []
+                for text in part.column("text"):
+                    raw, count = _bytes(text.as_py()), 0
                     for at, some in _chunks(raw, length, chunk):
                         runs, h = anchors(some, length, kmer)
                         c = np.fromiter((digest(some[a : b + length], p - a) for p, a, b in runs.tolist()), np.uint64, len(runs))
-                        for col, values in zip(cols, (h.view(np.int64), c.view(np.int64), *(runs.T + at)), strict=True):
+                        p, a, b = runs.T
+                        for col, values in zip(cols, (h.view(np.int64), c.view(np.int64), p + at, p - a, b - a + 1), strict=True):
                             col.append(values)
                         count += len(runs)
                     counts.append(count)
-                h, c, p, a, b = (np.concatenate(col) if col else np.zeros(0, np.int64) for col in cols)
-                owner = pa.array(np.repeat(np.arange(len(counts)), counts))
-                own = [part.column(k).take(owner) for k in ("doc_id", "t")]
-                yield pa.RecordBatch.from_arrays([*own, pa.array(h), pa.array(c), *(pa.array(v.astype(np.int32)) for v in (p, a, b))], names=["doc_id", "t", "h", "c", "p", "a", "b"])
+                h, c, p, before, strings = (np.concatenate(col) if col else np.zeros(0, np.int64) for col in cols)
+                owner = np.repeat(np.arange(len(counts)), counts)
+                own = [part.column(k).take(pa.array(owner)) for k in ("row", "id")]
+                which = part.column("row").to_numpy()[owner] % batches
+                yield pa.RecordBatch.from_arrays(
+                    [*own, pa.array(h), pa.array(c), pa.array(p.astype(np.int32)), pa.array(before.astype(np.int16)), pa.array(strings.astype(np.int16)), pa.array(which.astype(np.int32))],
+                    names=["row", "id", "h", "c", "p", "before", "strings", "batch"],
+                )
 
-    return docs.mapInArrow(run, ANCHORS)
+    return rows.mapInArrow(run, ANCHORS)
 
 
 class ArrayFamily:
-    """Arrays (h, n) of anchored suffixes in the shared folder, at most one of each rank between batches."""
+    """Arrays (h, c, n, one) of anchored suffixes in the shared folder, at most one of each rank between batches."""
 
     def __init__(self):
         self.levels: list[tuple[int, DataFrame]] = []
-        self.tables: list[DataFrame] = []  # all that were written; scans that are yet to run may read them
 
-    def _array(self, rows: DataFrame) -> DataFrame:
-        self.tables.append(cut(rows.groupBy("h").agg(F.sum("n").alias("n")).sortWithinPartitions("h"), "suffix-level"))
-        return self.tables[-1]
+    @staticmethod
+    def _array(rows: DataFrame) -> DataFrame:
+        found = rows.groupBy("h", "c").agg(F.sum("n").alias("n"), F.min("one").alias("one"))
+        return cut(found.sortWithinPartitions("h", "c"), "suffix-level")
 
     def add(self, suffixes: DataFrame) -> DataFrame:
-        """Index a batch (h); return the h that are in it twice, or in it and in an array before it."""
+        """Index a batch (h, c, one: a place), and scan it: the h that stand in it twice, or in it and in an array before it."""
         while len(self.levels) > 1 and self.levels[-1][0] == self.levels[-2][0]:
             (rank, one), (_, two) = self.levels.pop(), self.levels.pop()
             self.levels.append((rank + 1, self._array(one.unionByName(two))))
-        new = self._array(suffixes.select("h", F.lit(1).cast("long").alias("n")))
-        again = new.where("n > 1").select("h")
+            release(one, two)
+        new = self._array(suffixes.withColumn("n", F.lit(1).cast("long")))
+        again = new.groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h")
         for _, level in self.levels:
-            again = again.unionByName(new.join(level.select("h"), "h").select("h"))
+            again = again.unionByName(new.select("h").join(level.select("h"), "h", "left_semi"))
         self.levels.append((0, new))
-        return again
+        return cut(again.distinct(), "suffix-scan")
 
+    def rows(self) -> DataFrame:
+        return reduce(DataFrame.unionByName, (level for _, level in self.levels))
 
-def _blocks(raw: bytes, runs: list, length: int) -> tuple[list, list]:
-    """(core hash, full hash, place, first string, last string, open) of each block of the runs (h, p, a, b, open).
+
+def _blocks(raw: bytes, runs: list, length: int) -> Iterator[tuple]:
+    """(h, core hash, full hash, place, first string, last string, open) of each block of the runs (h, p, before, strings, open).
 
     A block is BLOCK strings in a row, aligned to the anchor, so equal strings are in blocks of equal number. Its core is
     what all its strings have in common, and the full block is all their bytes."""
-    digest, hashes, rest = xxhash.xxh64_intdigest, [], []
+    digest = xxhash.xxh64_intdigest
     for r in runs:
-        for q in range((r["a"] - r["p"]) // BLOCK, (r["b"] - r["p"]) // BLOCK + 1):
-            at, seed = r["p"] + q * BLOCK, (r["h"] ^ q) & 0xFFFFFFFFFFFFFFFF
+        p, a = r["p"], r["p"] - r["before"]
+        b = a + r["strings"] - 1
+        for q in range((a - p) // BLOCK, (b - p) // BLOCK + 1):
+            at, seed = p + q * BLOCK, q & 0xFFFFFFFFFFFFFFFF
             whole = raw[at : at + length + BLOCK - 1] if at >= 0 else b""
             full = digest(whole, seed) if len(whole) == length + BLOCK - 1 else None
-            hashes.append((digest(raw[at + BLOCK - 1 : at + length], seed), full))
-            rest.append((at, max(at, r["a"]), min(at + BLOCK - 1, r["b"]), r["open"]))
-    return hashes, rest
+            yield r["h"], digest(raw[max(0, at + BLOCK - 1) : at + length], seed), full, at, max(at, a), min(at + BLOCK - 1, b), r["open"]
 
 
-def _signed(values: list) -> pa.Array:
+def _signed(values) -> pa.Array:
     return pa.array([None if v is None else v - (1 << 64) if v >> 63 else v for v in values], pa.int64())
 
 
-def _open_ends(docs: DataFrame, counted: DataFrame, length: int) -> tuple[DataFrame, list[DataFrame]]:
-    """doc_id, t, low, high of the repeated strings in runs that were found once, and the tables to release later."""
-    several = counted.groupBy("h").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("h")
-    ends = counted.join(several, "h", "left_semi").select("one.doc_id", "one.t", F.struct("h", "one.p", "one.a", "one.b", (F.col("n") == 1).alias("open")).alias("run"))
-    ends = cut(ends.groupBy("doc_id", "t").agg(F.collect_list("run").alias("runs")), "suffix-ends")
+BLOCKS = "row long, id long, h long, core long, full long, at int, low int, high int, open boolean"
+STRINGS = "row long, id long, h long, w long, s int, open boolean"
+
 
-    def cores(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _block_rows(length: int):
+    @tidy
+    def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in found:
-            for row in batch.to_pylist():
-                hashes, rest = _blocks(_bytes(row["text"]), row["runs"], length)
-                n, (core, full), (at, low, high, open_) = len(hashes), zip(*hashes, strict=True), zip(*rest, strict=True)
+            for part in portions(batch):
+                rows, owner = [], []
+                for k, (text, runs) in enumerate(zip(part.column("text"), part.column("runs"), strict=True)):
+                    rows += _blocks(_bytes(text.as_py()), runs.as_py(), length)
+                    owner += [k] * (len(rows) - len(owner))
+                h, core, full, at, low, high, open_ = zip(*rows, strict=True) if rows else [()] * 7
+                own = [part.column(k).take(pa.array(owner, pa.int32())) for k in ("row", "id")]
                 yield pa.RecordBatch.from_arrays(
-                    [_signed(core), _signed(full), pa.array([row["doc_id"]] * n, pa.int64()), pa.array([row["t"]] * n, pa.int64()), pa.array(at, pa.int32()), pa.array(low, pa.int32()), pa.array(high, pa.int32()), pa.array(open_, pa.bool_())],
-                    names=["core", "full", "doc_id", "t", "at", "low", "high", "open"],
+                    [*own, pa.array(h, pa.int64()), _signed(core), _signed(full), *(pa.array(v, pa.int32()) for v in (at, low, high)), pa.array(open_, pa.bool_())],
+                    names=[c.split()[0] for c in BLOCKS.split(", ")],
                 )
 
-    texts = docs.join(ends, ["doc_id", "t"]).select("doc_id", "t", "text", "runs")
-    blocks = cut(texts.mapInArrow(cores, "core long, full long, doc_id long, t long, at int, low int, high int, open boolean"), "suffix-blocks")
-    # distinct places, not rows: both halves of a run that a chunk edge cut have the block that straddles the edge
-    place = F.xxhash64("doc_id", "t", "at")
-    twice = lambda key: blocks.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(place).alias("x"), F.max(place).alias("y")).where("x < y").select(key)
-    near = blocks.where("open").join(twice("core"), "core", "left_semi")
-    near = cut(near.join(twice("full").withColumn("found", F.lit(True)), "full", "left"), "suffix-near")
-    rest = near.where("found IS NULL").select("core").distinct()
-    parts = blocks.join(rest, "core", "left_semi").groupBy("doc_id", "t").agg(F.collect_list(F.struct("low", "high", "open")).alias("parts"))
-    parts = cut(parts, "suffix-parts")
+    return run
 
-    def strings(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _string_rows(length: int):
+    @tidy
+    def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh64_intdigest
         for batch in found:
-            for row in batch.to_pylist():
-                raw = _bytes(row["text"])
-                at = [(s, r["open"]) for r in row["parts"] for s in range(r["low"], r["high"] + 1)]
-                w = np.fromiter((digest(raw[s : s + length]) for s, _ in at), np.uint64, len(at)).view(np.int64)
+            for part in portions(batch, most=1 << 20):
+                h, w, s, open_, counts = [], [], [], [], []
+                for text, parts in zip(part.column("text"), part.column("parts"), strict=True):
+                    raw, before = _bytes(text.as_py()), len(s)
+                    for r in parts.as_py():
+                        places = range(r["low"], r["high"] + 1)
+                        s += places
+                        w += [digest(raw[k : k + length]) for k in places]
+                        h += [r["h"]] * len(places)
+                        open_ += [r["open"]] * len(places)
+                    counts.append(len(s) - before)
+                own = [part.column(k).take(pa.array(np.repeat(np.arange(len(counts)), counts))) for k in ("row", "id")]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(w), pa.array([row["doc_id"]] * len(at), pa.int64()), pa.array([row["t"]] * len(at), pa.int64()), pa.array([s if o else None for s, o in at], pa.int32())],
-                    names=["w", "doc_id", "t", "s"],
+                    [*own, pa.array(h, pa.int64()), pa.array(np.array(w, np.uint64).view(np.int64)), pa.array(s, pa.int32()), pa.array(open_, pa.bool_())],
+                    names=[c.split()[0] for c in STRINGS.split(", ")],
                 )
 
-    texts = docs.join(parts, ["doc_id", "t"]).select("doc_id", "t", "text", "parts")
-    each = cut(texts.mapInArrow(strings, "w long, doc_id long, t long, s int"), "suffix-strings")
-    again = each.groupBy("w").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("w")  # the parts of a run's halves share no string
-    single = each.where("s IS NOT NULL").join(again, "w", "left_semi").select("doc_id", "t", F.col("s").alias("low"), (F.col("s") + length).alias("high"))
-    whole = near.where("found").select("doc_id", "t", "low", (F.col("high") + length).alias("high"))
-    return whole.unionByName(single), [ends, blocks, near, parts, each]
-
-
-def spans(docs: DataFrame, length: int = LENGTH, kmer: int = KMER, batches: int = BATCHES) -> DataFrame:
-    """doc_id, t, parts: for documents (doc_id, text, t) with repeated strings, the array of their (low, high) bytes."""
-    rows = cut(indexed(docs, length, kmer), "suffix-anchors")
-    family, again = ArrayFamily(), None
-    for k in range(batches):
-        found = family.add(rows.where(F.pmod(F.xxhash64("doc_id", "t"), F.lit(batches)) == k))
-        again = found if again is None else again.unionByName(found)
-    # both sides are written tables, so that Spark can split an anchor that a third of all rows hold
-    again = cut(again.distinct(), "suffix-found")
-    runs = cut(rows.join(again, "h", "left_semi"), "suffix-again")
-    release(rows, again, *family.tables)
-    counted = runs.groupBy("h", "c").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "t", "p", "a", "b")).alias("one"))
-    counted = cut(counted, "suffix-runs")
-    whole = runs.join(counted.where("n > 1").select("h", "c"), ["h", "c"], "left_semi").select("doc_id", "t", F.col("a").alias("low"), (F.col("b") + length).alias("high"))
-    single, tables = _open_ends(docs, counted, length)
-    found = whole.unionByName(single).groupBy("doc_id", "t").agg(F.collect_set(F.struct("low", "high")).alias("parts"))
+    return run
+
+
+def _repeated(rows: DataFrame, key: str, at: str, label: str) -> DataFrame:
+    """h, key, first: keys of rows that stand at two places or more, and the first of these, as a written table.
+
+    Distinct places are counted: both halves of a run that a chunk edge cut have the block that straddles the edge."""
+    place = F.struct("id", "row", F.col(at).alias("at"))
+    found = rows.groupBy("h", key).agg(F.min(place).alias("first"), F.max(place).alias("last"))
+    return cut(found.where("first <> last").drop("last"), label)
+
+
+def _open_ends(texts: DataFrame, matches: DataFrame, length: int, keep_first: bool) -> tuple[DataFrame, list[DataFrame]]:
+    """row, low, high of the repeated strings where anchors are equal and runs are not, and the tables to release later."""
+    place, removed = F.struct("id", "row", "at"), F.col("first").isNotNull()
+    ends = matches.select("one.row", F.struct("h", "one.p", "one.before", "one.strings", (F.lit(keep_first) | (F.col("n") == 1)).alias("open")).alias("run"))
+    ends = cut(ends.groupBy("row").agg(F.collect_list("run").alias("runs")), "suffix-ends")
+    blocks = texts.join(ends, "row").select("row", "id", "text", "runs").mapInArrow(_block_rows(length), BLOCKS)
+    blocks = cut(blocks, "suffix-blocks")
+    cores = _repeated(blocks, "core", "at", "suffix-cores")
+    full = _repeated(blocks.where("full IS NOT NULL"), "full", "at", "suffix-full")
+    near = cut(blocks.join(cores.select("h", "core"), ["h", "core"], "left_semi").join(full, ["h", "full"], "left"), "suffix-near")
+    later = removed & (place != F.col("first"))
+    gone = near.where(F.col("open") & (later if keep_first else removed)).select("row", "low", (F.col("high") + length).alias("high"))
+    # of equal blocks one is enough to compare with; cores of which all blocks are equal need no comparison
+    rest = near.where(~later)
+    several = cut(rest.groupBy("h", "core").agg(F.min(place).alias("x"), F.max(place).alias("y")).where("x <> y").select("h", "core"), "suffix-several")
+    parts = rest.join(several, ["h", "core"], "left_semi").groupBy("row").agg(F.collect_list(F.struct("h", "low", "high", (F.col("open") & (F.lit(keep_first) | ~removed)).alias("open"))).alias("parts"))
+    parts = cut(parts, "suffix-parts")
+    each = cut(texts.join(parts, "row").select("row", "id", "text", "parts").mapInArrow(_string_rows(length), STRINGS), "suffix-strings")
+    again = _repeated(each, "w", "s", "suffix-again")
+    single = each.where("open").join(again, ["h", "w"])
+    if keep_first:
+        single = single.where(F.struct("id", "row", F.col("s").alias("at")) != F.col("first"))
+    single = single.select("row", F.col("s").alias("low"), (F.col("s") + length).alias("high"))
+    return gone.unionByName(single), [ends, blocks, cores, full, near, several, parts, each, again]
+
+
+def spans(texts: DataFrame, length: int, kmer: int, batches: int, keep_first: bool) -> DataFrame:
+    """row, parts: for rows (row, id, text) with strings to remove, the array of their (low, high) bytes."""
+    rows = cut(indexed(texts, length, kmer, batches), "suffix-anchors")
+    family = ArrayFamily()
+    place = F.struct("id", "row", "p", "before", "strings").alias("one")
+    scans = [family.add(rows.where(F.col("batch") == k).select("h", "c", place)) for k in range(batches)]
+    again = cut(reduce(DataFrame.unionByName, scans).distinct(), "suffix-found")
+    # written tables on both sides of each join, so that Spark can split an anchor that a third of all rows hold
+    held = cut(family.rows().join(again, "h", "left_semi"), "suffix-held")
+    release(again, *scans, *(level for _, level in family.levels))
+    matches = cut(held.groupBy("h", "c").agg(F.sum("n").alias("n"), F.min("one").alias("one")), "suffix-matches")
+    several = cut(matches.groupBy("h").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("h"), "suffix-several")
+    whole = rows.join(matches.where("n > 1").select("h", "c", F.col("one.row").alias("first_row"), F.col("one.p").alias("first_p")), ["h", "c"])
+    if keep_first:
+        whole = whole.where("row <> first_row OR p <> first_p")
+    low = F.col("p") - F.col("before")
+    whole = whole.select("row", low.cast("int").alias("low"), (low + F.col("strings") - 1 + length).cast("int").alias("high"))
+    single, tables = _open_ends(texts, matches.join(several, "h", "left_semi"), length, keep_first)
+    found = whole.unionByName(single).groupBy("row").agg(F.collect_set(F.struct("low", "high")).alias("parts"))
     found = cut(found, "suffix-spans")
-    release(runs, counted, *tables)
+    release(rows, held, matches, several, *tables)
     return found
 
 
@@ -256,32 +314,35 @@ def whole_characters(part: bytes) -> bytes:
 
 
 def remove_repeats(
-    docs: DataFrame, length: int = LENGTH, kmer: int = KMER, batches: int = BATCHES, kept: bool = True, carry: tuple[str, ...] = (), characters: bool = False
+    docs: DataFrame, length: int = LENGTH, kmer: int = KMER, batches: int | None = None, kept: bool = True, carry: tuple[str, ...] = (), characters: bool = False, keep_first: bool = False
 ) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the bytes that stay, if asked for) and a struct of the carried columns.
 
     With characters, kept is without the characters that were cut in two; the other columns are by bytes all the same."""
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    # documents of one key have one text, and so one result
+    text, doc_id = F.coalesce(F.col("text").cast("string"), F.lit("")), F.col("doc_id").cast("long")
+    size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     rows = docs.select(
-        F.col("doc_id").cast("long").alias("own_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("t"),
-        (F.struct(*carry) if carry else F.lit(0)).alias("carry"),
+        F.monotonically_increasing_id().alias("row"), F.coalesce(doc_id, F.lit((1 << 63) - 1)).alias("id") if keep_first else F.lit(0).cast("long").alias("id"),
+        doc_id.alias("own_id"), text.alias("text"), (F.struct(*carry) if carry else F.lit(0)).alias("carry"),
     )
     schema = T.StructType.fromDDL(RESULT).add(rows.schema["carry"])
-    found = spans(rows.drop("own_id", "carry").where(F.octet_length("text") >= length), length, kmer, batches)
+    rows = bucketed(rows, "row", "suffix-texts", shuffle_parts(docs.sparkSession, size))
+    found = spans(rows.where(F.octet_length("text") >= length).select("row", "id", "text"), length, kmer, batches or max(BATCHES, math.ceil(size / BATCH_BYTES)), keep_first)
 
+    @tidy
     def close(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches_:
-            out = {k: [] for k in ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")}
-            for doc_id, text, parts in zip(*(batch.column(k).to_pylist() for k in ("own_id", "text", "parts")), strict=True):
-                raw, cuts = _bytes(text), merged([(x["low"], x["high"]) for x in parts or []])
-                stay = [raw[a:b] for a, b in zip([0, *(h for _, h in cuts)], [*(low for low, _ in cuts), len(raw)], strict=True)]
-                left = b"".join(stay)
-                whole = b"".join(map(whole_characters, stay)) if characters and cuts else left
-                for k, v in zip(out, (doc_id, len(raw), len(raw) - len(left), len(cuts), hashlib.sha256(left).hexdigest(), whole if kept else None), strict=True):
-                    out[k].append(v)
-            columns = [pa.array(out[k], kind) for k, kind in zip(out, (*[pa.int64()] * 4, pa.string(), pa.binary()), strict=True)]
-            yield pa.RecordBatch.from_arrays([*columns, batch.column("carry")], names=[*out, "carry"])
-
-    done = rows.join(found, ["doc_id", "t"], "left").select("own_id", "text", "parts", "carry").mapInArrow(close, schema)
+            for part in portions(batch):
+                out = {k: [] for k in ("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")}
+                for text, parts in zip(part.column("text"), part.column("parts"), strict=True):
+                    raw, cuts = _bytes(text.as_py()), merged([(x["low"], x["high"]) for x in parts.as_py() or []])
+                    stay = [raw[a:b] for a, b in zip([0, *(h for _, h in cuts)], [*(low for low, _ in cuts), len(raw)], strict=True)]
+                    left = b"".join(stay)
+                    whole = b"".join(map(whole_characters, stay)) if characters and cuts else left
+                    for k, v in zip(out, (len(raw), len(raw) - len(left), len(cuts), hashlib.sha256(left).hexdigest(), whole if kept else None), strict=True):
+                        out[k].append(v)
+                columns = [pa.array(out[k], kind) for k, kind in zip(out, (*[pa.int64()] * 3, pa.string(), pa.binary()), strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column("own_id"), *columns, part.column("carry")], names=["doc_id", *out, "carry"])
+
+    done = rows.join(found, "row", "left").select("own_id", "text", "parts", "carry").mapInArrow(close, schema)
     return done if carry else done.drop("carry")

@@ -7,6 +7,19 @@ import pytest
 from quartzlake.llm import suffixes
 
 
+def first_kept(rows, length):
+    """Bytes that stay if the first occurrence of each string does: by id (null last), then row, then place."""
+    texts = [(t or "").encode() for _, t in rows]
+    order = sorted(range(len(rows)), key=lambda k: (rows[k][0] is None, rows[k][0] or 0, k))
+    seen, gone = set(), {k: [False] * len(texts[k]) for k in order}
+    for k in order:
+        for s in range(len(texts[k]) - length + 1):
+            if (w := texts[k][s : s + length]) in seen:
+                gone[k][s : s + length] = [True] * length
+            seen.add(w)
+    return sorted(str((rows[k][0], bytes(b for b, g in zip(texts[k], gone[k], strict=True) if not g))) for k in order)
+
+
 def brute(rows, length):
     texts = [(i, (t or "").encode()) for i, t in rows]
     seen = Counter(t[s : s + length] for _, t in texts for s in range(len(t) - length + 1))
@@ -55,6 +68,15 @@ def test_against_brute_force(spark, monkeypatch, length, kmer, batches, chunk):
     spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
+@pytest.mark.parametrize("length, kmer, chunk", [(200, 40, 1 << 20), (50, 11, 300)])
+def test_first_occurrence_stays(spark, monkeypatch, length, kmer, chunk):
+    monkeypatch.setattr(suffixes, "CHUNK", chunk)
+    rows = [(i, t) for i, t in corpus() if i != 6]  # rows of one id and text have no order of their own
+    docs = spark.createDataFrame(random.Random(5).sample(rows, len(rows)), "doc_id long, text string").repartition(3)
+    got = suffixes.remove_repeats(docs, length, kmer, keep_first=True)
+    assert sorted(str((r.doc_id, bytes(r.kept))) for r in got.collect()) == first_kept(rows, length)
+
+
 @pytest.mark.parametrize("chunk", [1 << 20, 700, 333])
 def test_a_chunk_edge_makes_no_repeat(spark, monkeypatch, chunk):
     """A unique text longer than several chunks stays whole, in the workers' chunks too, and a copied part still goes."""
@@ -78,7 +100,7 @@ def test_the_default_chunk_edge(spark):
 def test_levels_merge_geometrically(spark):
     family = suffixes.ArrayFamily()
     for k in range(6):
-        again = family.add(spark.createDataFrame([(k,), (100 + k // 2,)], "h long"))
+        again = family.add(spark.createDataFrame([(k, 0, (k,)), (100 + k // 2, k, (k,))], "h long, c long, one struct<row: long>"))
         assert [r.h for r in again.collect()] == ([100 + k // 2] if k % 2 else [])
         ranks = [r for r, _ in family.levels]
         assert ranks == sorted(ranks, reverse=True) and sum(2**r for r in ranks) == k + 1
