@@ -2,14 +2,17 @@
 
 The network labels every byte of a text. It is a pair of gated recurrent layers of HIDDEN units, one per direction,
 with a softmax over both, trained here in numpy by backpropagation through time on windows of a bounded sample of the
-labelled rows (at most SAMPLE_DOCS documents for a language, those with the smallest hash of their id, of at most
-SAMPLE_CHARS characters). A document's probabilities are the mean over all its bytes.
+labelled rows: of every language that has a row, at most SAMPLE_DOCS documents, those with the smallest hash of their row,
+and of each a piece of at most SAMPLE_CHARS characters from a place that the hash picks. That bounds the rows of a class,
+never the classes. A document's probabilities are the mean over all its bytes.
 
 Texts are read in windows of WINDOW bytes, so a state never depends on more than a window and long texts need no more
 memory than short ones. The last window of a text overlaps the one before; overlapped bytes count once.
 
 Defined cases: a null text and a text without a letter are `und` with score 0; so is every text if no row taught a
-language; rows with one doc_id twice are labelled apart; an empty table gives no rows; further columns are kept.
+language; between equally likely languages the first by name is taken; rows with one doc_id twice are labelled apart;
+repeated rows teach once; an empty table gives no rows; further columns are kept, but for lang_pred and lang_score, which
+are replaced.
 """
 
 from __future__ import annotations
@@ -19,12 +22,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .shared import cut, free_memory, joined, release
+
 WINDOW, HIDDEN, BATCH = 64, 8, 4096
-SAMPLE_DOCS, SAMPLE_CHARS, MAX_LANGUAGES = 200, 20_000, 50
+SAMPLE_DOCS, SAMPLE_CHARS = 200, 4_000
+#: Bytes of text that are labelled together.
+POOL_BYTES = 1 << 20
 STEPS, TRAIN_BATCH, RATE, SEED = 500, 96, 0.02, 42
 UNDETERMINED = "und"
 RESULT = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
@@ -87,16 +94,16 @@ def pooled(net: Network, texts: list[bytes]) -> np.ndarray:
         raw = np.frombuffer(text if n >= WINDOW else text.ljust(WINDOW), np.uint8)
         whole = len(raw) // WINDOW
         windows.append(raw[: whole * WINDOW].reshape(whole, WINDOW))
-        counted += [(0, WINDOW)] * whole if n >= WINDOW else [(0, n)]
+        counted.append(np.full((whole, 2), (0, min(n, WINDOW)), np.int16))
         if len(raw) % WINDOW:
             windows.append(raw[-WINDOW:].reshape(1, WINDOW))
-            counted.append((WINDOW - len(raw) % WINDOW, WINDOW))
+            counted.append(np.array([(WINDOW - len(raw) % WINDOW, WINDOW)], np.int16))
             whole += 1
-        owner += [k] * whole
+        owner.append(np.full(whole, k, np.int32))
     total = np.zeros((len(texts), len(net.bias)))
     if not windows:
         return total
-    rows, owner, counted = np.concatenate(windows), np.array(owner), np.array(counted)
+    rows, owner, counted = np.concatenate(windows), np.concatenate(owner), np.concatenate(counted)
     for at in range(0, len(rows), BATCH):
         some, place = rows[at : at + BATCH].T, np.arange(WINDOW)[:, None]
         probs = run(net, some)
@@ -163,19 +170,43 @@ def train(samples: dict[str, list[bytes]]) -> Network:
     return Network(languages, f("x"), f("u"), f("o"), p["bias"].astype(np.float32))
 
 
+def piece(text, size: int):
+    """At most `size` characters of a text column, from a place that the text's hash picks."""
+    room = F.greatest(F.char_length(text) - size, F.lit(0))
+    return F.substring(text, F.pmod(F.xxhash64(text), room + 1).cast("int") + 1, F.lit(size))
+
+
+def sample(docs: DataFrame) -> DataFrame:
+    """lang, doc_id, text: the bounded sample that a network is fitted on. Each task passes on SAMPLE_DOCS rows of a language
+    at most, and only their keys; their texts come in a second pass."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where("lang IS NOT NULL AND text <> ''")
+    keyed = rows.withColumn("key", F.xxhash64("doc_id", "text"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("key"))
+    chosen = cut(keyed.select("lang", "key").distinct().withColumn("rank", rank).where(F.col("rank") <= SAMPLE_DOCS).drop("rank"), "language-sample")
+    found = cut(joined(keyed, chosen, ["lang", "key"], "left_semi").select("lang", "doc_id", piece(F.col("text"), SAMPLE_CHARS).alias("text")).distinct(), "language-texts")
+    release(chosen)
+    return found
+
+
 def fit(docs: DataFrame) -> Network | None:
     """Fit on a bounded sample of the rows of docs (doc_id, text, lang) that have a language; None if there is none."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    rows = rows.where("lang IS NOT NULL AND text IS NOT NULL").where(F.char_length("text").between(20, SAMPLE_CHARS))
-    languages = [r.lang for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()]
-    ids = None
-    for lang in languages:
-        own = rows.select("doc_id", "lang").where(F.col("lang") == lang).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS)
-        ids = own if ids is None else ids.unionByName(own)
-    if ids is None:
-        return None
-    sample = rows.join(F.broadcast(ids), ["doc_id", "lang"]).toPandas().sort_values(["doc_id", "text"])  # MAX_LANGUAGES x SAMPLE_DOCS rows
-    return train({c: [t.encode("utf-8", "replace") for t in g["text"]] for c, g in sample.groupby("lang")})
+    found = sample(docs)
+    texts = found.toPandas().sort_values(["lang", "doc_id", "text"])  # SAMPLE_DOCS pieces of SAMPLE_CHARS characters for a language
+    release(found)
+    return train({c: [t.encode("utf-8", "replace") for t in g["text"]] for c, g in texts.groupby("lang")}) if len(texts) else None
+
+
+def portions_of(texts: list[bytes]) -> Iterator[list[bytes]]:
+    """Texts in lists of POOL_BYTES bytes or little more, so that memory does not grow with a batch."""
+    part, size = [], 0
+    for text in texts:
+        part.append(text)
+        size += len(text)
+        if size >= POOL_BYTES:
+            yield part
+            part, size = [], 0
+    if part:
+        yield part
 
 
 def predict(docs: DataFrame, net: Network | None) -> DataFrame:
@@ -188,8 +219,10 @@ def predict(docs: DataFrame, net: Network | None) -> DataFrame:
         own = shared.value
         names = np.array(own.languages, object)
         for texts in batches:
-            probs = pooled(own, [(t or "").encode("utf-8", "replace") for t in texts])
+            parts = [pooled(own, part) for part in portions_of((t or "").encode("utf-8", "replace") for t in texts)]
+            probs = np.concatenate(parts) if parts else np.zeros((0, len(names)))
             yield pd.DataFrame({"lang_pred": names[probs.argmax(axis=1)] if len(probs) else [], "score": np.clip(probs.max(axis=1, initial=0), 0, 1)})
+        free_memory()
 
     labelled.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
     text = F.col("text").cast("string")

@@ -17,9 +17,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Words that a worker remembers (about 200 bytes each); when they are so many, it starts anew.
-MEMORY_WORDS = 1_600_000
+MEMORY_WORDS = 800_000
 #: Bytes of text that are encoded together, and words in one call of the library.
-BATCH_BYTES, CALL_WORDS = 24 << 20, 1000
+BATCH_BYTES, CALL_WORDS = 16 << 20, 1000
 # White space besides space and line feed. With these, or two in a row, or one at an end, a text is not cut into words.
 IRREGULAR = r"[\t\x0b\f\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]|[ \n][ \n]|\A[ \n]|[ \n]\z"
 

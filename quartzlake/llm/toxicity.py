@@ -5,12 +5,14 @@ document. Each present feature has the value r, the log of the ratio between its
 documents; logistic regression weighs these values. Features without support (few documents, or a ratio within chance)
 are left out, so ordinary words of long documents add nothing.
 
-The fit takes a bounded sample of the labelled rows: at most SAMPLE[1] toxic and SAMPLE[0] other documents, those with
-the smallest hash of their id, among documents of at most SAMPLE_CHARS characters. Scoring covers every whole text.
-
-Defined cases: null and empty texts have no feature and the score of the intercept; labels that are null are not used;
-rows with one doc_id twice are scored apart; a sample without both classes gives a constant score; an empty table gives
-no rows; further columns are ignored.
+The fit takes a bounded sample of the labelled documents: at most SAMPLE[1] toxic and SAMPLE[0] others, those with the
+smallest hash of their id among the ids that have a text, one row for an id; of a text longer than SAMPLE_CHARS characters
+it takes a piece. Scoring covers every whole text, in one pass of an automaton that keeps only the features found.
+
+Defined cases: null and empty texts have no feature and the score of the intercept; labels that are null are not used, and
+an id with several labels has the greatest; rows with one doc_id twice are scored apart; features that tie for the last
+place are taken in the order in which they were met; a sample without both classes gives a constant score; an empty table
+gives no rows; further columns are kept, but for toxic_score, which is replaced.
 """
 
 from __future__ import annotations
@@ -22,9 +24,12 @@ from dataclasses import dataclass, field
 import ahocorasick
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .language import piece
+from .shared import cut, free_memory, joined, release
+
 MIN_N, MAX_N = 3, 5
 SAMPLE, SAMPLE_CHARS = {1: 1500, 0: 3000}, 20_000
 #: Documents that a feature needs, standard errors that its ratio must differ from zero, most features of a model.
@@ -123,17 +128,27 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
     return w[:-1], float(w[-1])
 
 
+def sample(docs: DataFrame, labels: DataFrame, label: str) -> tuple[DataFrame, float | None]:
+    """(doc_id, text, y) of the bounded sample as a written table, and the share of toxic documents among all labelled ones."""
+    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).where("doc_id IS NOT NULL AND y IN (0, 1)").groupBy("doc_id").agg(F.max("y").alias("y"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL")
+    rows = texts.withColumn("key", F.xxhash64("text"))
+    usable = cut(rows.groupBy("doc_id").agg(F.min("key").alias("key")).join(known, "doc_id"), "toxicity-labels")
+    rank = F.row_number().over(Window.partitionBy("y").orderBy(F.xxhash64("doc_id"), "doc_id"))  # each task passes on the first few only
+    most = F.when(F.col("y") == 1, SAMPLE[1]).otherwise(SAMPLE[0])
+    chosen = cut(usable.withColumn("rank", rank).where((F.col("rank") <= max(SAMPLE.values())) & (F.col("rank") <= most)).drop("rank"), "toxicity-sample")
+    share = usable.agg(F.avg("y")).first()[0]
+    found = cut(joined(rows, chosen, ["doc_id", "key"], "inner").select("doc_id", piece(F.col("text"), SAMPLE_CHARS).alias("text"), "y").distinct(), "toxicity-texts")
+    release(usable, chosen)
+    return found, share
+
+
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Model:
     """Fit on a bounded sample of the labelled documents."""
-    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).where("doc_id IS NOT NULL AND y IN (0, 1)")
-    share = known.agg(F.avg("y")).first()[0]
-    if share is None:
-        return Model()
-    order = (F.xxhash64("doc_id"), F.col("doc_id"))
-    picked = [known.where(F.col("y") == c).orderBy(*order).limit(n) for c, n in SAMPLE.items()]  # at most so many rows: bounded
-    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.char_length("text") <= SAMPLE_CHARS)
-    rows = text.join(F.broadcast(picked[0].unionByName(picked[1])), "doc_id").select("doc_id", "text", "y").toPandas().sort_values(["doc_id", "text"])
-    return fit_texts(rows["text"].tolist(), rows["y"].to_numpy(int), float(share))
+    found, share = sample(docs, labels, label)
+    rows = found.toPandas().sort_values(["doc_id", "text"])  # SAMPLE bounds the rows, SAMPLE_CHARS their texts
+    release(found)
+    return fit_texts(rows["text"].tolist(), rows["y"].to_numpy(int), float(share)) if share is not None else Model()
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -144,6 +159,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         score = shared.value.scorer()
         for texts in batches:
             yield pd.Series([score(t) for t in texts], dtype=float)
+        free_memory()
 
     scored.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
     return docs.withColumn("toxic_score", F.pandas_udf(scored, "double")(F.col("text").cast("string")))
