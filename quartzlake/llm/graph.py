@@ -1,6 +1,7 @@
 """Connected components of a link table, by alternating large-star and small-star steps.
 
-Every step is a grouping and a join of the links, so the graph never leaves the executors. Nodes are any integers.
+Every step is a grouping and a join of the links, so the graph never leaves the executors. The grouping is written first, so
+that Spark can split the links of a hub in the join. Nodes are any integers.
 An empty link table has no components. Links may repeat and may point either way.
 """
 
@@ -9,32 +10,34 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import cut, new_dir
+from .shared import cut, release
 
 MAX_ROUNDS = 60
 
 
-def _large_star(links: DataFrame) -> DataFrame:
+def _large_star(links: DataFrame) -> tuple[DataFrame, DataFrame]:
     both = links.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionByName(links.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.join(least, "u").where("v > u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
+    least = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "links-least")
+    return both.join(least, "u").where("v > u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct(), least
 
 
-def _small_star(links: DataFrame) -> DataFrame:
-    least = links.groupBy("hi").agg(F.min("lo").alias("m"))
+def _small_star(links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    least = cut(links.groupBy("hi").agg(F.min("lo").alias("m")), "links-least")
     moved = links.join(least, "hi").where("lo > m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
-    return moved.unionByName(least.select("hi", F.col("m").alias("lo"))).distinct()
+    return moved.unionByName(least.select("hi", F.col("m").alias("lo"))).distinct(), least
 
 
 def components(links: DataFrame) -> DataFrame:
     """node, root: for each node of the links (hi, lo), the least node that it is connected with."""
-    spark = links.sparkSession
     state = cut(links.select(F.greatest("hi", "lo").alias("hi"), F.least("hi", "lo").alias("lo")).where("hi > lo").distinct(), "links")
     mark = None
     for _ in range(MAX_ROUNDS):
-        path = new_dir(spark, "links")
-        _small_star(_large_star(state)).write.parquet(path)
-        state = spark.read.schema(state.schema).parquet(path)
+        before, tables = state, []
+        for star in (_large_star, _small_star):
+            moved, least = star(state)
+            state = cut(moved, "links")
+            tables += [least, state]
+        release(before, *tables[:-1])
         seen = state.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("hi", "lo"))).first()
         if seen == mark:
             break

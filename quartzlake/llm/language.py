@@ -193,7 +193,9 @@ def fit(docs: DataFrame) -> Network | None:
     found = sample(docs)
     texts = found.toPandas().sort_values(["lang", "doc_id", "text"])  # SAMPLE_DOCS pieces of SAMPLE_CHARS characters for a language
     release(found)
-    return train({c: [t.encode("utf-8", "replace") for t in g["text"]] for c, g in texts.groupby("lang")}) if len(texts) else None
+    net = train({c: [t.encode("utf-8", "replace") for t in g["text"]] for c, g in texts.groupby("lang")}) if len(texts) else None
+    free_memory()
+    return net
 
 
 def portions_of(texts: list[bytes]) -> Iterator[list[bytes]]:

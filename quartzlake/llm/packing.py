@@ -126,6 +126,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, **limits) -> DataFrame:
             yield out()
         packer.finish()
         yield out()
+        tokens.forget(tokenizer)
 
     loss_from = F.coalesce(F.col("loss_from").cast("long"), F.lit(0)) if "loss_from" in docs.columns else F.lit(0).cast("long")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), loss_from.alias("loss_from"))

@@ -191,6 +191,7 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
                     writer, shards = None, shards + 1
         if writer:
             finish()
+        tokens.forget(tokenizer)
         if done:
             yield pa.RecordBatch.from_pylist(done)
 

@@ -16,8 +16,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from .shared import free_memory
+
 #: Words that a worker remembers (about 200 bytes each); when they are so many, it starts anew.
-MEMORY_WORDS = 800_000
+MEMORY_WORDS = 500_000
 #: Bytes of text that are encoded together, and words in one call of the library.
 BATCH_BYTES, CALL_WORDS = 16 << 20, 1000
 # White space besides space and line feed. With these, or two in a row, or one at an end, a text is not cut into words.
@@ -96,6 +98,12 @@ class TextEncoder:
             start = end
 
 
+def forget(path: str) -> None:
+    """Empty the memory of this worker's encoder at the end of a task: workers live on, and other stages need the room."""
+    encoder(path).memory.clear()
+    free_memory()
+
+
 @cache
 def encoder(path: str) -> TextEncoder:
     """One encoder, and so one memory, for each file and Python worker."""

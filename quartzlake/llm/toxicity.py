@@ -31,7 +31,7 @@ from .language import piece
 from .shared import cut, free_memory, joined, release
 
 MIN_N, MAX_N = 3, 5
-SAMPLE, SAMPLE_CHARS = {1: 1500, 0: 3000}, 20_000
+SAMPLE, SAMPLE_CHARS = {1: 1500, 0: 3000}, 12_000
 #: Documents that a feature needs, standard errors that its ratio must differ from zero, most features of a model.
 MIN_DOCS, MIN_Z, MAX_FEATURES = 4, 3.3, 2_000
 #: Smoothing, strength of the L2 penalty, Newton steps of the fit and conjugate-gradient steps in each.
@@ -79,10 +79,10 @@ def fit_texts(texts: list[str], toxic: np.ndarray, share: float) -> Model:
         own = []
         for w in set(text.lower().split()):
             if w not in by_word:
-                by_word[w] = np.array([ids.setdefault(g, len(ids)) for g in grams(w)], np.int64)
+                by_word[w] = np.array([ids.setdefault(g, len(ids)) for g in grams(w)], np.int32)
             own.append(by_word[w])
-        docs.append(np.unique(np.concatenate(own)) if own else np.zeros(0, np.int64))
-    rows, cols = np.repeat(np.arange(len(docs)), [len(d) for d in docs]), np.concatenate(docs)
+        docs.append(np.unique(np.concatenate(own)) if own else np.zeros(0, np.int32))
+    rows, cols = np.repeat(np.arange(len(docs), dtype=np.int32), [len(d) for d in docs]), np.concatenate(docs)
     has = [np.bincount(cols[toxic[rows] == c], minlength=len(ids)).astype(float) for c in (0, 1)]
     n = [float((toxic == c).sum()) for c in (0, 1)]
     odds = [np.log((has[c] + ALPHA) / (n[c] - has[c] + ALPHA)) for c in (0, 1)]
@@ -148,7 +148,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Model:
     found, share = sample(docs, labels, label)
     rows = found.toPandas().sort_values(["doc_id", "text"])  # SAMPLE bounds the rows, SAMPLE_CHARS their texts
     release(found)
-    return fit_texts(rows["text"].tolist(), rows["y"].to_numpy(int), float(share)) if share is not None else Model()
+    model = fit_texts(rows["text"].tolist(), rows["y"].to_numpy(int), float(share)) if share is not None else Model()
+    free_memory()
+    return model
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
