@@ -12,7 +12,8 @@ from pyspark.sql import types as T
 from quartzlake.config import DEFAULT
 
 SORT_KEYS = ("symbol", "name", "sector", "scan_status", "confidence", "daily_change", "volume_ratio")
-FLAGS = {"has_kap": "kap_count", "has_news": "news_count", "has_action": "action_count", "has_restriction": "restriction_count"}
+#: Flag, then the count and the list that stand in for it, in this order.
+FLAGS = {"has_kap": ("kap_count", "kap_items"), "has_news": ("news_count", "news_items"), "has_action": ("action_count", "action_items"), "has_restriction": ("restriction_count", "restriction_items")}
 # Columns that are never published.
 PRIVATE = re.compile(r"^(internal_notes|raw_error|debug|pending_review|admin_.*)$")
 
@@ -64,10 +65,11 @@ def predicate(df: DataFrame, p: FilterParams) -> Column:
             keep = keep & F.coalesce(F.lower(c) == value.lower(), F.lit(False))
     if p.minimum_confidence is not None:
         keep = keep & F.coalesce(F.col("confidence").try_cast("double") >= p.minimum_confidence, F.lit(False))
-    for flag, count in FLAGS.items():
+    for flag, (count, items) in FLAGS.items():
         if (value := getattr(p, flag)) is not None:
             parts = [F.col(flag)] if flag in df.columns else []
             parts += [F.col(count) > 0] if count in df.columns else []
+            parts += [F.when(F.col(items).isNotNull(), F.size(items) > 0)] if items in df.columns else []
             keep = keep & (F.coalesce(*parts, F.lit(False)) == value)
     return keep
 

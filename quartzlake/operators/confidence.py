@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quartzlake.config import DEFAULT, Thresholds
@@ -120,3 +120,14 @@ def summary(scanned: DataFrame) -> DataFrame:
     rows = scanned.agg(F.count(F.lit(1)).alias("n_stocks"), n("READY").alias("n_ready"), n("PARTIAL_DATA").alias("n_partial"), n("FAILED").alias("n_failed"), n("INACTIVE").alias("n_inactive"), F.bround(F.avg("data_confidence"), 4).alias("avg_confidence"))
     status = F.when(F.col("n_stocks") == 0, "NOT_RUN").when(F.col("n_failed") == F.col("n_stocks"), "FAILED").when(F.col("n_ready") == F.col("n_stocks"), "OK").otherwise("PARTIAL")
     return rows.withColumn("status", status)
+
+
+def scaled(weights: DataFrame) -> DataFrame:
+    """name, weight and its share of 100."""
+    return weights.withColumn("scaled", F.col("weight") * 100 / F.sum("weight").over(Window.partitionBy()))  # a row for each component
+
+
+def name_difference(given: DataFrame) -> DataFrame:
+    """side, name: weights that are not components (extra) and components without a weight (missing)."""
+    own = given.sparkSession.createDataFrame([(n,) for n in WEIGHTS], "name string")
+    return given.exceptAll(own).select(F.lit("extra").alias("side"), "name").unionByName(own.exceptAll(given).select(F.lit("missing").alias("side"), "name"))

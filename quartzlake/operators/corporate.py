@@ -99,3 +99,10 @@ def suspension(restrictions: DataFrame, as_of) -> DataFrame:
     halted = F.coalesce(F.bool_or(F.col("restriction_type") == HALT), F.lit(False))
     notes = F.array_sort(F.collect_set(F.when(F.col("restriction_type") != HALT, F.concat(F.lit("RISK_NOTE:"), F.col("restriction_type")))))
     return live.groupBy("stock_id").agg(halted.alias("halted"), (~halted).alias("scoring_ready"), notes.alias("notes"))
+
+
+def references(bars: DataFrame, factors: DataFrame) -> DataFrame:
+    """stock_id, trade_date, refs: the notices of the actions that take effect after a bar, in the order of their registration."""
+    mine = factors.where("error IS NULL").groupBy("stock_id").agg(F.array_sort(F.collect_list(F.struct("seq", "effective_date", "kap_notice_no"))).alias("actions"))  # a stock has few
+    later = F.filter(F.coalesce("actions", F.array()), lambda x: x["effective_date"] > F.col("trade_date"))
+    return bars.select("stock_id", "trade_date").join(mine, "stock_id", "left").select("stock_id", "trade_date", F.transform(later, lambda x: x["kap_notice_no"]).alias("refs"))

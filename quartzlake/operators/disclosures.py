@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quartzlake.operators import graph
 from quartzlake.operators.identity import resolve
 
 
@@ -40,26 +41,18 @@ def match(feed: DataFrame, symbols: DataFrame, universe: DataFrame) -> DataFrame
     return rows.select(F.col("query_id").alias("notification_id"), F.when(status == "MATCHED", F.col("stock_id")).alias("stock_id"), status.alias("status"))
 
 
-def chains(items: DataFrame, max_rounds: int = 40) -> DataFrame:
+def chains(items: DataFrame) -> DataFrame:
     """notification_id, root, version_no, superseded_by, missing_target.
 
-    Revisions point back. Pointers are doubled round by round, with the distance that they cover, so that a chain of n
-    takes log2(n) joins; a revision whose target is not there starts a chain of its own."""
+    Revisions point back; one whose target is not there starts a chain of its own."""
     known = items.select("notification_id", "previous_notification_id")
     have = known.select(F.col("notification_id").alias("target"))
     rows = known.join(have, known["previous_notification_id"] == have["target"], "left")
-    nodes = rows.select("notification_id", F.coalesce("target", "notification_id").alias("up"), F.when(F.col("target").isNotNull(), 1).otherwise(0).alias("steps"), (F.col("previous_notification_id").isNotNull() & F.col("target").isNull()).alias("missing_target"))
-    state = nodes.persist()
-    for _ in range(max_rounds):
-        above = state.select(F.col("notification_id").alias("up"), F.col("up").alias("far"), F.col("steps").alias("more"))
-        step = state.join(above, "up").select("notification_id", F.col("far").alias("up"), (F.col("steps") + F.col("more")).alias("steps"), "missing_target", (F.col("more") > 0).alias("moved")).persist()
-        moved = step.where("moved").limit(1).count()
-        state.unpersist()
-        state = step.drop("moved")
-        if not moved:
-            break
+    nodes = rows.select("notification_id", "target", (F.col("previous_notification_id").isNotNull() & F.col("target").isNull()).alias("missing_target"))
+    found = graph.ends(nodes.where("target IS NOT NULL").select(F.col("notification_id").alias("node"), F.col("target").alias("up")))
     after = known.where("previous_notification_id IS NOT NULL").groupBy(F.col("previous_notification_id").alias("notification_id")).agg(F.min("notification_id").alias("superseded_by"))
-    return state.join(after, "notification_id", "left").select("notification_id", F.col("up").alias("root"), (F.col("steps") + 1).alias("version_no"), "superseded_by", "missing_target")
+    rows = nodes.join(found.withColumnRenamed("node", "notification_id"), "notification_id", "left").join(after, "notification_id", "left")
+    return rows.select("notification_id", F.coalesce("far", "notification_id").alias("root"), (F.coalesce("steps", F.lit(0)) + 1).cast("int").alias("version_no"), "superseded_by", "missing_target")
 
 
 def readiness(items: DataFrame) -> DataFrame:
@@ -74,3 +67,12 @@ def health(outcomes: DataFrame) -> DataFrame:
     return outcomes.groupBy("run_id").agg(
         F.when(all_down, "FAILED").when(down | (errors > 0), "PARTIAL").otherwise("COMPLETED").alias("status"), F.when(down, "DOWN").when(errors > 0, "DEGRADED").otherwise("OK").alias("health"), n.alias("sources")
     )
+
+
+def ordered(items: DataFrame) -> DataFrame:
+    """items with their position among their stock's: by day, then by id."""
+    return items.withColumn("position", F.row_number().over(Window.partitionBy("stock_id").orderBy("published_on", "notification_id")))
+
+
+def match_counts(matched: DataFrame) -> DataFrame:
+    return matched.groupBy("status").agg(F.count(F.lit(1)).alias("n"))

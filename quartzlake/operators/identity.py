@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quartzlake.operators import graph
+
 # The letters that are folded and what they become, before any change of case.
 FOLD = ("İIıŞşÇçĞğÖöÜü", "iiissccggoouu")
 
@@ -44,16 +46,9 @@ def resolve_names(queries: DataFrame, names: DataFrame) -> DataFrame:
     return q.join(n, "key", "left").select("query_id", F.when(F.col("n") == 1, F.col("stock_id")).alias("stock_id"), F.coalesce("n", F.lit(0)).alias("n_owners"))
 
 
-def merge_closure(merges: DataFrame, max_rounds: int = 40) -> DataFrame:
-    """old, final: where each merged stock ends up. Pointers are doubled, so a chain of n takes about log2(n) joins; what is on a cycle stays."""
-    state = merges.select("old", F.col("new").alias("final"))
-    for _ in range(max_rounds):
-        step = state.alias("a").join(state.alias("b"), F.col("a.final") == F.col("b.old"), "left").select("a.old", F.coalesce(F.when(F.col("b.final") != F.col("a.old"), F.col("b.final")), "a.final").alias("final"), F.col("b.old").isNotNull().alias("moved"))
-        step = step.checkpoint() if state.sparkSession.sparkContext.getCheckpointDir() else step.persist()
-        state = step.select("old", "final")
-        if not step.where("moved").limit(1).count():
-            break
-    return state
+def merge_closure(merges: DataFrame) -> DataFrame:
+    """old, final: where each merged stock ends up; merges that run in a circle are an error."""
+    return graph.ends(merges.select(F.col("old").alias("node"), F.col("new").alias("up"))).select(F.col("node").alias("old"), F.col("far").alias("final"))
 
 
 def members(universe: DataFrame, days: DataFrame) -> DataFrame:
@@ -80,3 +75,8 @@ def scd2(changes: DataFrame) -> DataFrame:
     """Symbol history from (stock_id, platform, symbol, changed_on): each row is valid until the next change."""
     after = F.lead("changed_on").over(Window.partitionBy("stock_id", "platform").orderBy("changed_on"))
     return changes.select("stock_id", "platform", "symbol", F.col("changed_on").alias("valid_from"), after.alias("valid_to"), after.isNull().alias("is_active"))
+
+
+def history(symbols: DataFrame) -> DataFrame:
+    """A stock's symbols with their position: by start, then by symbol."""
+    return symbols.select("stock_id", "symbol", F.row_number().over(Window.partitionBy("stock_id").orderBy("valid_from", "symbol")).alias("position"))

@@ -13,6 +13,19 @@ PHASES = (
     ("PACKAGING", 34200, 34500), ("ANOMALY_CHECK", 34500, 34800), ("DATA_CUTOFF", 34800, 34800), ("CRITICAL_RESCAN", 34800, 35100),
 )
 RETRY_DELAYS = (0, 30, 90)
+# The states of a stock in a scan and those that may follow each; FAILED to WAITING needs the reason below.
+COLLECTING = ("COLLECTING_PRICE", "COLLECTING_KAP", "COLLECTING_NEWS", "COLLECTING_ACTIONS", "COLLECTING_RESTRICTIONS")
+FOLLOWING = {
+    "WAITING": (*COLLECTING, "INACTIVE"),
+    "COLLECTING_PRICE": ("COLLECTING_KAP", "VALIDATING", "PARTIAL_DATA", "FAILED"),
+    "COLLECTING_KAP": ("COLLECTING_NEWS", "VALIDATING", "PARTIAL_DATA", "FAILED"),
+    "COLLECTING_NEWS": ("COLLECTING_ACTIONS", "VALIDATING", "PARTIAL_DATA", "FAILED"),
+    "COLLECTING_ACTIONS": ("COLLECTING_RESTRICTIONS", "VALIDATING", "PARTIAL_DATA", "FAILED"),
+    "COLLECTING_RESTRICTIONS": ("VALIDATING", "PARTIAL_DATA", "FAILED"),
+    "VALIDATING": ("READY", "PARTIAL_DATA", "FAILED"),
+    "PARTIAL_DATA": ("VALIDATING", "READY"),
+}
+RESCAN = "conscious_rescan"
 
 
 def source_alerts(events: DataFrame, limits: Thresholds = DEFAULT) -> DataFrame:
@@ -32,15 +45,20 @@ def run_revisions(starts: DataFrame) -> DataFrame:
     return rows.withColumn("parent", F.lag("run_id").over(by))
 
 
-def illegal_transitions(states: DataFrame, allowed: DataFrame) -> DataFrame:
-    """Consecutive states of a stock that no row of allowed (old, new) permits; FAILED to WAITING needs a reason."""
+def illegal_transitions(states: DataFrame, following: dict[str, tuple[str, ...]] = FOLLOWING, rescan: str = RESCAN) -> DataFrame:
+    """Consecutive states of a stock (stock_id, seq, state, reason) that the table does not permit; FAILED to WAITING needs the rescan's reason."""
     rows = states.withColumn("old", F.lag("state").over(Window.partitionBy("stock_id").orderBy("seq"))).withColumnRenamed("state", "new").where("old IS NOT NULL")
-    legal = allowed.withColumn("legal", F.lit(True))
-    rows = rows.join(F.broadcast(legal), ["old", "new"], "left")  # a row for each pair of states
-    ok = F.coalesce("legal", F.lit(False)) | ((F.col("old") == "FAILED") & (F.col("new") == "WAITING") & F.col("reason").isNotNull())
+    ok = (F.col("old") == "FAILED") & (F.col("new") == "WAITING") & F.coalesce(F.col("reason") == rescan, F.lit(False))
+    for old, allowed in following.items():
+        ok = ok | ((F.col("old") == old) & F.col("new").isin(*allowed))
     return rows.where(~ok).select("stock_id", "seq", "old", "new")
 
 
+def trading_day(date: Column, holidays: tuple[str, ...] = ()) -> Column:
+    closed = date.isin(*[F.lit(h).cast("date") for h in holidays]) if holidays else F.lit(False)
+    return (F.weekday(date) < 5) & ~closed
+
+
 def phase(ts: Column, zone: str = "Europe/Istanbul") -> Column:
     """Phase of a UTC time in local time; points win by order, microseconds are dropped; null outside."""
     local = F.from_utc_timestamp(ts, zone)
@@ -75,3 +93,10 @@ def calls_in_window(calls: DataFrame, seconds: int = 60) -> DataFrame:
     """Each call with the number of calls of its source in the last `seconds`, its own included."""
     by = Window.partitionBy("source_id").orderBy("second").rangeBetween(1 - seconds, 0)
     return calls.withColumn("recent", F.count(F.lit(1)).over(by))
+
+
+def recovered(found: DataFrame) -> DataFrame:
+    """Runs (owner, seq, status, alive) after a restart: an ACTIVE one is ABORTED, but for the last of an owner that is alive."""
+    last = F.lead("seq").over(Window.partitionBy("owner").orderBy("seq")).isNull()
+    cut_off = (F.col("status") == "ACTIVE") & ~(last & F.coalesce("alive", F.lit(False)))
+    return found.withColumn("status", F.when(cut_off, "ABORTED").otherwise(F.col("status")))

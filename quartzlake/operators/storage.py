@@ -62,11 +62,11 @@ def stale(bars: DataFrame, as_of, days: int) -> DataFrame:
     return bars.groupBy("stock_id").agg(old.alias("days_old"), (old > days).alias("is_stale"))
 
 
-def manifest(tables: dict[str, DataFrame]) -> DataFrame:
-    """table_name, row_count and an order-insensitive checksum of every table."""
+def manifest(tables: dict[str, DataFrame], row_hash=lambda df: F.xxhash64(*df.columns)) -> DataFrame:
+    """table_name, row_count and a checksum of every table that does not depend on the order of its rows."""
     out = None
     for name, df in tables.items():
-        row = df.agg(F.count(F.lit(1)).alias("row_count"), F.bit_xor(F.xxhash64(*df.columns)).alias("checksum")).select(F.lit(name).alias("table_name"), "row_count", "checksum")
+        row = df.agg(F.count(F.lit(1)).alias("row_count"), F.bit_xor(row_hash(df)).alias("checksum")).select(F.lit(name).alias("table_name"), "row_count", "checksum")
         out = row if out is None else out.unionByName(row)
     return out
 

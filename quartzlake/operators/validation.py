@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,7 +41,7 @@ def ingest_codes(limits: Thresholds = DEFAULT) -> Column:
     )
 
 
-def rules(as_of, limits: Thresholds = DEFAULT, holidays: tuple[str, ...] = (), ordinal: Column | None = None) -> list[tuple[str, str, Column]]:
+def rules(as_of, limits: Thresholds = DEFAULT, holidays: tuple[str, ...] = (), ordinal: Column | None = None, extra: list | None = None) -> list[tuple[str, str, Column]]:
     """(code, severity, ok) of every rule; one projection runs them all."""
     o, h, low, c = (F.col(p) for p in PRICES)
     missing = o.isNull() | h.isNull() | low.isNull() | c.isNull()
@@ -56,10 +57,30 @@ def rules(as_of, limits: Thresholds = DEFAULT, holidays: tuple[str, ...] = (), o
     ]
     if ordinal is not None:
         found.append(("DUPLICATE_DATE", FATAL, ordinal == 1))
+    found += [(code, severity, ok) for code, severity, ok in (extra or [])]
     return found
 
 
-def validate(bars: DataFrame, as_of, limits: Thresholds = DEFAULT, holidays: tuple[str, ...] = (), order: str | None = None) -> DataFrame:
+def owner_rule(owner: Column) -> tuple[str, str, Column]:
+    """The symbol belongs to the stock (owner: the stock that it resolves to, null where nothing was asked)."""
+    return "SYMBOL_OWNER_MISMATCH", FATAL, owner.isNull() | (owner == F.col("stock_id"))
+
+
+def outlier_rule(explained: Column) -> tuple[str, str, Column]:
+    """A move against the last clean close is in bounds or explained (null: no reference)."""
+    return "UNEXPLAINED_OUTLIER", WARN, F.coalesce(explained, F.lit(True))
+
+
+def corporate_rule(actions: Column) -> tuple[str, str, Column]:
+    """The corporate actions were looked up: null is unchecked, an empty list is checked. It never changes the status."""
+    return "CORPORATE_UNCHECKED", INFO, actions.isNotNull()
+
+
+def cross_rule(diff_pct: Column, limits: Thresholds = DEFAULT) -> tuple[str, str, Column]:
+    return "SOURCE_DIVERGENCE", WARN, F.coalesce(diff_pct <= limits.source_tolerance_pct, F.lit(True))
+
+
+def validate(bars: DataFrame, as_of, limits: Thresholds = DEFAULT, holidays: tuple[str, ...] = (), order: str | None = None, extra: list | None = None) -> DataFrame:
     """bars with failed_codes and status: REJECTED if a fatal rule fails, else REVIEW_REQUIRED if a warning does, else CLEAN.
 
     order: a column that tells repeated (stock, date, source) rows apart; the first one is kept."""
@@ -67,7 +88,7 @@ def validate(bars: DataFrame, as_of, limits: Thresholds = DEFAULT, holidays: tup
     if order:
         bars = bars.withColumn("ordinal", F.row_number().over(Window.partitionBy("stock_id", "trade_date", "source").orderBy(order)))
         ordinal = F.col("ordinal")
-    battery = rules(as_of, limits, holidays, ordinal)
+    battery = rules(as_of, limits, holidays, ordinal, extra)
     bars = bars.withColumn("failed_codes", F.array_compact(F.array(*[F.when(~ok, code) for code, _, ok in battery])))
     fatal, warn = ([code for code, severity, _ in battery if severity == s] for s in (FATAL, WARN))
     hit = lambda codes: F.arrays_overlap("failed_codes", F.array(*map(F.lit, codes))) if codes else F.lit(False)
@@ -77,19 +98,22 @@ def validate(bars: DataFrame, as_of, limits: Thresholds = DEFAULT, holidays: tup
 def clean_chain(bars: DataFrame, limits: Thresholds = DEFAULT) -> DataFrame:
     """stock_id, trade_date, status: a close is compared with the last one that was CLEAN itself.
 
-    The verdict feeds on earlier verdicts, so it is a fold over a stock's bars in order of date: one grouping by stock
-    whose state is that stock's bars."""
-    bar = F.struct("trade_date", "close", F.col("explained").alias("explained") if "explained" in bars.columns else F.lit(False).alias("explained"))
-    series = bars.groupBy("stock_id").agg(F.array_sort(F.collect_list(bar)).alias("bars"))
-    start = F.struct(F.lit(None).cast("double").alias("last"), F.array().cast("array<struct<trade_date:date,status:string>>").alias("out"))
-
-    def step(state: Column, b: Column) -> Column:
-        far = F.abs(b["close"] - state["last"]) / state["last"] * 100 > limits.outlier_pct
-        review = holds(state["last"].isNotNull() & far & ~b["explained"])
-        verdict = F.struct(b["trade_date"].alias("trade_date"), F.when(review, "REVIEW_REQUIRED").otherwise("CLEAN").alias("status"))
-        return F.struct(F.when(review, state["last"]).otherwise(b["close"]).alias("last"), F.concat(state["out"], F.array(verdict)).alias("out"))
-
-    return series.select("stock_id", F.explode(F.aggregate("bars", start, step)["out"]).alias("v")).select("stock_id", "v.trade_date", "v.status")
+    The verdict feeds on earlier verdicts, so each stock's bars are read once in order of date, and the state is one close.
+    A stock has a bar for a day and source, so its frame is bounded by its days."""
+    most = limits.outlier_pct
+
+    def chain(rows: pd.DataFrame) -> pd.DataFrame:
+        rows, last, status = rows.sort_values(["trade_date", "close"]), None, []
+        for close, explained in zip(rows["close"].tolist(), rows["explained"].tolist(), strict=True):
+            known = last is not None and close == close
+            review = known and abs(close - last) / last * 100 > most and not explained
+            status.append("REVIEW_REQUIRED" if review else "CLEAN")
+            last = last if review else close if close == close else None
+        return pd.DataFrame({"stock_id": rows["stock_id"], "trade_date": rows["trade_date"], "status": status})
+
+    explained = F.coalesce("explained", F.lit(False)) if "explained" in bars.columns else F.lit(False)
+    rows = bars.select("stock_id", "trade_date", "close", explained.alias("explained"))
+    return rows.groupBy("stock_id").applyInPandas(chain, "stock_id long, trade_date date, status string")
 
 
 def source_check(primary: DataFrame, reference: DataFrame, limits: Thresholds = DEFAULT) -> DataFrame:

@@ -230,10 +230,10 @@ def adjustment_factors(spark, d):
     return factors(spark, d).select("seq", "stock_id", "reference_close", F.bround("factor", 9).alias("factor"), "error")
 
 
-@query(with_views("actions bars_long", """SELECT b.stock_id, b.trade_date, b.close, round_even(coalesce(product(factor), 1) * 1e6 / 1e6, 9) AS factor, count(f.seq) AS n_actions
-  FROM bars_long b LEFT JOIN factors f ON f.stock_id = b.stock_id AND f.effective_date > b.trade_date AND f.error IS NULL GROUP BY 1, 2, 3""".replace(" * 1e6 / 1e6", ""), FACTORS))
+@query(with_views("actions bars_long", """SELECT b.stock_id, b.trade_date, b.close, round_even(coalesce(product(factor), 1), 9) AS factor, count(f.seq) AS n_actions, round_even(b.close * coalesce(product(factor), 1), 6) AS adjusted_close
+  FROM bars_long b LEFT JOIN factors f ON f.stock_id = b.stock_id AND f.effective_date > b.trade_date AND f.error IS NULL GROUP BY 1, 2, 3""", FACTORS))
 def adjusted_closes(spark, d):
-    return corporate.adjusted(T.bars_long(spark, d), factors(spark, d)).select("stock_id", "trade_date", "close", F.bround("factor", 9).alias("factor"), F.col("n_actions").cast("long").alias("n_actions"))
+    return corporate.adjusted(T.bars_long(spark, d), factors(spark, d)).select("stock_id", "trade_date", "close", F.bround("factor", 9).alias("factor"), F.col("n_actions").cast("long").alias("n_actions"), "adjusted_close")
 
 
 @query(with_views("actions bars_long", """SELECT stock_id, trade_date, CASE WHEN before IS NULL THEN 'NO_REFERENCE' WHEN abs(close - before) / before * 100 <= 20 THEN 'NO_OUTLIER' WHEN factor IS NULL THEN 'UNEXPLAINED_OUTLIER'

@@ -1,7 +1,8 @@
 """Names of the queries, what they run, and the SQL that must give the same rows."""
 
-from . import bars, domain
+from . import analytics, bars, domain, records
 
-QUERIES: dict = {**bars.QUERIES, **domain.QUERIES}
-ORACLE_SQL: dict = {**bars.ORACLE_SQL, **domain.ORACLE_SQL}
+PARTS = (bars, domain, records, analytics)
+QUERIES: dict = {name: run for part in PARTS for name, run in part.QUERIES.items()}
+ORACLE_SQL: dict = {name: sql for part in PARTS for name, sql in part.ORACLE_SQL.items()}
 FLAGSHIP = "full_day_scan"

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quartzlake.functions import text
-from quartzlake.operators import api, confidence, disclosures, identity, index_score, news, runs, storage
+from quartzlake.functions import fuzzy, text
+from quartzlake.operators import api, confidence, dedupe, disclosures, identity, index_score, news, runs, storage
 from quartzlake.sources import tables as T
 
 from .bars import AS_OF, BATTERY, checked, joined
@@ -136,32 +136,32 @@ def content_tags(spark, d):
 
 
 ALIASES = f"""aliases AS (SELECT DISTINCT news_id % 40 AS stock_id, CASE news_id % 3 WHEN 0 THEN 'CODE' WHEN 1 THEN 'BRAND' ELSE 'FULL_NAME' END AS method, norm
-  FROM (SELECT news_id, CASE WHEN news_id % 3 = 0 THEN {NORM.format("substr(w, 1, 2)")} ELSE {NORM.format("w")} END AS norm FROM (SELECT news_id, string_split(title, ' ')[1] AS w FROM news)) WHERE norm <> '' AND NOT contains(norm, ' '))"""
+  FROM (SELECT news_id, {NORM.format("CASE WHEN news_id % 3 = 0 THEN substr(title, 1, 2) ELSE array_to_string(string_split(title, ' ')[1:news_id % 9 + 1], ' ') END")} AS norm FROM news) WHERE norm <> '' AND (news_id % 3 <> 0 OR NOT contains(norm, ' ')))"""
 
 
 def aliases(spark, d):
-    """One alias from the first word of each title: a code of two letters, a brand or a full name."""
-    k, w = F.col("news_id"), F.split("title", " ")[0]
+    """One alias from the first words of each title: a code of two letters, a brand or a full name of up to nine words."""
+    k = F.col("news_id")
     method = F.when(k % 3 == 0, "CODE").when(k % 3 == 1, "BRAND").otherwise("FULL_NAME")
-    norm = text.normalize(F.when(k % 3 == 0, F.substring(w, 1, 2)).otherwise(w))
-    return T.news(spark, d).select((k % 40).alias("stock_id"), method.alias("method"), norm.alias("norm")).where("norm <> '' AND NOT contains(norm, ' ')").distinct()
+    norm = text.normalize(F.when(k % 3 == 0, F.substring("title", 1, 2)).otherwise(F.array_join(F.slice(F.split("title", " "), F.lit(1), (k % 9 + 1).cast("int")), " ")))
+    return T.news(spark, d).select("news_id", (k % 40).alias("stock_id"), method.alias("method"), norm.alias("norm")).where("norm <> '' AND (news_id % 3 <> 0 OR NOT contains(norm, ' '))").drop("news_id").distinct()
 
 
 CONTEXT = ", ".join(f"'{w}'" for w in news.CONTEXT)
 
 
 @query(with_views("news", f"""SELECT news_id, stock_id, method, norm AS alias FROM (SELECT news_id, string_split({NORM.format("title || ' ' || body")}, ' ') AS t FROM news) n JOIN aliases a
-  ON list_contains(t, norm) WHERE method <> 'CODE' OR length(norm) > 2 OR list_has_any(t, [{CONTEXT}])""", ALIASES))
+  ON contains(' ' || array_to_string(t, ' ') || ' ', ' ' || norm || ' ') WHERE method <> 'CODE' OR length(norm) > 2 OR list_has_any(t, [{CONTEXT}])""", ALIASES))
 def alias_code_hits(spark, d):
-    return news.alias_hits(T.news(spark, d), aliases(spark, d), max_tokens=1).drop("context")
+    return news.alias_hits(T.news(spark, d), aliases(spark, d)).drop("context")
 
 
 @query(with_views("news", f"""SELECT news_id, stock_id, score, score >= 80 AND NOT (score = top AND ties > 1) AS confirmed FROM (SELECT *, count(*) FILTER (score = top) OVER (PARTITION BY news_id) AS ties FROM (SELECT *, max(score) OVER (PARTITION BY news_id) AS top FROM (
   SELECT news_id, stock_id, least(95, max(base) + CASE WHEN count(DISTINCT method) >= 2 THEN 10 ELSE 0 END + CASE WHEN bool_and(method = 'BRAND') AND bool_or(context) THEN 10 ELSE 0 END) AS score FROM (
   SELECT news_id, stock_id, method, CASE method WHEN 'CODE' THEN 70 WHEN 'BRAND' THEN 75 ELSE 95 END AS base, list_has_any(t, [{CONTEXT}]) AS context
-  FROM (SELECT news_id, string_split({NORM.format("title || ' ' || body")}, ' ') AS t FROM news) n JOIN aliases a ON list_contains(t, norm) WHERE method <> 'CODE' OR length(norm) > 2 OR list_has_any(t, [{CONTEXT}])) GROUP BY 1, 2)))""", ALIASES))
+  FROM (SELECT news_id, string_split({NORM.format("title || ' ' || body")}, ' ') AS t FROM news) n JOIN aliases a ON contains(' ' || array_to_string(t, ' ') || ' ', ' ' || norm || ' ') WHERE method <> 'CODE' OR length(norm) > 2 OR list_has_any(t, [{CONTEXT}])) GROUP BY 1, 2)))""", ALIASES))
 def match_scores(spark, d):
-    return news.combine(news.alias_hits(T.news(spark, d), aliases(spark, d), max_tokens=1)).drop("method")
+    return news.combine(news.alias_hits(T.news(spark, d), aliases(spark, d))).drop("method")
 
 
 @query(with_views("news", "SELECT norm, count(DISTINCT stock_id) AS n_owners FROM aliases GROUP BY 1 HAVING count(DISTINCT stock_id) > 1", ALIASES))
@@ -169,9 +169,15 @@ def ambiguous_aliases(spark, d):
     return news.ambiguous_aliases(aliases(spark, d))
 
 
-@query(with_views("news", """SELECT md5(body) AS digest, arg_min(news_id, (published_min, -length(body), news_id)) AS canonical_id, count(*) AS n FROM news GROUP BY 1"""))
+def agency_sources(n):
+    """News whose sources are an agency's for every fifth row."""
+    k = F.col("news_id")
+    return n.withColumn("source_name", F.when(k % 15 == 0, "Anadolu Ajansı").when(k % 15 == 5, "Haber REUTERS servisi").when(k % 15 == 10, "Jones & Dow").otherwise(F.concat(F.lit("site "), F.col("source_name"))))
+
+
+@query(with_views("news", """SELECT md5(body) AS digest, arg_min(news_id, ((news_id % 5 <> 0)::INT, published_min, -length(body), news_id)) AS canonical_id, count(*) AS n FROM news GROUP BY 1"""))
 def exact_text_groups(spark, d):
-    return news.canonical(T.news(spark, d).withColumn("digest", F.md5("body")), "digest")
+    return news.canonical(agency_sources(T.news(spark, d)).withColumn("digest", F.md5("body")), "digest")
 
 
 @query("""SELECT url, min(page_id) AS canonical_id, count(*) AS n FROM (SELECT page_id, lower(regexp_replace(url, '[?#].*$', '')) AS url FROM pages) GROUP BY 1""")
@@ -180,17 +186,72 @@ def duplicate_urls(spark, d):
     return pages.groupBy("url").agg(F.min("page_id").alias("canonical_id"), F.count(F.lit(1)).alias("n"))
 
 
+def deduped(n):
+    """News with URLs, minutes, agencies and content types for the de-duplication."""
+    k = F.col("news_id")
+    url = F.when(k % 6 == 1, F.concat(F.lit("http://x/"), F.floor(k / 18).cast("string"))).when(k % 6 == 2, "")
+    return agency_sources(n).select("news_id", "title", "body", "source_name", url.alias("url"), F.when(k % 10 != 3, k * 7 % 4000).alias("at"), F.when(k % 97 == 0, "AUTO_PRICE_TABLE").otherwise("NEWS").alias("content_type"))
+
+
+def confirmed_stocks(n):
+    return n.where("news_id % 4 <> 0").select("news_id", (F.col("news_id") % 3).alias("stock_id"))
+
+
 @query()
 def near_duplicate_news(spark, d):
     n = T.news(spark, d)
-    one = news.canonical(n.withColumn("digest", F.md5(F.concat_ws("\n", "title", "body"))), "digest").select(F.col("canonical_id").alias("news_id"))
-    return news.near_duplicates(n.join(one, "news_id", "left_semi"))
+    return dedupe.dedupe(deduped(n), confirmed_stocks(n)).withColumn("reasons", joined("reasons"))
+
+
+DEDUPED = f"""e AS (SELECT news_id, CASE WHEN news_id % 6 = 1 THEN 'http://x/' || news_id // 18 END AS url, CASE WHEN news_id % 10 <> 3 THEN news_id * 7 % 4000 END AS mins, news_id % 5 = 0 AS agency, {NORM.format("title")} AS title, {NORM.format("body")} AS nbody, body,
+    CASE WHEN news_id % 4 <> 0 THEN news_id % 3 END AS stock FROM news WHERE news_id % 97 <> 0),
+keyed AS (SELECT *, list_distinct(list_filter(string_split(title, ' '), lambda w: length(w) >= 4 AND NOT list_contains([{STOP}], w))) AS keys FROM e),
+pairs AS (SELECT a.news_id AS a, b.news_id AS b, a.url = b.url AS u, a.title = b.title AND a.title <> '' AND a.nbody = b.nbody AND a.nbody <> '' AS t, a.title = b.title AND a.title <> '' AND abs(a.mins - b.mins) <= 30 AS m,
+    a.stock = b.stock AND abs(a.mins - b.mins) <= 360 AND len(list_intersect(a.keys, b.keys)) >= 2 AS s FROM keyed a JOIN keyed b ON a.news_id < b.news_id AND (a.url = b.url OR a.title = b.title OR a.stock = b.stock)),
+edges AS (SELECT * FROM pairs WHERE u OR t OR m OR s), both_ways AS (SELECT a, b FROM edges UNION SELECT b, a FROM edges),
+walk AS (SELECT news_id AS node, news_id AS root FROM e UNION SELECT x.b, w.root FROM walk w JOIN both_ways x ON x.a = w.node AND x.b > w.root),
+label AS (SELECT node, min(root) AS root FROM walk GROUP BY 1),
+grp AS (SELECT root, arg_min(news_id, ((NOT agency)::INT, (mins IS NULL)::INT, coalesce(mins, 0), -length(body), news_id)) AS canonical_id, arg_min(agency, ((NOT agency)::INT, (mins IS NULL)::INT, coalesce(mins, 0), -length(body), news_id)) AS lead, count(*) AS n, bool_or(agency) AND bool_or(NOT agency) AS mixed FROM e JOIN label ON node = news_id GROUP BY 1),
+why AS (SELECT root, bool_or(u) AS u, bool_or(t) AS t, bool_or(m) AS m, bool_or(s) AS s FROM edges JOIN label ON node = a GROUP BY 1),
+told AS (SELECT news_id, canonical_id, n AS group_size, CASE WHEN n > 1 THEN concat_ws(',', CASE WHEN u THEN 'DUPLICATE_SAME_URL' END, CASE WHEN t THEN 'DUPLICATE_TEXT' END, CASE WHEN m THEN 'DUPLICATE_EVENT_TIME' END, CASE WHEN s THEN 'DUPLICATE_SAME_EVENT' END, CASE WHEN mixed THEN 'AGENCY_COPY' END) ELSE '' END AS reasons,
+    NOT (n > 1 AND mixed AND lead AND NOT agency) AS credit FROM e JOIN label ON node = news_id JOIN grp USING (root) LEFT JOIN why USING (root)
+    UNION ALL SELECT news_id, news_id, 1, '', TRUE FROM news WHERE news_id % 97 = 0)"""
+
+
+@query(with_views("news", "SELECT * FROM told", DEDUPED))
+def news_groups(spark, d):
+    """Groups over URLs, equal texts, times and events: all reasons but the fuzzy ratios, so that SQL can say it too."""
+    n = T.news(spark, d)
+    return dedupe.dedupe(deduped(n), confirmed_stocks(n), alike=False).withColumn("reasons", joined("reasons"))
+
+
+@query(with_views("news", """SELECT canonical_id, news_id % 3 AS stock_id, max((news_id % 50, news_id % 4 <> 0))[1] AS score, max((news_id % 50, news_id % 4 <> 0))[2] AS confirmed FROM told JOIN news USING (news_id) GROUP BY 1, 2""", DEDUPED))
+def matches_of_canonical(spark, d):
+    n, k = T.news(spark, d), F.col("news_id")
+    grouped = dedupe.dedupe(deduped(n), confirmed_stocks(n), alike=False)
+    return dedupe.merge_matches(grouped, n.select("news_id", (k % 3).alias("stock_id"), (k % 50).alias("score"), (k % 4 != 0).alias("confirmed")))
+
+
+@query(with_views("news", """SELECT greatest(a.news_id, b.news_id) AS hi, least(a.news_id, b.news_id) AS lo FROM news a JOIN news b ON b.news_id = a.news_id + 3 OR b.news_id = a.news_id + 4 WHERE a.news_id % 4 <> 0 AND b.news_id % 4 <> 0 AND a.news_id % 3 = b.news_id % 3"""))
+def pairs_with_shared_stock(spark, d):
+    n, k = T.news(spark, d).select("news_id"), F.col("news_id")
+    there = n.select(k.alias("hi"))
+    pairs = n.select(k.alias("lo"), F.explode(F.array(k + 3, k + 4)).alias("hi")).join(there, "hi", "left_semi")
+    return dedupe.shared_stocks(pairs, confirmed_stocks(T.news(spark, d)))
 
 
 @query()
 def fuzzy_best_name(spark, d):
-    names = T.table(spark, d, "part").select(F.col("p_name").alias("name")).distinct()
-    return news.best_names(T.table(spark, d, "part").select(F.col("p_partkey").alias("news_id"), F.col("p_name").alias("title")), names)
+    """Every news title against the names of parts, by their best ratio."""
+    names = T.table(spark, d, "part").groupBy(F.col("p_name").alias("name")).agg(F.min("p_partkey").alias("name_id"))
+    return news.best_names(T.news(spark, d).select("news_id", "title"), names.select("name_id", "name"))
+
+
+@query()
+def partial_name_ratio(spark, d):
+    """The best aligned ratio of each part's name with its brand and type."""
+    p = T.table(spark, d, "part")
+    return p.select("p_partkey", fuzzy.column(fuzzy.partial_ratio)(text.normalize(F.col("p_name")), text.normalize(F.concat_ws(" ", "p_brand", "p_type"))).alias("partial"), fuzzy.column(fuzzy.ratio)(text.normalize(F.col("p_name")), text.normalize(F.col("p_type"))).alias("plain"))
 
 
 # --- confidence -----------------------------------------------------------------------------------------------------
@@ -225,10 +286,11 @@ def confidence_components(spark, d):
     return rows.select("stock_id", F.array_join(F.transform("components", lambda x: x["status"]), ",").alias("statuses"))
 
 
-@query(f"WITH {INPUTS} SELECT k AS stock_id, data_confidence, array_to_string(list_filter({NAMES}, lambda n, i: s[i] = 'MISSING'), ',') AS missing_fields, array_to_string(list_filter({NAMES}, lambda n, i: s[i] = 'STALE'), ',') AS stale_components FROM capped")
+@query(f"""WITH {INPUTS} SELECT k AS stock_id, data_confidence, array_to_string(list_filter({NAMES}, lambda n, i: s[i] = 'MISSING'), ',') AS missing_fields, array_to_string(list_filter({NAMES}, lambda n, i: s[i] = 'STALE'), ',') AS stale_components,
+  concat_ws(',', CASE WHEN s[12] = 'FAILED' THEN 'CRITICAL_DATA' END, CASE WHEN list_contains(s, 'STALE') THEN 'STALE_DATA' END, CASE WHEN k % 6 = 2 THEN 'NEW_LISTING' END, CASE WHEN k % 9 = 0 THEN 'TRADING_HALT' END) AS warnings FROM capped""")
 def confidence_score(spark, d):
     v = confidence.verdict(component_inputs(spark, d), AS_OF)
-    return v.select("stock_id", "data_confidence", joined("missing_fields").alias("missing_fields"), joined("stale_components").alias("stale_components"))
+    return v.select("stock_id", "data_confidence", joined("missing_fields").alias("missing_fields"), joined("stale_components").alias("stale_components"), joined("warnings").alias("warnings"))
 
 
 FLAGS = """flags AS (SELECT k, s, k % 29 <> 0 AND k % 31 <> 0 AND k % 37 <> 0 AND k % 41 <> 0 AND k % 43 <> 0 AND k % 4 <> 0 AND k % 5 <> 0 AND k % 6 <> 0 AND k % 7 <> 0 AND k % 8 <> 0 AND k % 9 <> 0 AS technical FROM parts),
@@ -314,13 +376,16 @@ def run_revisions(spark, d):
     return runs.run_revisions(o).select("seq", "run_id", "parent")
 
 
-@query("""SELECT user_id AS stock_id, event_id AS seq, old, new FROM (SELECT user_id, event_id, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS old, event_type AS new, value FROM events)
-  WHERE old IS NOT NULL AND NOT (old < new) AND NOT (old = 'FAILED' AND new = 'WAITING')""")
+STATES = ["WAITING", *runs.COLLECTING, "VALIDATING", "READY", "PARTIAL_DATA", "FAILED", "INACTIVE"]
+LEGAL = " OR ".join(f"(old = '{old}' AND new IN ({', '.join(repr(n) for n in allowed)}))" for old, allowed in runs.FOLLOWING.items())
+
+
+@query(f"""SELECT stock_id, seq, old, new FROM (SELECT user_id AS stock_id, event_id AS seq, lag(state) OVER (PARTITION BY user_id ORDER BY event_id) AS old, state AS new, event_id % 2 = 0 AS said FROM (SELECT user_id, event_id, {STATES}[event_id * 7 % 11 + 1] AS state FROM events))
+  WHERE old IS NOT NULL AND NOT ({LEGAL} OR (old = 'FAILED' AND new = 'WAITING' AND said))""")
 def fsm_violations(spark, d):
-    e = T.table(spark, d, "events").select(F.col("user_id").alias("stock_id"), F.col("event_id").alias("seq"), F.col("event_type").alias("state"), F.lit(None).cast("string").alias("reason"))
-    kinds = e.select("state").distinct()
-    allowed = kinds.select(F.col("state").alias("old")).join(kinds.select(F.col("state").alias("new")), F.col("old") < F.col("new"))
-    return runs.illegal_transitions(e, allowed)
+    k = F.col("event_id")
+    e = T.table(spark, d, "events").select(F.col("user_id").alias("stock_id"), k.alias("seq"), F.get(F.array(*map(F.lit, STATES)), (k * 7 % 11).cast("int")).alias("state"), F.when(k % 2 == 0, runs.RESCAN).alias("reason"))
+    return runs.illegal_transitions(e)
 
 
 @query("""SELECT event_id, CASE WHEN s = 28800 THEN 'PRECHECK' WHEN s = 34800 THEN 'DATA_CUTOFF' WHEN s BETWEEN 28800 AND 31499 THEN 'COLLECTION' WHEN s BETWEEN 31500 AND 32399 THEN 'CLEANING' WHEN s BETWEEN 32400 AND 34199 THEN 'RECOVERY'
@@ -341,6 +406,13 @@ def table_manifest(spark, d):
     return storage.manifest({t: T.table(spark, d, t) for t in T.TABLES}).drop("checksum")
 
 
+@query("SELECT 'part_keys' AS table_name, count(*) AS row_count, CAST(bit_xor((p_partkey * 2654435761 % 4294967296) * 31 + p_size) AS BIGINT) AS checksum FROM part")
+def table_checksum(spark, d):
+    """The manifest's checksum with a row hash that SQL has too."""
+    row = (F.col("p_partkey") * 2654435761 % 4294967296) * 31 + F.col("p_size")
+    return storage.manifest({"part_keys": T.table(spark, d, "part")}, lambda df: row)
+
+
 @query("""SELECT source_id, event_id, count(*) OVER (PARTITION BY source_id ORDER BY second RANGE BETWEEN 59 PRECEDING AND CURRENT ROW) AS recent FROM (SELECT user_id % 10 AS source_id, event_id, epoch(ts)::BIGINT - (CASE WHEN epoch(ts)::BIGINT > epoch(ts) THEN 1 ELSE 0 END) AS second FROM events)""")
 def calls_in_window(spark, d):
     calls = T.source_events(spark, d).select("source_id", "event_id", F.unix_seconds(F.col("ts").cast("timestamp")).alias("second"))

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from quartzlake.operators import storage
+from quartzlake.operators import records, storage
 
 ALERT = "source_id long, alert_at timestamp, event_id long"
 STATE = "streak int, ts timestamp"
@@ -22,22 +22,79 @@ STEP = "stock_id long, state string, missing string"
 WAVES = ("price", "kap", "news", "actions", "restrictions")
 
 
-def append_new(path: str, key: list[str]) -> Callable[[DataFrame, int], None]:
+def stored_at(batch: DataFrame, path: str, partition: str | None, schema=None) -> DataFrame:
+    """The table at path, or an empty one; of a partitioned table only the range of partitions that the batch touches."""
+    try:
+        found = batch.sparkSession.read.parquet(path)
+    except Exception as e:  # no table yet
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return batch.sparkSession.createDataFrame([], schema or batch.schema)
+    if partition is None:
+        return found
+    low, high = batch.agg(F.min(partition), F.max(partition)).first()
+    return found.where(F.col(partition).between(low, high)) if low is not None else found.limit(0)
+
+
+def _append(rows: DataFrame, path: str, partition: str | None) -> None:
+    out = rows.write.mode("append")
+    (out.partitionBy(partition) if partition else out).parquet(path)
+
+
+def append_new(path: str, key: list[str], partition: str | None = None) -> Callable[[DataFrame, int], None]:
     """A foreachBatch sink: rows whose key the table at path has not, first of each key in the batch."""
 
     def write(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
-        try:
-            target = spark.read.parquet(path)
-        except Exception as e:  # no table yet
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            target = spark.createDataFrame([], batch.schema)
-        storage.new_rows(batch, target, key).write.mode("append").parquet(path)
+        _append(storage.new_rows(batch, stored_at(batch, path, partition), key), path, partition)
 
     return write
 
 
+def append_after_mark(path: str, overlap_days: int = 12, partition: str | None = None) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch sink for incremental pulls: of each stock the bars after its high mark, less an overlap that is read again
+    for gaps and late corrections; what is stored is not stored twice."""
+    key = ["stock_id", "trade_date", "source"]
+
+    def write(batch: DataFrame, _: int) -> None:
+        stored = stored_at(batch, path, None)
+        mark = stored.groupBy("stock_id").agg(F.max("trade_date").alias("mark"))
+        fresh = batch.join(mark, "stock_id", "left").where(F.col("mark").isNull() | (F.col("trade_date") > F.date_sub("mark", overlap_days))).drop("mark")
+        _append(storage.new_rows(fresh, stored_at(batch, path, partition), key), path, partition)
+
+    return write
+
+
+def append_disclosures(path: str) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch sink for filings (notification_id, previous_notification_id, seq): each id once, a revision behind its
+    stored predecessor; nothing that is stored changes, and what supersedes what is read from the chain."""
+
+    def write(batch: DataFrame, _: int) -> None:
+        stored = stored_at(batch, path, None, batch.withColumn("version_no", F.lit(1)).schema)
+        done = records.insert_disclosures(batch, stored).where("outcome <> 'duplicate'")
+        batch.join(done.select("notification_id", "seq", "version_no"), ["notification_id", "seq"]).select(*batch.columns, F.col("version_no").cast("int").alias("version_no")).write.mode("append").parquet(path)
+
+    return write
+
+
+def expiries(stream: DataFrame, delay: str = "0 seconds") -> DataFrame:
+    """seq, expired_at for restrictions (seq, ts, ends_at): each once, when the stream's clock passes its end; an open end never."""
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            ends = state.get[0]
+            state.remove()
+            yield pd.DataFrame({"seq": [key[0]], "expired_at": [ends]})
+            return
+        ends = [e for rows in batches for e in rows["ends_at"] if not pd.isna(e)]
+        if ends:
+            state.update((max(ends),))
+            state.setTimeoutTimestamp(max(int(max(ends).timestamp() * 1000), state.getCurrentWatermarkMs() + 1))
+        elif state.exists:
+            state.setTimeoutTimestamp(max(int(state.get[0].timestamp() * 1000), state.getCurrentWatermarkMs() + 1))
+
+    return stream.withWatermark("ts", delay).groupBy("seq").applyInPandasWithState(step, "seq long, expired_at timestamp", "ends timestamp", "append", GroupStateTimeout.EventTimeTimeout)
+
+
 def append_versions(path: str) -> Callable[[DataFrame, int], None]:
     """A foreachBatch sink: a changed bar becomes a new version behind the stored one, a new bar the first version."""
 

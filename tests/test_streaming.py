@@ -74,3 +74,30 @@ def test_ids_once(spark, tmp_path, n):
     out = str(tmp_path / "out")
     drain(increments.once_by_id(stream, "id", "ts", "1 hour").writeStream.format("parquet").option("path", out), tmp_path, "ids")
     assert sorted(r.id for r in spark.read.parquet(out).select(F.col("id")).collect()) == [1, 2]
+
+
+def test_only_what_is_past_the_mark_comes_in(spark, tmp_path):
+    schema, target = "stock_id long, trade_date date, source string, seq long", str(tmp_path / "target")
+    day = lambda n: dt.date(2024, 1, 1) + dt.timedelta(days=n)
+    write = increments.append_after_mark(target, overlap_days=3, partition="trade_date")
+    write(spark.createDataFrame([(1, day(20), "a", 1), (1, day(20), "a", 2)], schema), 0)
+    write(spark.createDataFrame([(1, day(17), "a", 3), (1, day(18), "a", 4), (1, day(20), "a", 5), (1, day(25), "a", 6), (2, day(1), "a", 7)], schema), 1)
+    assert sorted(r.seq for r in spark.read.parquet(target).collect()) == [1, 4, 6, 7]
+
+
+def test_revisions_follow_what_is_stored(spark, tmp_path):
+    schema, target = "notification_id long, previous_notification_id long, seq long", str(tmp_path / "target")
+    write = increments.append_disclosures(target)
+    write(spark.createDataFrame([(1, None, 1), (2, 9, 2)], schema), 0)
+    write(spark.createDataFrame([(3, 1, 3), (1, None, 4), (3, 1, 5)], schema), 1)
+    write(spark.createDataFrame([(4, 3, 6)], schema), 2)
+    assert {(r.notification_id, r.version_no) for r in spark.read.parquet(target).collect()} == {(1, 1), (2, 1), (3, 2), (4, 3)}
+
+
+def test_restrictions_expire_once(spark, tmp_path):
+    hour = dt.timedelta(hours=1)
+    rows = [[(1, T0, T0 + 2 * hour), (2, T0, None), (3, T0, T0 + 90 * hour)], [(9, T0 + 5 * hour, None)], [(9, T0 + 6 * hour, None)]]
+    stream = batches(spark, tmp_path, "in", "seq long, ts timestamp, ends_at timestamp", rows)
+    out = str(tmp_path / "out")
+    drain(increments.expiries(stream).writeStream.format("parquet").option("path", out), tmp_path, "expiries")
+    assert [(r.seq, r.expired_at) for r in spark.read.parquet(out).collect()] == [(1, T0 + 2 * hour)]
