@@ -8,11 +8,13 @@ that any two fingerprints can be compared at the coarser level of both. A finger
 each sampled step, a hash of the character that the walk wrote there.
 
 `likeness` is the share of equal digits beyond chance. `bands` bit-samples a fingerprint into keys for candidate search,
-and `links` verifies candidates by their likeness.
+`links` verifies candidates by their likeness, and `classes` names the near copies of each document by their links. A pair
+at likeness 0.8 shares one of 20 bands of nine digits with a probability of 0.98.
 
 Defined cases: null texts are empty and have a fingerprint without digits, which is like other empty ones (1) and
 unlike the rest (0); equal texts have equal fingerprints; rows with one doc_id twice follow each other in the order of
-their texts; a table of one row is its own next; an empty table gives no rows; further columns are ignored.
+their texts; a table of one row is its own next; very long texts are walked alone; an empty table gives no rows; further
+columns are ignored. Documents with a null doc_id have the class of their copies, null if none of them has an id.
 """
 
 from __future__ import annotations
@@ -23,17 +25,20 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import cut
+from .graph import components
+from .shared import cut, portions, release, tidy
 
 #: Period of the random bits; most samples of a text; likeness of unrelated texts' digits; characters walked at a time.
 PERIOD, SAMPLES, CHANCE, CHUNK_CHARS = 4096, 256, 0.125, 4_000_000
 #: So few walks are walked one by one, more of them side by side.
 FEW = 48
-BANDS, BAND_DIGITS = 16, 6
+#: Bands of a level; their digits, for fingerprints of at least and of less than so many digits; likeness of near copies.
+BANDS, BAND_DIGITS, LIKE = 20, ((4, 1, 80), (9, 64, 1 << 30)), 0.8
 SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, edited_bands int, next_bands int"
 EDGE = f"{SCHEMA}, place int, last_text string, first_text string"
 
@@ -141,22 +146,26 @@ def likeness(a: str, b: str) -> float:
     return max(0.0, (share - CHANCE) / (1 - CHANCE))
 
 
-def bands(fingerprint: str) -> list[str]:
-    """Keys of bit-sampled digits, at the fingerprint's level and the next, so that neighbouring levels can meet."""
+@cache
+def _places(n: int, width: int) -> np.ndarray:
+    """(BANDS, width): places below n of each band, in an order that does not depend on n."""
+    orders = np.random.default_rng(11).permuted(np.tile(np.arange(2 * SAMPLES), (BANDS, 1)), axis=1)
+    return np.stack([order[order < n][:width] for order in orders])
+
+
+def bands(fingerprint: str) -> list[int]:
+    """Hashes of bit-sampled digits from the whole of a fingerprint, at its level and the next, so that neighbouring levels can meet.
+
+    Few digits make narrow bands, many wide ones; in between both kinds, so that fingerprints of either kind meet."""
     found, own = [], int(fingerprint[:2])
     for level in (own, own + 1):
-        got = _at_level(fingerprint, level).tobytes().decode()
-        for n, places in enumerate(_places(SAMPLES // 4 if level == own else SAMPLES // 8)):
-            found.append(f"{level}:{n}:{''.join(got[p : p + 1] or '-' for p in places)}")
+        got = _at_level(fingerprint, level)
+        for width, low, high in BAND_DIGITS:
+            if low <= len(got) < high:
+                found += [xxhash.xxh64_intdigest(bytes((level, n)) + digits_.tobytes(), width) for n, digits_ in enumerate(got[_places(len(got), width)])]
     return found
 
 
-@cache
-def _places(room: int) -> list[list[int]]:
-    rng = np.random.default_rng(11)
-    return [sorted((rng.random(BAND_DIGITS) * room).astype(int).tolist()) for _ in range(BANDS)]
-
-
 def prints(rows: list[tuple]) -> list[dict]:
     """Results of (doc_id, text, text of the next document)."""
     texts = [code_points(t or "") for _, t, _ in rows]
@@ -243,11 +252,8 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return done.where("fingerprint IS NOT NULL").select(*names).unionByName(waiting.mapInArrow(close, SCHEMA))
 
 
-def links(prints_: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """a, b, likeness: verified links between distinct fingerprints (fingerprint column) that share a band.
-
-    In a band's list each fingerprint is compared with the first and with the one before it, so a list of m gives at
-    most 2 m comparisons, however many copies it holds."""
+def _alike(pairs: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (hi, lo) of nodes (node, fingerprint) whose likeness reaches the threshold."""
 
     @F.pandas_udf("double")
     def alike(a, b):
@@ -255,14 +261,49 @@ def links(prints_: DataFrame, threshold: float = 0.8) -> DataFrame:
 
         return pd.Series([likeness(x, y) for x, y in zip(a, b, strict=True)], dtype=float)
 
+    side = lambda k: nodes.select(F.col("node").alias(k), F.col("fingerprint").alias(f"print_{k}"))
+    both = pairs.join(side("hi"), "hi").join(side("lo"), "lo")
+    return both.withColumn("likeness", alike("print_hi", "print_lo")).where(F.col("likeness") >= threshold).select("hi", "lo")
+
+
+def links(nodes: DataFrame, threshold: float = LIKE) -> DataFrame:
+    """hi, lo: verified links that join all nodes (node, fingerprint) which share a band and reach the threshold, as a written table.
+
+    Each member of a band's list is compared with the first, which is linear. Then all members of a list that are not
+    connected yet are compared, so no link between two components is lost; rows are quadratic only in the members of one list
+    in different components."""
+
+    @tidy
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [(k, f) for f in batch.column("fingerprint").to_pylist() for k in bands(f)]
-            yield pa.RecordBatch.from_pylist([{"key": k, "fingerprint": f} for k, f in found], schema=pa.schema([("key", pa.string()), ("fingerprint", pa.string())]))
-
-    listed = prints_.select("fingerprint").distinct().mapInArrow(keyed, "key string, fingerprint string")
-    within = Window.partitionBy("key").orderBy("fingerprint")
-    near = listed.select("fingerprint", F.array(F.first("fingerprint").over(within), F.lag("fingerprint").over(within)).alias("near"))
-    near = near.select("fingerprint", F.explode("near").alias("other"))
-    pairs = near.where("other < fingerprint").select(F.col("other").alias("a"), F.col("fingerprint").alias("b")).distinct()
-    return pairs.withColumn("likeness", alike("a", "b")).where(F.col("likeness") >= threshold)
+            for part in portions(batch, "fingerprint", 1 << 20):
+                keys = [sorted(set(bands(f.as_py()))) for f in part.column("fingerprint")]
+                owner = np.repeat(np.arange(len(keys)), [len(k) for k in keys])
+                flat = np.array([k for own in keys for k in own], np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(flat), part.column("node").take(pa.array(owner))], names=["key", "node"])
+
+    listed = cut(nodes.select("node", "fingerprint").mapInArrow(keyed, "key long, node long"), "edit-bands")
+    centre = cut(listed.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("top")).where("lo < top").select("key", "lo"), "edit-centres")
+    held = cut(listed.join(centre, "key"), "edit-lists")
+    first = cut(_alike(held.where("node > lo").select(F.col("node").alias("hi"), "lo").distinct(), nodes, threshold), "edit-stars")
+    label = cut(components(first), "edit-label")
+    placed = cut(held.select("key", "node").join(label, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root")), "edit-placed")
+    apart = cut(placed.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("key"), "edit-apart")
+    open_ = cut(placed.join(apart, "key", "left_semi"), "edit-open")
+    side = lambda k: open_.select("key", F.col("node").alias(k), F.col("root").alias(f"root_{k}"))
+    rest = side("hi").join(side("lo"), "key").where("hi > lo AND root_hi <> root_lo").select("hi", "lo").distinct()
+    found = cut(first.unionByName(_alike(rest, nodes, threshold)), "edit-links")
+    release(listed, centre, held, first, label, placed, apart, open_)
+    return found
+
+
+def classes(printed: DataFrame, threshold: float = LIKE) -> DataFrame:
+    """printed (doc_id, fingerprint and more) with class_id: the smallest doc_id that verified links lead to, its own included."""
+    nodes = printed.groupBy("fingerprint").agg(F.min("doc_id").alias("least")).withColumn("node", F.monotonically_increasing_id())
+    nodes = cut(nodes, "edit-nodes")
+    found = links(nodes, threshold)
+    label = cut(components(found), "edit-label")
+    rooted = nodes.join(label, "node", "left").select("fingerprint", "least", F.coalesce("root", "node").alias("root"))
+    named = cut(rooted.join(rooted.groupBy("root").agg(F.min("least").alias("class_id")), "root").select("fingerprint", "class_id"), "edit-classes")
+    release(nodes, found, label)
+    return printed.join(named, "fingerprint")

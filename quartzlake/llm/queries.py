@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from . import editprint, language, packing, quality, simhash, sstable, suffixes, toxicity, warc, wordjoin
-from .shared import crc32_of, table
+from .shared import crc32_of, cut, table
 
 
 def op1_warc(spark, sf_dir):
@@ -56,8 +56,8 @@ def op10_packing(spark, sf_dir):
 
 
 def op4_fingerprint(spark, sf_dir):
-    """Fingerprint every document and its edited text, and compare both and the next document."""
-    return editprint.fingerprints(table(spark, sf_dir, "documents"))
+    """Fingerprint every document and its edited text, compare both and the next document, and name its class of near copies."""
+    return editprint.classes(cut(editprint.fingerprints(table(spark, sf_dir, "documents")), "edit-documents"))
 
 
 def op5_suffixes(spark, sf_dir):

@@ -70,7 +70,9 @@ def plan_records(pages: DataFrame) -> DataFrame:
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("payload"))
     rows = rows.select("*", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_digest"))
     light = rows.where(F.col("payload_bytes") >= MIN_REVISIT).select("page_id", "payload_digest")
+    # written, so that Spark can split a payload that a third of all pages have
     first = light.groupBy("payload_digest").agg(F.min("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n")).where("n > 1 AND refers_to IS NOT NULL").drop("n")
+    first = cut(first, "first-pages")
     revisits = cut(light.join(first, "payload_digest").where("page_id > refers_to").select("page_id", "payload_digest", "refers_to").distinct(), "revisits")
     return joined(rows, revisits, ["page_id", "payload_digest"], "left")
 

@@ -61,15 +61,38 @@ def test_likeness_follows_edits():
     assert E.likeness("00:", "00:") == 1 and E.likeness("00:", own) == 0
 
 
-def test_links(spark):
-    base = [words(10 + k, 400) for k in range(5)]
-    texts = base + [b + " with quite a long tail of further words behind it" * 3 for b in base] + base
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    prints = E.fingerprints(docs)
-    got = {(r.a, r.b) for r in E.links(prints).collect()}
-    ends = [(slow_print(b), slow_print(b + " with quite a long tail of further words behind it" * 3)) for b in base]
-    assert {tuple(sorted(e)) for e in ends if E.likeness(*e) >= 0.8} <= got and got
+def planted():
+    """Texts with one or a few changed characters at the head, in the middle and at the tail, a crowd of near copies, and strangers."""
+    rng, texts = random.Random(9), []
+    for k in range(10):
+        base = words(100 + k, rng.choice([6, 30, 150, 400, 700]))
+        texts.append(base)
+        for place in (0, len(base) // 2, len(base) - 2):
+            texts.append(base[:place] + "q" + base[place + 1 :])
+            texts.append(base[:place] + "zz" + base[place:])
+    crowd = words(300, 250)
+    texts += [crowd[: len(crowd) - len(tail := f" {k * 7919 % 1000}")] + tail for k in range(120)]
+    return texts + [words(500 + k, 100) for k in range(20)] + ["", "", "a", "ab"]
+
+
+def test_classes_against_all_pairs(spark):
+    texts = planted()
+    docs = spark.createDataFrame([(k + 5, t) for k, t in enumerate(texts)], "doc_id long, text string").repartition(4)
+    got = {r.doc_id - 5: r.class_id for r in E.classes(E.fingerprints(docs)).collect()}
+    prints = {k: slow_print(t) for k, t in enumerate(texts) if len(t) < 2500} | {k: E.prints([(k, t, None)])[0]["fingerprint"] for k, t in enumerate(texts) if len(t) >= 2500}
+    root, near = list(range(len(texts))), []
+    for i in range(len(texts)):
+        for j in range(i):
+            if E.likeness(prints[i], prints[j]) >= E.LIKE:
+                near.append((i, j))
+                x, y = sorted((root[i], root[j]))
+                root = [x if r == y else r for r in root]
+    assert len(near) > 5000
+    assert sum(got[i] == got[j] for i, j in near) / len(near) >= 0.99  # recall
+    assert all(root[k] == root[c - 5] for k, c in got.items())  # nothing is made up
+    assert all(got[k] <= k + 5 and got[got[k] - 5] == got[k] for k in got)
 
 
 def test_empty_table(spark):
-    assert E.fingerprints(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+    none = spark.createDataFrame([], "doc_id long, text string")
+    assert E.fingerprints(none).count() == 0 and E.classes(E.fingerprints(none)).count() == 0
