@@ -156,11 +156,11 @@ def _places(n: int, width: int) -> np.ndarray:
 def bands(fingerprint: str) -> list[int]:
     """Hashes of bit-sampled digits from the whole of a fingerprint, at its level and the next, so that neighbouring levels can meet.
 
-    Few digits make narrow bands, many wide ones; in between both kinds, so that fingerprints of either kind meet."""
+    The few digits of a short text make narrow bands, more make wide ones; in between both kinds, so that either kind meets."""
     found, own = [], int(fingerprint[:2])
     for level in (own, own + 1):
         got = _at_level(fingerprint, level)
-        for width, low, high in BAND_DIGITS:
+        for width, low, high in BAND_DIGITS if level == 0 else BAND_DIGITS[1:]:
             if low <= len(got) < high:
                 found += [xxhash.xxh64_intdigest(bytes((level, n)) + digits_.tobytes(), width) for n, digits_ in enumerate(got[_places(len(got), width)])]
     return found
