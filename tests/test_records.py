@@ -23,6 +23,7 @@ def test_ratios_against_a_plain_definition():
             s = " ".join(sorted(x & y))
             p, q = ((s + " " + " ".join(sorted(z))).strip() for z in (x - y, y - x))
             assert got == max(round(100 * plain(*k)) for k in ((s, p), (s, q), (p, q)))
+        assert all(fuzzy.reaches(least)(a, b) == (got >= least) for least in (40, 80))
         short, far = (a, b) if len(a) <= len(b) else (b, a)
         best = 0.0
         for i, j, size in difflib.SequenceMatcher(None, short, far).get_matching_blocks():
