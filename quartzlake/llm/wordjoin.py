@@ -38,8 +38,8 @@ from .tokens import IRREGULAR
 #: Bytes of text and distinct pre-tokens from which a block is full, and bits of a place (block, number) for either part.
 BLOCK_BYTES, BLOCK_WORDS = 48 << 20, 500_000
 NUMBER_BITS, ORDINAL_BITS, ATTEMPT_BITS = 24, 12, 27
-#: Words get their ids in so many rounds, by their hash; the shuffle files of one round are on disk at a time.
-ROUNDS = 2
+#: Words get their ids, and blocks their documents, in so many rounds by hash; the shuffle files of one round are on disk at a time.
+ROUNDS, REASSEMBLIES = 2, 4
 #: Positions of a document that are put together at a time, and bytes of ids on disk for a task that does so.
 SPAN, TASK_BYTES = 1 << 20, 16 << 20
 RESULT = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
@@ -208,17 +208,23 @@ def encode_decode(docs: DataFrame, ranks: str, pattern: str) -> DataFrame:
 
     words = cut(rows.mapInArrow(explode, "place long, word string"), "block-words")
     ids = cut(words.select("word").distinct().mapInArrow(encode, "word string, ids array<int>").withColumn("key", F.monotonically_increasing_id()), "distinct-words")
-    tokens = ids.select("key", F.posexplode_outer("ids").alias("at", "token")).join(F.broadcast(_token_bytes(spark, ranks)), "token", "left")
-    by_word = tokens.groupBy("key").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "digits"))), lambda x: x["digits"]), "").alias("digits"))
-    decimal = F.array_join(F.transform("ids", lambda k: k.cast("string")), " ")
-    coded = ids.join(by_word, "key").select("word", F.size("ids").alias("n"), decimal.alias("decimal"), F.unhex("digits").alias("decoded"))
-    coded = cut(coded, "coded-words")
-    release(ids)
     own = lambda found, k: found.where(F.pmod(F.xxhash64("word"), F.lit(ROUNDS)) == k)
-    parts = [cut(own(words, k).join(own(coded, k), "word").select("place", "n", "decimal", "decoded"), "placed-ids") for k in range(ROUNDS)]
-    release(words, coded)
-    placed = reduce(DataFrame.unionByName, parts).repartition(shuffle_parts(spark, sum(map(written_bytes, parts)), TASK_BYTES), F.shiftright("place", NUMBER_BITS))
-    done = cut(placed.sortWithinPartitions("place").mapInArrow(assemble, RESULT), "encoded")
+    vocabulary, decimal = F.broadcast(_token_bytes(spark, ranks)), F.array_join(F.transform("ids", lambda k: k.cast("string")), " ")
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("at", "digits"))), lambda x: x["digits"])
+    parts = []
+    for k in range(ROUNDS):
+        tokens = own(ids, k).select("key", F.posexplode_outer("ids").alias("at", "token")).join(vocabulary, "token", "left")
+        by_word = tokens.groupBy("key").agg(F.array_join(ordered, "").alias("digits"))
+        coded = own(ids, k).join(by_word, "key").select("word", F.size("ids").alias("n"), decimal.alias("decimal"), F.unhex("digits").alias("decoded"))
+        coded = cut(coded, "coded-words")
+        parts.append(cut(own(words, k).join(coded, "word").select("place", "n", "decimal", "decoded"), "placed-ids"))
+        release(coded)
+    release(words, ids)
+    block, each = F.shiftright("place", NUMBER_BITS), shuffle_parts(spark, sum(map(written_bytes, parts)) // REASSEMBLIES, TASK_BYTES)
+    done = []
+    for k in range(REASSEMBLIES):
+        some = reduce(DataFrame.unionByName, parts).where(F.pmod(F.xxhash64(block), F.lit(REASSEMBLIES)) == k)
+        done.append(cut(some.repartition(each, block).sortWithinPartitions("place").mapInArrow(assemble, RESULT), "encoded"))
     release(*parts)
     drop_dir(spark, root)
-    return done
+    return reduce(DataFrame.unionByName, done)
