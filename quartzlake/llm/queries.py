@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from . import editprint, language, packing, quality, simhash, sstable, suffixes, toxicity, warc, wordjoin
-from .shared import crc32_of, cut, table
+from .shared import SPACES, crc32_of, cut, table
 
 
 def op1_warc(spark, sf_dir):
@@ -72,7 +72,40 @@ def op6_quality(spark, sf_dir):
 
 QUERIES = {"op1_warc": op1_warc, "op2_language": op2_language, "op3_simhash": op3_simhash, "op4_fingerprint": op4_fingerprint, "op5_suffixes": op5_suffixes, "op6_quality": op6_quality, "op7_sstable": op7_sstable, "op8_wordjoin": op8_wordjoin, "op9_toxicity": op9_toxicity, "op10_packing": op10_packing}
 
+
+
+def _literals(values):
+    return ", ".join("'" + v.replace("'", "''") + "'" for v in values)
+
+
+OP6_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+w AS (SELECT r, doc_id, regexp_extract_all(text, '[^{SPACES}]+') AS words FROM d),
+line AS (SELECT r, unnest(string_split(text, chr(10))) AS line FROM d),
+m AS (SELECT r, line, regexp_extract_all(line, '[^{SPACES}]+') AS words, length(regexp_replace(line, '[^{quality.SYMBOLS}]', '', 'g')) AS symbols,
+             length(regexp_replace(line, '[^|]', '', 'g')) AS bars FROM line),
+n AS (SELECT *, len(words) AS n, length(array_to_string(words, '')) AS chars, len(list_distinct(words)) AS kinds FROM m),
+j AS (SELECT r, n, line, symbols, chars,
+        bars > {quality.MAX_SEPARATORS}e0 * n OR symbols > {quality.MAX_SYMBOLS}e0 * n
+        OR n >= {quality.SHORT_LINE} AND (kinds < {quality.MIN_DISTINCT}e0 * n OR upper(line) = line AND lower(line) <> line
+                          OR n < {quality.LONG_LINE} AND right(rtrim(line), 1) NOT IN ({_literals(quality.ENDS)}))
+        OR n < {quality.LONG_LINE} AND list_bool_or(list_transform([{_literals(quality.BOILERPLATE)}], lambda x: contains(lower(line), x))) AS bad FROM n),
+by_line AS (SELECT r, sum(symbols) AS n_symbols, count(*) FILTER (n > 0) - count(DISTINCT line) FILTER (n > 0) AS n_dup_lines,
+                   coalesce(sum(chars) FILTER (NOT bad), 0) AS kept_chars FROM j GROUP BY r),
+places AS (SELECT r, words, range(1, len(words) - {quality.WINDOW - 2}) AS starts FROM w),
+strung AS (SELECT r, unnest(starts) AS i, unnest(list_transform(starts, lambda i: array_to_string(words[i : i + {quality.WINDOW - 1}], ' '))) AS piece FROM places),
+win AS (SELECT r, i, count(*) OVER (PARTITION BY r, piece) AS times FROM strung),
+cover AS (SELECT DISTINCT r, i + unnest(range({quality.WINDOW})) AS place FROM win WHERE times > 1),
+repeated AS (SELECT r, count(*) AS n_repeat_words FROM cover GROUP BY r),
+base AS (SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(length(array_to_string(words, '')) AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols,
+                CAST(n_dup_lines AS BIGINT) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, kept_chars
+         FROM w JOIN by_line USING (r) LEFT JOIN repeated USING (r)),
+f AS (SELECT *, n_words < {quality.MIN_WORDS} OR 100 * n_repeat_words > {quality.MAX_REPEAT} * n_words AS base_failed FROM base)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND (word_chars = 0 OR (word_chars - kept_chars) / word_chars <= {quality.MAX_LOST}e0) AS kept FROM f"""
+
 ORACLE_SQL = {
+    "op6_quality": OP6_SQL,
     "op1_warc": """
 WITH p AS (SELECT page_id, sha256(coalesce(html, '')) AS payload_digest, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes FROM pages),
 f AS (SELECT payload_digest, min(page_id) AS first_id FROM p WHERE payload_bytes >= 100 GROUP BY payload_digest)
