@@ -134,10 +134,15 @@ def sample(docs: DataFrame, labels: DataFrame, label: str) -> tuple[DataFrame, f
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL")
     rows = texts.withColumn("key", F.xxhash64("text"))
     usable = cut(rows.groupBy("doc_id").agg(F.min("key").alias("key")).join(known, "doc_id"), "toxicity-labels")
-    rank = F.row_number().over(Window.partitionBy("y").orderBy(F.xxhash64("doc_id"), "doc_id"))  # each task passes on the first few only
+    count = {r["y"]: r["count"] for r in usable.groupBy("y").count().collect()}  # two rows at most
+    by_hash, ahead = F.xxhash64("doc_id"), F.lit(False)
+    for y, n in count.items():
+        reach = (2 * SAMPLE[y] << 64) // n - (1 << 63)  # twice the rows that are wanted lie below, whatever the number of tasks
+        ahead = ahead | ((F.col("y") == y) & (by_hash <= min(reach, (1 << 63) - 1)))
+    rank = F.row_number().over(Window.partitionBy("y").orderBy(by_hash, "doc_id"))
     most = F.when(F.col("y") == 1, SAMPLE[1]).otherwise(SAMPLE[0])
-    chosen = cut(usable.withColumn("rank", rank).where((F.col("rank") <= max(SAMPLE.values())) & (F.col("rank") <= most)).drop("rank"), "toxicity-sample")
-    share = usable.agg(F.avg("y")).first()[0]
+    chosen = cut(usable.where(ahead).withColumn("rank", rank).where((F.col("rank") <= max(SAMPLE.values())) & (F.col("rank") <= most)).drop("rank"), "toxicity-sample")
+    share = count.get(1, 0) / sum(count.values()) if count else None
     found = cut(joined(rows, chosen, ["doc_id", "key"], "inner").select("doc_id", piece(F.col("text"), SAMPLE_CHARS).alias("text"), "y").distinct(), "toxicity-texts")
     release(usable, chosen)
     return found, share

@@ -82,3 +82,15 @@ def test_toxicity_without_both_classes(spark):
     labels = spark.createDataFrame([], "doc_id long, toxic int")
     assert {r.toxic_score for r in toxicity.score(docs, toxicity.fit(docs, labels)).collect()} == {0.5}
     assert toxicity.score(docs.limit(0), toxicity.Model()).count() == 0
+
+
+def test_toxicity_sample_is_the_smallest_hashes(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "SAMPLE", {1: 40, 0: 60})
+    docs = spark.range(3000).selectExpr("id AS doc_id", "concat('text ', id) AS text").repartition(7)
+    labels = spark.range(3000).selectExpr("id AS doc_id", "CAST(id % 3 = 0 AS INT) AS toxic")
+    found, share = toxicity.sample(docs, labels, "toxic")
+    order = [r.doc_id for r in docs.selectExpr("doc_id", "xxhash64(doc_id) AS h").orderBy("h", "doc_id").collect()]
+    want = {1: [i for i in order if i % 3 == 0][:40], 0: [i for i in order if i % 3][:60]}
+    got = found.collect()
+    assert {y: {r.doc_id for r in got if r.y == y} for y in want} == {y: set(ids) for y, ids in want.items()} and share == 1 / 3
+    assert toxicity.sample(docs.limit(0), labels, "toxic")[1] is None
