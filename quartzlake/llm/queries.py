@@ -6,7 +6,7 @@ import public_tokenizers
 
 from pyspark.sql import functions as F
 
-from . import editprint, fim, language, packing, quality, simhash, sstable, suffixes, toxicity, warc, wordjoin
+from . import editprint, fim, language, packing, quality, simhash, sstable, suffixes, toxicity, vectorcodes, warc, wordjoin
 from .shared import SPACES, crc32_of, cut, table
 
 
@@ -76,7 +76,12 @@ def op11_fim(spark, sf_dir):
     return found.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest(F.col("output")).alias("output_sha256"), digest(fim.restored(F.col("output"), F.col("form"))).alias("restored_sha256"))
 
 
-QUERIES = {"op1_warc": op1_warc, "op2_language": op2_language, "op3_simhash": op3_simhash, "op4_fingerprint": op4_fingerprint, "op5_suffixes": op5_suffixes, "op6_quality": op6_quality, "op7_sstable": op7_sstable, "op8_wordjoin": op8_wordjoin, "op9_toxicity": op9_toxicity, "op10_packing": op10_packing, "op11_fim": op11_fim}
+def op12_codes(spark, sf_dir):
+    """Code every vector by exponion search, with the errors of its label and the final codebooks."""
+    return vectorcodes.codes(table(spark, sf_dir, "embeddings")).drop("label")
+
+
+QUERIES = {"op1_warc": op1_warc, "op2_language": op2_language, "op3_simhash": op3_simhash, "op4_fingerprint": op4_fingerprint, "op5_suffixes": op5_suffixes, "op6_quality": op6_quality, "op7_sstable": op7_sstable, "op8_wordjoin": op8_wordjoin, "op9_toxicity": op9_toxicity, "op10_packing": op10_packing, "op11_fim": op11_fim, "op12_codes": op12_codes}
 
 
 def _literals(values):
@@ -121,7 +126,26 @@ SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN CAST(length(prefix) AS BI
                         ELSE '{fim.SUFFIX}' || suffix || '{fim.PREFIX}' || prefix || '{fim.MIDDLE}' || middle END) AS output_sha256,
        sha256(prefix || middle || suffix) AS restored_sha256 FROM p"""
 
+def _round(k):
+    """Assignment a{k + 1} to the codebooks b{k}, and the codebooks after it."""
+    return f"""
+a{k + 1} AS MATERIALIZED (SELECT r, part, min(d * {vectorcodes.ENTRIES} + entry) AS m FROM (SELECT r, part, entry, CAST(sum((x - y) * (x - y)) AS BIGINT) AS d FROM c JOIN b{k} USING (part, pos) GROUP BY ALL) GROUP BY ALL),
+b{k + 1} AS MATERIALIZED (SELECT part, entry, pos, CAST(coalesce((s - ((s % n) + n) % n) // n, y) AS BIGINT) AS y FROM b{k}
+       LEFT JOIN (SELECT part, m % {vectorcodes.ENTRIES} AS entry, pos, sum(x) AS s, count(*) AS n FROM c JOIN a{k + 1} USING (r, part) GROUP BY ALL) USING (part, entry, pos))"""
+
+
+OP12_SQL = f"""
+WITH v AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id, embedding) - 1 AS r, vec_id, label, embedding, len(embedding) // {vectorcodes.PARTS} AS w FROM embeddings
+      WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+c AS MATERIALIZED (SELECT r, (i - 1) // w AS part, (i - 1) % w AS pos, CAST(floor({vectorcodes.SCALE} * CAST(x AS DOUBLE)) AS BIGINT) AS x
+      FROM (SELECT r, w, unnest(embedding) AS x, unnest(range(1, len(embedding) + 1)) AS i FROM v)),
+b0 AS MATERIALIZED (SELECT part, r AS entry, pos, x AS y FROM c WHERE r < {vectorcodes.ENTRIES}),{_round(0)},{_round(1)},{_round(2)},
+f AS (SELECT r, string_agg(printf('%02x', m % {vectorcodes.ENTRIES}), '' ORDER BY part) AS code, CAST(sum(m // {vectorcodes.ENTRIES}) AS BIGINT) AS error FROM a3 GROUP BY r)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+       (SELECT sha256(string_agg(CAST(y AS VARCHAR), ',' ORDER BY part, entry, pos)) FROM b2) AS codebooks_sha256 FROM v JOIN f USING (r)"""
+
 ORACLE_SQL = {
+    "op12_codes": OP12_SQL,
     "op11_fim": OP11_SQL,
     "op6_quality": OP6_SQL,
     "op1_warc": """
