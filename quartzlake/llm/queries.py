@@ -6,7 +6,7 @@ import public_tokenizers
 
 from pyspark.sql import functions as F
 
-from . import editprint, fim, language, packing, quality, simhash, sstable, suffixes, toxicity, vectorcodes, warc, wordjoin
+from . import editprint, fim, language, ngramjoin, packing, quality, simhash, sstable, suffixes, toxicity, vectorcodes, warc, wordjoin
 from .shared import SPACES, crc32_of, cut, table
 
 
@@ -81,7 +81,12 @@ def op12_codes(spark, sf_dir):
     return vectorcodes.codes(table(spark, sf_dir, "embeddings")).drop("label")
 
 
-QUERIES = {"op1_warc": op1_warc, "op2_language": op2_language, "op3_simhash": op3_simhash, "op4_fingerprint": op4_fingerprint, "op5_suffixes": op5_suffixes, "op6_quality": op6_quality, "op7_sstable": op7_sstable, "op8_wordjoin": op8_wordjoin, "op9_toxicity": op9_toxicity, "op10_packing": op10_packing, "op11_fim": op11_fim, "op12_codes": op12_codes}
+def op13_ngramjoin(spark, sf_dir):
+    """Link documents whose sets of five-word shingles are similar, and name their components."""
+    return ngramjoin.classes(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op1_warc": op1_warc, "op2_language": op2_language, "op3_simhash": op3_simhash, "op4_fingerprint": op4_fingerprint, "op5_suffixes": op5_suffixes, "op6_quality": op6_quality, "op7_sstable": op7_sstable, "op8_wordjoin": op8_wordjoin, "op9_toxicity": op9_toxicity, "op10_packing": op10_packing, "op11_fim": op11_fim, "op12_codes": op12_codes, "op13_ngramjoin": op13_ngramjoin}
 
 
 def _literals(values):
@@ -144,7 +149,19 @@ f AS (SELECT r, string_agg(printf('%02x', m % {vectorcodes.ENTRIES}), '' ORDER B
 SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
        (SELECT sha256(string_agg(CAST(y AS VARCHAR), ',' ORDER BY part, entry, pos)) FROM b2) AS codebooks_sha256 FROM v JOIN f USING (r)"""
 
+OP13_SQL = f"""
+WITH RECURSIVE d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^{SPACES}]+') AS w FROM documents),
+s AS MATERIALIZED (SELECT DISTINCT r, unnest(CASE WHEN len(w) BETWEEN 1 AND {ngramjoin.SHINGLE - 1} THEN [array_to_string(w, ' ')]
+        ELSE list_transform(range(1, len(w) - {ngramjoin.SHINGLE - 2}), lambda i: array_to_string(w[i : i + {ngramjoin.SHINGLE - 1}], ' ')) END) AS g FROM d),
+n AS (SELECT r, count(*) AS n FROM s GROUP BY r),
+p AS (SELECT a.r AS x, b.r AS y, count(*) AS k FROM s a JOIN s b USING (g) WHERE a.r <> b.r GROUP BY ALL),
+l AS MATERIALIZED (SELECT x, y FROM p JOIN n a ON x = a.r JOIN n b ON y = b.r WHERE 100 * k >= 80 * (a.n + b.n - k)),
+reached AS (SELECT r AS x, r AS y FROM d UNION SELECT reached.x, l.y FROM reached JOIN l ON reached.y = l.x),
+c AS (SELECT x AS r, min(doc_id) AS component_id FROM reached JOIN d ON d.r = y GROUP BY x)
+SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id FROM d JOIN c USING (r) LEFT JOIN n USING (r)"""
+
 ORACLE_SQL = {
+    "op13_ngramjoin": OP13_SQL,
     "op12_codes": OP12_SQL,
     "op11_fim": OP11_SQL,
     "op6_quality": OP6_SQL,
