@@ -8,9 +8,11 @@ document has, for each l, a bound of its posting rows S(l) and of its candidates
 S(l) * (1 + VERIFY * n / l). A document with fewer than l shingles of its l-prefix in any other document has no similar one and
 leaves at once. A pair is asked for the smaller l of the two, within both prefixes of that l, so no similar pair is lost.
 
-Pairs must also fit by their sizes and by the places of each shared shingle (what can be shared before and after it). What is left is
-verified with the whole texts. Equal sets are one node. Members of a posting list are first compared with its smallest one, which
-is linear; then only nodes of one list that are not connected yet are paired, so a group of copies costs no square.
+Pairs must also fit by their sizes, which give a shorter prefix for each pair, by the places of each shared shingle (what can be shared before and after it), and by a parity signature, a lower bound of how much two sets
+differ. What is left is
+verified with the whole texts. Equal sets are one node. Members of a posting list are first compared with its smallest one, then
+in DEALS turns with about one other each at random, which is linear; then only nodes of one list that are not connected yet are
+paired. So a group of copies costs no square, also where many of them are not similar to the smallest one.
 
 The order is by hash, but shingles that are frequent anywhere come last, the most frequent at the very end. Each task keeps a
 summary of bounded size over all its texts (counts less than the share 1 / COUNTERS may be missed), so all rows are counted. Any
@@ -43,6 +45,11 @@ LEVELS = 4
 VERIFY = 0.05
 #: Counters of a task's summary, and frequent shingles that are ordered by it. They set the cost only, not the result.
 COUNTERS, FREQUENT, OFTEN = 50_000, 20_000, 5
+#: Turns in which members of lists of at least LONG are compared with a few others before all pairs of the rest are looked at.
+DEALS, LONG = 2, 8
+#: Words of a parity signature.
+SIGNATURE = [f"b{i}" for i in range(4)]
+PAIR = ["hi", "lo", "root_hi", "root_lo"]
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
 
@@ -84,6 +91,12 @@ def prefix(found: np.ndarray, frequent: np.ndarray, rank: np.ndarray) -> np.ndar
     return found[: n - -(-n * up // down) + LEVELS]
 
 
+def signature(found: np.ndarray) -> np.ndarray:
+    """For each of 256 slots whether an odd number of shingles falls into it. Two signatures differ in no more bits than their sets
+    differ in shingles."""
+    return np.packbits(np.bincount((found >> np.uint64(56)).astype(np.int64), minlength=64 * len(SIGNATURE)).astype(np.uint8) & 1).view(np.int64)
+
+
 def _level(n: str, place: str):
     """The smallest l whose l-prefix has this place."""
     up, down = SIMILAR
@@ -128,7 +141,7 @@ def frequent_shingles(docs: DataFrame, size: int = SHINGLE) -> tuple[np.ndarray,
 
 
 def marked(rows: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """row, fp (hash of the set), n (its size) and prefix of rows (row, text)."""
+    """row, fp (hash of the set), n (its size), prefix and signature of rows (row, text)."""
     frequent, rank = frequent_shingles(rows, size)
 
     @tidy
@@ -141,13 +154,14 @@ def marked(rows: DataFrame, size: int = SHINGLE) -> DataFrame:
                 ends = np.cumsum([0, *map(len, heads)], dtype=np.int32)
                 flat = np.concatenate([np.zeros(0, np.uint64), *heads]).view(np.int64)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
-                yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(fp), pa.array([len(s) for s in sets], pa.int32()), lists], names=["row", "fp", "n", "prefix"])
+                bits = np.stack([signature(s) for s in sets], axis=1)
+                yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(fp), pa.array([len(s) for s in sets], pa.int32()), lists, *map(pa.array, bits)], names=["row", "fp", "n", "prefix", *SIGNATURE])
 
-    return rows.select("row", "text").mapInArrow(run, "row long, fp long, n int, prefix array<long>")
+    return rows.select("row", "text").mapInArrow(run, "row long, fp long, n int, prefix array<long>, " + ", ".join(f"{b} long" for b in SIGNATURE))
 
 
 def postings(nodes: DataFrame) -> DataFrame:
-    """key, row, n, place, level, need: the entries of each node's own prefix, in a table of `cut`; need is its l."""
+    """key, row, n, place, level, need and signature: the entries of each node's own prefix, in a table of `cut`; need is its l."""
     listed = nodes.select("row", "n", F.posexplode("prefix").alias("place", "key"))
     listed = listed.select("key", "row", "n", "place", _level("n", "place").alias("level"))
     lengths = cut(nodes.select(F.explode("prefix").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("k")).where("k > 1"), "join-lengths")
@@ -157,24 +171,33 @@ def postings(nodes: DataFrame) -> DataFrame:
     known = met.groupBy("row").agg(F.first("n").alias("n"), *(within(l, F.col("k") - 1).alias(f"s{l}") for l in levels), *(within(l, F.lit(1)).alias(f"m{l}") for l in levels))  # noqa: E741
     alone = F.expr(" OR ".join(f"m{l} < {l}" for l in levels))  # noqa: E741
     costs = [F.struct((F.col(f"s{l}") * (1 + VERIFY * F.col("n") / l)).alias("cost"), F.lit(l).alias("need")) for l in levels]  # noqa: E741
-    need = cut(known.where(~alone).select("row", F.least(*costs)["need"].alias("need")), "join-need")
+    need = cut(known.where(~alone).select("row", F.least(*costs)["need"].alias("need")).join(nodes.select("row", *SIGNATURE), "row"), "join-need")
     found = cut(met.drop("k").join(need, "row").where("level <= need"), "join-postings")
     release(lengths, met, need)
     return found
 
 
-def _near(pairs: DataFrame) -> DataFrame:
-    """The distinct pairs (hi, lo) that share enough shingles of their prefixes and may be similar by sizes and places."""
+def _fitting(pairs: DataFrame) -> DataFrame:
+    """The pairs of entries that may belong to similar sets, by their sizes, places and signatures. `both` is what sets of such sizes must share;
+    each then has the shingle within its prefix for that number, which is shorter than the one for its own size alone."""
     up, down = SIMILAR
-    need, sizes = F.least("need_hi", "need_lo"), F.col("n_hi") + F.col("n_lo")
+    pairs = pairs.withColumn("need", F.least("need_hi", "need_lo")).withColumn("both", F.expr(f"cast(ceil((n_hi + n_lo) * {up} / {up + down}) as int)"))
     after = F.least(F.col("n_hi") - F.col("place_hi"), F.col("n_lo") - F.col("place_lo"))
-    fits = (F.least("n_hi", "n_lo") * down >= F.greatest("n_hi", "n_lo") * up) & ((F.least("place_hi", "place_lo") + after) * (up + down) >= sizes * up)
-    near = pairs.where(fits & (F.greatest("level_hi", "level_lo") <= need)).select("hi", "lo", need.alias("need"))
-    return near.groupBy("hi", "lo").agg(F.count(F.lit(1)).alias("k"), F.first("need").alias("need")).where("k >= need").select("hi", "lo")
+    sizes = F.least("n_hi", "n_lo") * down >= F.greatest("n_hi", "n_lo") * up
+    within = [F.col(f"place_{k}") < F.col(f"n_{k}") - F.col("both") + F.col("need") for k in ("hi", "lo")]
+    apart = sum((F.bit_count(F.col(f"{b}_hi").bitwiseXOR(F.col(f"{b}_lo"))) for b in SIGNATURE), F.lit(0))
+    return pairs.where(sizes & within[0] & within[1] & (F.least("place_hi", "place_lo") + after >= F.col("both")) & (apart <= F.col("n_hi") + F.col("n_lo") - 2 * F.col("both")))
+
+
+def _counted(pairs: DataFrame) -> DataFrame:
+    """The distinct pairs that share enough shingles of their prefixes."""
+    shared = pairs.groupBy("hi", "lo").agg(F.count(F.lit(1)).alias("k"), *(F.first(c).alias(c) for c in ("need", "root_hi", "root_lo")))
+    return shared.where("k >= need").select("hi", "lo", "root_hi", "root_lo")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """The pairs (hi, lo) whose texts (row, text) are similar. texts is in buckets by row, so only the texts of pairs move."""
+    """The pairs (hi, lo, root_hi, root_lo) whose texts (row, text) are similar. texts is in buckets by row, so only the texts of
+    pairs move."""
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,29 +209,61 @@ def verified(pairs: DataFrame, texts: DataFrame, size: int = SHINGLE) -> DataFra
                     if lo != last:
                         last, held = lo, shingle_set(b.as_py(), size)
                     good.append(similar(shingle_set(a.as_py(), size), held))
-                yield part.select(["hi", "lo"]).filter(pa.array(good, pa.bool_()))
+                yield part.select(PAIR).filter(pa.array(good, pa.bool_()))
 
     side = lambda k: texts.select(F.col("row").alias(k), F.col("text").alias(f"text_{k}"))
-    return pairs.join(side("hi"), "hi").join(side("lo"), "lo").select("hi", "lo", "text_hi", "text_lo").mapInArrow(run, "hi long, lo long")
+    return pairs.join(side("hi"), "hi").join(side("lo"), "lo").select(*PAIR, "text_hi", "text_lo").mapInArrow(run, ", ".join(f"{c} long" for c in PAIR))
+
+
+def _side(entries: DataFrame, k: str, *key: str) -> DataFrame:
+    return entries.select("key", *key, F.col("row").alias(k), *(F.col(c).alias(f"{c}_{k}") for c in ("n", "place", "need", "root", *SIGNATURE)))
+
 
+def _stars(entries: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """Each member of a list with its smallest one."""
+    least = entries.groupBy("key").agg(F.min(F.struct("row", "n", "place", "need", "root", *SIGNATURE)).alias("c"))
+    centre = cut(_side(least.select("key", "c.*"), "lo"), "join-centres")
+    return _counted(_fitting(_side(entries, "hi").join(centre, "key").where("root_hi <> root_lo"))), [centre]
 
-def links(nodes: DataFrame, texts: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """hi, lo: links that connect all similar nodes (row, n, prefix), in a table of `cut`."""
+
+def _dealt(entries: DataFrame, turn: int) -> tuple[DataFrame, list[DataFrame]]:
+    """Each member of a longer list with about one other at random, anew in each turn and list, if they are not connected."""
+    hand = entries.where(F.col("m") >= LONG).withColumn("hand", F.pmod(F.xxhash64("row", "key", F.lit(turn)), F.ceil(F.col("m") / 2)))
+    pairs = _side(hand, "hi", "hand").join(_side(hand, "lo", "hand"), ["key", "hand"]).where("hi > lo AND root_hi <> root_lo")
+    return _fitting(pairs).select(*PAIR).distinct(), []
+
+
+def _all(entries: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """All members of a list that are not connected."""
+    return _counted(_fitting(_side(entries, "hi").join(_side(entries, "lo"), "key").where("hi > lo AND root_hi <> root_lo"))), []
+
+
+def connected(nodes: DataFrame, texts: DataFrame, size: int = SHINGLE) -> DataFrame:
+    """row, root: for each node (row, n, prefix, signature) that may be similar to another one, the least of those it is connected with, in a
+    table of `cut`. After each step the lists keep only what is in two components still, by the roots known so far."""
     listed = postings(nodes)
-    side = lambda df, k, *more: df.select("key", F.col("row").alias(k), *(F.col(c).alias(f"{c}_{k}") for c in ("n", "place", "level", "need", *more)))
-    least = listed.groupBy("key").agg(F.min(F.struct("row", "n", "place", "level", "need")).alias("c"))
-    centre = cut(side(least.select("key", "c.*"), "lo"), "join-centres")
-    near = cut(_near(side(listed, "hi").join(centre, "key").where("hi > lo")), "join-near")
-    first = cut(verified(near, texts, size), "join-stars")
-    label = cut(components(first).withColumnRenamed("node", "row"), "join-label")
-    placed = cut(listed.join(label, "row", "left").withColumn("root", F.coalesce("root", "row")), "join-placed")
-    apart = cut(placed.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("key"), "join-apart")
-    open_ = cut(placed.join(apart, "key", "left_semi"), "join-open")
-    pairs = side(open_, "hi", "root").join(side(open_, "lo", "root"), "key").where("hi > lo AND root_hi <> root_lo")
-    rest = cut(_near(pairs), "join-near")
-    found = cut(first.unionByName(verified(rest, texts, size)), "join-links")
-    release(listed, centre, near, first, label, placed, apart, open_, rest)
-    return found
+    entries = cut(listed.withColumn("root", F.col("row")).withColumn("m", F.lit(0).cast("long")), "join-open")
+    label = cut(listed.select("row").distinct().withColumn("root", F.col("row")), "join-label")
+    steps = [_stars, *(lambda e, t=t: _dealt(e, t) for t in range(DEALS)), _all]
+    for step in steps:
+        pairs, held = step(entries)
+        near = cut(pairs, "join-near")
+        found = cut(verified(near, texts, size), "join-found")
+        if step is not steps[0] and found.isEmpty():
+            release(near, found, *held)
+            continue
+        merged = cut(components(found.select(F.col("root_hi").alias("hi"), F.col("root_lo").alias("lo"))).select(F.col("node").alias("root"), F.col("root").alias("new")), "join-merged")
+        moved = lambda df: df.join(merged, "root", "left").withColumn("root", F.coalesce("new", "root")).drop("new")  # noqa: B023, E731
+        before, label = label, cut(moved(label).select("row", "root"), "join-label")
+        release(near, found, before, *held)
+        if step is not steps[-1]:
+            placed = cut(moved(entries.drop("m")), "join-placed")
+            open_ = cut(placed.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count(F.lit(1)).alias("m")).where("x < y").select("key", "m"), "join-lists")
+            before, entries = entries, cut(placed.join(open_, "key"), "join-open")
+            release(before, placed, open_)
+        release(merged)
+    release(listed, entries)
+    return label
 
 
 def classes(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
@@ -219,12 +274,11 @@ def classes(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     prints = cut(marked(rows, size), "join-prints")
     named = cut(rows.select("row", "doc_id").join(prints.select("row", "fp", "n"), "row"), "join-named")
     nodes = cut(named.where("n > 0").groupBy("fp").agg(F.min("row").alias("row"), F.min("doc_id").alias("doc_id")), "join-nodes")
-    found = links(prints.join(nodes.select("row"), "row", "left_semi").select("row", "n", "prefix"), rows, size)
-    label = cut(components(found).withColumnRenamed("node", "row"), "join-label")
+    label = connected(prints.join(nodes.select("row"), "row", "left_semi").select("row", "n", "prefix", *SIGNATURE), rows, size)
     rooted = cut(nodes.join(label, "row", "left").select("fp", "doc_id", F.coalesce("root", "row").alias("root")), "join-rooted")
     least = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     component = cut(rooted.join(least, "root").select("fp", "component_id"), "join-components")
-    release(rows, prints, nodes, found, label, rooted)
+    release(rows, prints, nodes, label, rooted)
     alone = named.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"))
     every = named.where("n > 0").join(component, "fp").select("doc_id", "n", "component_id").unionByName(alone)
     return every.select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id")

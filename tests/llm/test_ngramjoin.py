@@ -54,7 +54,7 @@ def planted(seed):
     return [(i * 3 % 101 + 200 * (i > 90), t) for i, t in enumerate(rng.sample(rows, len(rows)))] + [(None, rows[0]), (None, "nobody else has this"), (5, "twice here now"), (5, "twice here now")]
 
 
-@pytest.mark.parametrize("verify", [0.0, 0.05, 50.0])
+@pytest.mark.parametrize("verify", [0.0, 50.0])
 def test_join_equals_all_pairs(spark, monkeypatch, verify):
     """Whatever l the documents take: the cost of a verification moves it from the shortest to the longest prefix."""
     monkeypatch.setattr(ngramjoin, "VERIFY", verify)
@@ -85,6 +85,15 @@ def test_summary_keeps_what_is_frequent():
     assert set(range(10)) <= set(summary.keys.tolist())
 
 
+def test_signature_is_a_lower_bound():
+    rng = np.random.default_rng(1)
+    for _ in range(50):
+        a, b = (np.unique(rng.integers(0, 2**63, n).astype(np.uint64) * np.uint64(2)) for n in rng.integers(0, 300, 2))
+        a = np.union1d(a, b[: len(b) // 2])
+        bits = int(np.bitwise_count(ngramjoin.signature(a) ^ ngramjoin.signature(b)).sum())
+        assert bits <= len(np.setxor1d(a, b))
+
+
 def test_empty_table(spark):
     assert ngramjoin.classes(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
