@@ -11,7 +11,7 @@ leaves at once. A pair is asked for the smaller l of the two, within both prefix
 Pairs must also fit by their sizes, which give a shorter prefix for each pair, by the places of each shared shingle (what can be shared before and after it), and by a parity signature, a lower bound of how much two sets
 differ. What is left is
 verified with the whole texts. Equal sets are one node. Members of a posting list are first compared with its smallest one, then
-in DEALS turns with about one other each at random, which is linear; then only nodes of one list that are not connected yet are
+with a few others at random, which is linear; then only nodes of one list that are not connected yet are
 paired. So a group of copies costs no square, also where many of them are not similar to the smallest one.
 
 The order is by hash, but shingles that are frequent anywhere come last, the most frequent at the very end. Each task keeps a
@@ -45,10 +45,10 @@ LEVELS = 4
 VERIFY = 0.05
 #: Counters of a task's summary, and frequent shingles that are ordered by it. They set the cost only, not the result.
 COUNTERS, FREQUENT, OFTEN = 50_000, 20_000, 5
-#: Turns in which members of lists of at least LONG are compared with a few others before all pairs of the rest are looked at.
-DEALS, LONG = 2, 8
+#: Members of lists of at least LONG are compared with about HAND - 1 others at random before all pairs of the rest are looked at.
+LONG = HAND = 8
 #: Words of a parity signature.
-SIGNATURE = [f"b{i}" for i in range(4)]
+SIGNATURE = [f"b{i}" for i in range(8)]
 PAIR = ["hi", "lo", "root_hi", "root_lo"]
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
@@ -92,9 +92,9 @@ def prefix(found: np.ndarray, frequent: np.ndarray, rank: np.ndarray) -> np.ndar
 
 
 def signature(found: np.ndarray) -> np.ndarray:
-    """For each of 256 slots whether an odd number of shingles falls into it. Two signatures differ in no more bits than their sets
+    """For each of 512 slots whether an odd number of shingles falls into it. Two signatures differ in no more bits than their sets
     differ in shingles."""
-    return np.packbits(np.bincount((found >> np.uint64(56)).astype(np.int64), minlength=64 * len(SIGNATURE)).astype(np.uint8) & 1).view(np.int64)
+    return np.packbits(np.bincount((found >> np.uint64(55)).astype(np.int64), minlength=64 * len(SIGNATURE)).astype(np.uint8) & 1).view(np.int64)
 
 
 def _level(n: str, place: str):
@@ -226,9 +226,9 @@ def _stars(entries: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
     return _counted(_fitting(_side(entries, "hi").join(centre, "key").where("root_hi <> root_lo"))), [centre]
 
 
-def _dealt(entries: DataFrame, turn: int) -> tuple[DataFrame, list[DataFrame]]:
-    """Each member of a longer list with about one other at random, anew in each turn and list, if they are not connected."""
-    hand = entries.where(F.col("m") >= LONG).withColumn("hand", F.pmod(F.xxhash64("row", "key", F.lit(turn)), F.ceil(F.col("m") / 2)))
+def _dealt(entries: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """Each member of a longer list with a few others at random, others in each list, if they are not connected."""
+    hand = entries.where(F.col("m") >= LONG).withColumn("hand", F.pmod(F.xxhash64("row", "key"), F.ceil(F.col("m") / HAND)))
     pairs = _side(hand, "hi", "hand").join(_side(hand, "lo", "hand"), ["key", "hand"]).where("hi > lo AND root_hi <> root_lo")
     return _fitting(pairs).select(*PAIR).distinct(), []
 
@@ -244,7 +244,7 @@ def connected(nodes: DataFrame, texts: DataFrame, size: int = SHINGLE) -> DataFr
     listed = postings(nodes)
     entries = cut(listed.withColumn("root", F.col("row")).withColumn("m", F.lit(0).cast("long")), "join-open")
     label = cut(listed.select("row").distinct().withColumn("root", F.col("row")), "join-label")
-    steps = [_stars, *(lambda e, t=t: _dealt(e, t) for t in range(DEALS)), _all]
+    steps = [_stars, _dealt, _all]
     for step in steps:
         pairs, held = step(entries)
         near = cut(pairs, "join-near")
