@@ -90,7 +90,7 @@ def test_signature_is_a_lower_bound():
     for _ in range(50):
         a, b = (np.unique(rng.integers(0, 2**63, n).astype(np.uint64) * np.uint64(2)) for n in rng.integers(0, 300, 2))
         a = np.union1d(a, b[: len(b) // 2])
-        bits = int(np.bitwise_count(ngramjoin.signature(a) ^ ngramjoin.signature(b)).sum())
+        bits = int(np.bitwise_count((ngramjoin.signature(a) ^ ngramjoin.signature(b)).view(np.uint64)).sum())
         assert bits <= len(np.setxor1d(a, b))
 
 
