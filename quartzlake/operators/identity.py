@@ -47,8 +47,8 @@ def resolve_names(queries: DataFrame, names: DataFrame) -> DataFrame:
 
 
 def merge_closure(merges: DataFrame) -> DataFrame:
-    """old, final: where each merged stock ends up; merges that run in a circle are an error."""
-    return graph.ends(merges.select(F.col("old").alias("node"), F.col("new").alias("up"))).select(F.col("node").alias("old"), F.col("far").alias("final"))
+    """old, final, cycle: where each merged stock ends up; where merges run in a circle, the first stock of the circle that is met again."""
+    return graph.ends(merges.select(F.col("old").alias("node"), F.col("new").alias("up"))).select(F.col("node").alias("old"), F.col("far").alias("final"), "cycle")
 
 
 def members(universe: DataFrame, days: DataFrame) -> DataFrame:

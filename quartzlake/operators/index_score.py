@@ -5,32 +5,21 @@ EMA(n) has alpha 2 / (n + 1) and starts at the first close; the rules leave both
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import scan
+
 MIN_ROWS = {5: 10, 20: 40, 50: 100}
 # Score bounds with their regime and greatest weight.
 REGIMES = ((80, "STRONG_UP", 100), (65, "UP", 85), (50, "NEUTRAL", 65), (35, "WEAK", 40), (0, "DOWN", 20))
 
 
 def ema(bars: DataFrame, spans: tuple[int, ...] = (5, 20, 50)) -> DataFrame:
-    """stock_id, trade_date, close, n and ema<span>, null before the least number of rows. Each stock's bars are read once, in order."""
-
-    def smooth(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["trade_date", "close"])
-        closes, out = rows["close"].tolist(), rows.assign(n=range(1, len(rows) + 1))
-        for s in spans:
-            at, least, values, weight = None, MIN_ROWS.get(s, 1), [], 2.0 / (s + 1)
-            for i, close in enumerate(closes, 1):
-                at = close if at is None else at + (close - at) * weight
-                values.append(at if i >= least else None)
-            out[f"ema{s}"] = pd.Series(values, index=out.index, dtype=float)
-        return out
-
-    kinds = ", ".join(f"ema{s} double" for s in spans)
-    found = bars.select("stock_id", "trade_date", "close").groupBy("stock_id").applyInPandas(smooth, f"stock_id long, trade_date date, close double, n long, {kinds}")
-    return found.select("stock_id", "trade_date", "close", "n", *[F.when(F.col("n") >= MIN_ROWS.get(s, 1), F.col(f"ema{s}")).alias(f"ema{s}") for s in spans])
+    """stock_id, trade_date, close, n and ema<span>, null before the least number of rows. Each stock's bars go through one scan, in order; a null close leaves the averages as they are."""
+
+    found = scan.folded(bars.select("stock_id", "trade_date", "close"), ["stock_id"], ["trade_date", "close"], ["close"], lambda: scan.Averages(spans, MIN_ROWS), "n long, " + ", ".join(f"ema{s} double" for s in spans))
+    return found.select("stock_id", "trade_date", "close", "n", *[f"ema{s}" for s in spans])
 
 
 def trend(emas: DataFrame) -> DataFrame:

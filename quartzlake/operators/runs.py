@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from quartzlake.config import DEFAULT, Thresholds
 
+from . import scan
+
 # The phases of a morning (start, end in seconds of the day; equal for a point in time), in order.
 PHASES = (
     ("PRECHECK", 28800, 28800), ("COLLECTION", 28800, 31500), ("CLEANING", 31500, 32400), ("RECOVERY", 32400, 34200),
@@ -95,6 +97,12 @@ def calls_in_window(calls: DataFrame, seconds: int = 60) -> DataFrame:
     return calls.withColumn("recent", F.count(F.lit(1)).over(by))
 
 
+def limited(calls: DataFrame, most: int, window: int = 60_000_000) -> DataFrame:
+    """calls (source_id, call_id, at: microseconds) with waited, wait and total: which of them wait for a place among the `most` of a window,
+    how long, and how long those of their source waited so far. Each source is one scan in order of time."""
+    return scan.folded(calls, ["source_id"], ["at", "call_id"], ["at"], lambda: scan.Limiter(most, window), "waited boolean, wait long, total long")
+
+
 def recovered(found: DataFrame) -> DataFrame:
     """Runs (owner, seq, status, alive) after a restart: an ACTIVE one is ABORTED, but for the last of an owner that is alive."""
     last = F.lead("seq").over(Window.partitionBy("owner").orderBy("seq")).isNull()

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quartzlake.config import DEFAULT, Thresholds
 
+from . import scan
+
 FATAL, WARN, INFO = "FATAL", "WARN", "INFO"
 PRICES = ("open", "high", "low", "close")
 
@@ -95,25 +96,32 @@ def validate(bars: DataFrame, as_of, limits: Thresholds = DEFAULT, holidays: tup
     return bars.withColumn("status", F.when(hit(fatal), "REJECTED").when(hit(warn), "REVIEW_REQUIRED").otherwise("CLEAN"))
 
 
+def _facts(bars: DataFrame) -> list[Column]:
+    return [F.coalesce(c, F.lit(False)).alias(c) if c in bars.columns else F.lit(False).alias(c) for c in ("fatal", "warned", "explained")]
+
+
 def clean_chain(bars: DataFrame, limits: Thresholds = DEFAULT) -> DataFrame:
-    """stock_id, trade_date, status: a close is compared with the last one that was CLEAN itself.
-
-    The verdict feeds on earlier verdicts, so each stock's bars are read once in order of date, and the state is one close.
-    A stock has a bar for a day and source, so its frame is bounded by its days."""
-    most = limits.outlier_pct
-
-    def chain(rows: pd.DataFrame) -> pd.DataFrame:
-        rows, last, status = rows.sort_values(["trade_date", "close"]), None, []
-        for close, explained in zip(rows["close"].tolist(), rows["explained"].tolist(), strict=True):
-            known = last is not None and close == close
-            review = known and abs(close - last) / last * 100 > most and not explained
-            status.append("REVIEW_REQUIRED" if review else "CLEAN")
-            last = last if review else close if close == close else None
-        return pd.DataFrame({"stock_id": rows["stock_id"], "trade_date": rows["trade_date"], "status": status})
-
-    explained = F.coalesce("explained", F.lit(False)) if "explained" in bars.columns else F.lit(False)
-    rows = bars.select("stock_id", "trade_date", "close", explained.alias("explained"))
-    return rows.groupBy("stock_id").applyInPandas(chain, "stock_id long, trade_date date, status string")
+    """stock_id, trade_date, status: a close is compared with the last one that was CLEAN itself; no close, or none above zero, is REJECTED.
+
+    The verdict feeds on earlier verdicts, so each stock's bars go through one scan in order of date, with one close as its state."""
+    most, rows = limits.outlier_pct, bars.withColumn("fatal", ~holds(F.col("close") > 0))
+    rows = rows.select("stock_id", "trade_date", "close", *_facts(rows), F.monotonically_increasing_id().alias("source"))  # none is a duplicate here
+    found = scan.folded(rows, ["stock_id"], ["trade_date", "close"], ["trade_date", "source", "close", "fatal", "warned", "explained"], lambda: scan.VerdictChain(most), "status string, outlier boolean, duplicate boolean, reference double")
+    return found.select("stock_id", "trade_date", "status")
+
+
+def verdict_chain(bars: DataFrame, as_of, limits: Thresholds = DEFAULT, holidays: tuple[str, ...] = (), order: str = "close", extra: list | None = None) -> DataFrame:
+    """bars with failed_codes, status and reference (the close compared with): the whole battery with the outlier and duplicate rules in one verdict.
+
+    What a bar shows alone is a projection; what depends on verdicts before it is one scan over its stock's bars by date and `order`, which
+    tells the bars of a day apart. A bar that is REJECTED or under review does not become the reference."""
+    most, battery = limits.outlier_pct, rules(as_of, limits, holidays, None, extra)
+    fails = lambda severity: F.array_compact(F.array(*[F.when(~ok, code) for code, s, ok in battery if severity is None or s == severity]))
+    rows = bars.withColumn("failed_codes", fails(None)).withColumn("fatal", F.size(fails(FATAL)) > 0).withColumn("warned", F.size(fails(WARN)) > 0)
+    rows = rows.select(*(c for c in bars.columns if c != "explained"), "failed_codes", *_facts(rows))
+    found = scan.folded(rows, ["stock_id"], ["trade_date", order], ["trade_date", "source", "close", "fatal", "warned", "explained"], lambda: scan.VerdictChain(most), "status string, outlier boolean, duplicate boolean, reference double")
+    more = F.array_compact(F.array(F.when(F.col("duplicate"), "DUPLICATE_DATE"), F.when(F.col("outlier"), "UNEXPLAINED_OUTLIER")))
+    return found.withColumn("failed_codes", F.concat("failed_codes", more)).select(*bars.columns, "failed_codes", "status", "reference")
 
 
 def source_check(primary: DataFrame, reference: DataFrame, limits: Thresholds = DEFAULT) -> DataFrame:

@@ -70,6 +70,27 @@ def clean_chain_outliers(spark, d):
     return validation.clean_chain(T.bars_short(spark, d))
 
 
+FAULTY = """faulty AS (SELECT stock_id, trade_date, open, high, low, CASE WHEN k % 11 = 0 THEN NULL WHEN k % 14 = 0 THEN 0.0 ELSE close END AS close, volume, currency, source FROM (SELECT *, stock_id * 5 + dayofyear(trade_date) AS k FROM bars_dirty)
+  UNION ALL SELECT stock_id, trade_date, open, close + 1, low, close + 1, volume, currency, source FROM bars_dirty WHERE (stock_id * 5 + dayofyear(trade_date)) % 9 = 0)"""
+VERDICTS = BATTERY.replace("bars_dirty", "faulty").replace("open IS NOT NULL AND (", "open IS NOT NULL AND close IS NOT NULL AND (").replace("checked AS (SELECT", "checked AS (SELECT source,") + """,
+steps AS (SELECT *, row_number() OVER (PARTITION BY stock_id ORDER BY trade_date, close NULLS FIRST) AS i, row_number() OVER (PARTITION BY stock_id, trade_date, source ORDER BY close NULLS FIRST) > 1 AS again FROM checked),
+facts AS (SELECT stock_id, trade_date, close, i, concat_ws(',', nullif(failed_codes, ''), CASE WHEN again THEN 'DUPLICATE_DATE' END) AS codes FROM steps),
+verdicts AS (SELECT stock_id, trade_date, close, i, codes, CASE WHEN codes = '' THEN close END AS last, CAST(NULL AS DOUBLE) AS reference, FALSE AS far FROM facts WHERE i = 1
+  UNION ALL SELECT stock_id, trade_date, close, i, codes, CASE WHEN codes = '' AND NOT far THEN close ELSE last END, last, far
+  FROM (SELECT f.*, v.last, coalesce(v.last > 0 AND abs(f.close - v.last) / v.last * 100 > 20, FALSE) AS far FROM verdicts v JOIN facts f ON f.stock_id = v.stock_id AND f.i = v.i + 1))"""
+
+
+@query(with_views("bars_dirty", """SELECT stock_id, trade_date, close, concat_ws(',', nullif(codes, ''), CASE WHEN far THEN 'UNEXPLAINED_OUTLIER' END) AS failed_codes,
+  CASE WHEN codes <> '' THEN 'REJECTED' WHEN far THEN 'REVIEW_REQUIRED' ELSE 'CLEAN' END AS status, reference FROM verdicts""", FAULTY, VERDICTS))
+def verdict_chain(spark, d):
+    """The whole battery in one verdict over bars with zero, missing, repeated and otherwise faulty closes: what is not clean is no reference."""
+    k, bars = F.col("stock_id") * 5 + F.dayofyear("trade_date"), T.bars_dirty(spark, d)
+    faulty = bars.withColumn("close", F.when(k % 11 == 0, F.lit(None)).when(k % 14 == 0, F.lit(0.0)).otherwise(F.col("close")))
+    again = bars.where(k % 9 == 0).withColumn("close", F.col("close") + 1).withColumn("high", F.col("close"))
+    found = validation.verdict_chain(faulty.unionByName(again), AS_OF)
+    return found.select("stock_id", "trade_date", "close", joined("failed_codes").alias("failed_codes"), "status", "reference")
+
+
 @query(with_views("bars_long", """SELECT b.stock_id, b.trade_date, round_even(abs(b.close - r.close) / r.close * 100, 6) AS diff_pct,
   CASE WHEN r.close IS NULL THEN 'VALIDATION_SOURCE_UNAVAILABLE' WHEN abs(b.close - r.close) / r.close * 100 <= 0.5 THEN 'OK' ELSE 'SOURCE_DIVERGENCE_REVIEW' END AS status
   FROM bars_long b LEFT JOIN (SELECT stock_id, trade_date, close + (stock_id % 5) * 2 AS close FROM bars_long WHERE stock_id % 4 <> 0) r USING (stock_id, trade_date)"""))

@@ -52,7 +52,17 @@ walk AS (SELECT old, new AS final FROM m UNION ALL SELECT w.old, m.new FROM walk
 SELECT old, final FROM walk WHERE final NOT IN (SELECT old FROM m)""")
 def merge_closure(spark, d):
     k = F.col("s_suppkey")
-    return identity.merge_closure(T.table(spark, d, "supplier").where(k % 3 != 0).select(k.alias("old"), F.floor(k / 2).alias("new")))
+    return identity.merge_closure(T.table(spark, d, "supplier").where(k % 3 != 0).select(k.alias("old"), F.floor(k / 2).alias("new"))).drop("cycle")
+
+
+@query("""WITH RECURSIVE m AS (SELECT c_custkey AS old, CASE WHEN c_custkey % 10 = 3 THEN c_custkey + 2 ELSE c_custkey - 1 END AS new FROM customer WHERE c_custkey % 10 <> 0 OR c_custkey % 100 = 50),
+walk AS (SELECT old, new AS here, [old] AS seen FROM m UNION ALL SELECT w.old, m.new, list_append(w.seen, w.here) FROM walk w JOIN m ON m.old = w.here WHERE NOT list_contains(w.seen, w.here))
+SELECT old, here AS final, list_contains(seen, here) AS cycle FROM walk WHERE list_contains(seen, here) OR here NOT IN (SELECT old FROM m)""")
+def merge_cycles(spark, d):
+    """Customers that point to their predecessor, but for one in ten that points forward again: circles of three with tails, beside chains that end."""
+    k = F.col("c_custkey")
+    rows = T.table(spark, d, "customer").where((k % 10 != 0) | (k % 100 == 50))
+    return identity.merge_closure(rows.select(k.alias("old"), F.when(k % 10 == 3, k + 2).otherwise(k - 1).alias("new")))
 
 
 @query(with_views("bars_long", """SELECT d.trade_date, count(u.symbol) AS members FROM (SELECT DISTINCT trade_date FROM bars_long) d
@@ -419,6 +429,20 @@ def calls_in_window(spark, d):
     return runs.calls_in_window(calls).select("source_id", "event_id", "recent")
 
 
+LIMITED = """calls AS (SELECT user_id % 10 AS source_id, event_id AS call_id, epoch_us(ts) AS moment, row_number() OVER (PARTITION BY user_id % 10 ORDER BY ts, event_id) AS i FROM events),
+bucket AS (SELECT source_id, call_id, moment, i, [moment] AS times, FALSE AS waited, 0::BIGINT AS wait, 0::BIGINT AS total FROM calls WHERE i = 1
+  UNION ALL SELECT source_id, call_id, moment, i, CASE WHEN len(held) < 2 THEN list_append(held, moment) ELSE list_append(held[2:], held[1] + 3600000000) END, len(held) >= 2,
+    CASE WHEN len(held) >= 2 THEN greatest(0, held[1] + 3600000000 - moment) ELSE 0 END, total + CASE WHEN len(held) >= 2 THEN greatest(0, held[1] + 3600000000 - moment) ELSE 0 END
+  FROM (SELECT c.source_id, c.call_id, c.moment, c.i, b.total, list_filter(b.times, lambda x: x > c.moment - 3600000000) AS held FROM bucket b JOIN calls c ON c.source_id = b.source_id AND c.i = b.i + 1))"""
+
+
+@query(f"WITH RECURSIVE {LIMITED} SELECT source_id, call_id, waited, wait, total FROM bucket")
+def limited_calls(spark, d):
+    """The calls of each source against a limit of two an hour: who waits, how long, and how long all of them waited so far."""
+    calls = T.source_events(spark, d).select("source_id", F.col("event_id").alias("call_id"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
+    return runs.limited(calls, 2, 3_600_000_000).drop("at")
+
+
 # --- index score (from its written rules) ---------------------------------------------------------------------------
 EMA = """n AS (SELECT stock_id, trade_date, close, row_number() OVER (PARTITION BY stock_id ORDER BY trade_date) AS i FROM bars_long),
 e AS (SELECT stock_id, trade_date, close, i, close AS e5, close AS e20, close AS e50 FROM n WHERE i = 1 UNION ALL SELECT n.stock_id, n.trade_date, n.close, n.i, e.e5 + (n.close - e.e5) * (2.0::DOUBLE / 6), e.e20 + (n.close - e.e20) * (2.0::DOUBLE / 21), e.e50 + (n.close - e.e50) * (2.0::DOUBLE / 51)

@@ -90,8 +90,6 @@ def test_best_name_against_all_names(spark):
 def test_pointers(spark):
     chain = spark.createDataFrame([(k, k - 1) for k in range(1, 70)] + [(200, 100)], "node long, up long")
     assert {r.node: (r.far, r.steps) for r in graph.ends(chain).collect()} == {k: (0, k) for k in range(1, 70)} | {200: (100, 1)}
-    with pytest.raises(ValueError, match="CYCLE"):
-        graph.ends(spark.createDataFrame([(1, 2), (2, 3), (3, 1), (9, 8)], "node long, up long"))
     assert graph.ends(chain.limit(0)).count() == 0
 
 
