@@ -37,12 +37,8 @@ def returns(bars: DataFrame, days: tuple[int, ...] = (1, 5, 20)) -> DataFrame:
 
 
 def percentile(rows: DataFrame, column: str, window: int = 252) -> DataFrame:
-    """Share of a stock's last `window` values that are not above the present one."""
-    frame = Window.partitionBy("stock_id").orderBy("trade_date").rowsBetween(1 - window, 0)
-    held = F.collect_list(column).over(frame)  # at most `window` values
-    rows = rows.withColumn("_held", held)
-    share = F.try_divide(F.size(F.filter("_held", lambda x: x <= F.col(column))).cast("double"), F.size("_held"))
-    return rows.withColumn(f"{column}_pct", F.when(F.col(column).isNotNull(), share)).drop("_held")
+    """rows with <column>_pct: the share of the last `window` rows' values that are at most the row's own."""
+    return scan.trailing_share(rows, "stock_id", "trade_date", column, window, f"{column}_pct")
 
 
 def breadth(bars: DataFrame) -> DataFrame:
@@ -105,11 +101,8 @@ def basis(futures: DataFrame, window: int = 60, extreme: float = 0.95) -> DataFr
     futures: series, trade_date, future, spot, days_left. The rules ask for a correction by the days left and give no
     formula; here the basis is divided by them, so contracts near their end are comparable."""
     rows = futures.withColumn("basis", F.try_divide(F.col("future") - F.col("spot"), F.greatest(F.col("days_left"), F.lit(1)).cast("double")))
-    frame = Window.partitionBy("series").orderBy("trade_date").rowsBetween(1 - window, 0)
-    held = F.collect_list("basis").over(frame)  # at most `window` values
-    share = F.try_divide(F.size(F.filter("_held", lambda x: x <= F.col("basis"))).cast("double"), F.size("_held"))
     flag = F.when(F.col("share") >= extreme, "CROWDED").when(F.col("share") <= 1 - extreme, "FEAR")
-    return rows.withColumn("_held", held).withColumn("share", share).select("series", "trade_date", "basis", "share", flag.alias("flag"))
+    return scan.trailing_share(rows, "series", "trade_date", "basis", window, "share").select("series", "trade_date", "basis", "share", flag.alias("flag"))
 
 
 def volume_confirmation(bars: DataFrame, cap: float = 0.1, window: int = 20) -> DataFrame:
@@ -134,9 +127,8 @@ def rates(series: DataFrame, window: int = 252, jump: float = 3.0) -> DataFrame:
     for d in (1, 5, 20):
         rows = rows.withColumn(f"d{d}", F.try_divide(F.col("value"), F.lag("value", d).over(by)) - 1)
     rows = rows.withColumn("vol20", F.stddev_pop("d1").over(by.rowsBetween(-19, 0)))
-    rows = rows.withColumn("_held", F.collect_list("value").over(by.rowsBetween(1 - window, 0)))  # at most `window` values
-    share = F.try_divide(F.size(F.filter("_held", lambda x: x <= F.col("value"))).cast("double"), F.size("_held"))
-    return rows.withColumn("percentile", share).withColumn("jump", F.abs("d1") > jump * F.lag("vol20").over(by)).drop("_held")
+    rows = rows.withColumn("jump", F.abs("d1") > jump * F.lag("vol20").over(by))
+    return scan.trailing_share(rows, "series", "trade_date", "value", window, "percentile")
 
 
 def joint_risk(currency: DataFrame, swaps: DataFrame, yields: DataFrame, factor: float = 1.25) -> DataFrame:

@@ -7,6 +7,7 @@ A fold is sequential by nature: the rows of one key go through one task, as a st
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right, insort
 from collections import deque
 from collections.abc import Callable, Iterator
 
@@ -86,6 +87,30 @@ class Limiter:
         return waits, wait, self.total
 
 
+class Trailing:
+    """The share of the values among the last `window` rows that are at most the row's own; nulls (and NaN) take a place and have no share.
+
+    The state is the window twice, in order of rows and in order of values; a row is an insertion and a removal by bisection."""
+
+    def __init__(self, window: int):
+        self.window, self.rows, self.values = window, deque(), []
+
+    def __call__(self, value) -> tuple[float | None]:
+        value = None if value != value else value
+        if len(self.rows) == self.window and (gone := self.rows.popleft()) is not None:
+            del self.values[bisect_left(self.values, gone)]
+        self.rows.append(value)
+        if value is None:
+            return (None,)
+        insort(self.values, value)
+        return (bisect_right(self.values, value) / len(self.values),)
+
+
+def trailing_share(rows: DataFrame, key: str, order: str, column: str, window: int, name: str) -> DataFrame:
+    """rows with the share of `column` among the last `window` rows of its key."""
+    return folded(rows, [key], [order], [column], lambda: Trailing(window), f"{name} double")
+
+
 class Averages:
     """Exponential averages of several spans, each from the first value on, null before its least number of rows."""
 

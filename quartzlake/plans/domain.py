@@ -368,9 +368,11 @@ def publishable_columns(spark, d):
     return api.publishable(rows)
 
 
-@query(r"""SELECT event_id, regexp_replace(regexp_replace('token=' || user_id || ' Bearer ' || event_type || ' at /tmp/../x', '(?i)\b(token|password|secret|api[_-]?key|authorization)\b(\s*[:=]\s*)\S+', '\1\2***', 'g'), '(?i)\bBearer\s+\S+', 'Bearer ***', 'g') AS masked FROM events""")
+@query(r"""SELECT event_id, regexp_replace(CASE event_id % 5 WHEN 0 THEN 'token=***' WHEN 1 THEN 'token ***' WHEN 2 THEN 'passwd : ***' WHEN 3 THEN 'X-Admin-Token' || chr(9) || '***' ELSE 'the api-key *** not ' || user_id END || ' Bearer ' || event_type || ' at /tmp/../x', 'Bearer \S+', 'Bearer ***') AS masked FROM events""")
 def masked_secrets(spark, d):
-    raw = F.concat(F.lit("token="), F.col("user_id").cast("string"), F.lit(" Bearer "), F.col("event_type"), F.lit(" at /tmp/../x"))
+    k, user = F.col("event_id") % 5, F.col("user_id").cast("string")
+    named = F.when(k == 0, F.lit("token=")).when(k == 1, "token ").when(k == 2, "passwd : ").when(k == 3, "X-Admin-Token\t").otherwise("the api-key is not ")
+    raw = F.concat(named, user, F.lit(" Bearer "), F.col("event_type"), F.lit(" at /tmp/../x"))
     return T.table(spark, d, "events").select("event_id", text.mask_secrets(raw).alias("masked"))
 
 
