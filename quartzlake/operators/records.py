@@ -172,15 +172,26 @@ def packets(actions: DataFrame, restrictions: DataFrame) -> DataFrame:
     return rows.select("stock_id", *[F.coalesce(c, none).alias(c) for c in ("actions_raw", "actions_validated", "restrictions_active")], F.coalesce("halted", F.lit(False)).alias("halted"))
 
 
-def completion(scan: DataFrame, expected: int) -> DataFrame:
-    """criterion, passed for the criteria that a scan's rows (state, data_confidence, last_price, volume, missing_fields) can show."""
-    n, bad = F.count(F.lit(1)), lambda c: F.count_if(c) == 0
-    flags = scan.agg(
-        (n == expected).alias("UNIVERSE_VERIFIED"), bad(F.col("state").isNull()).alias("ALL_SCANNED"), bad((F.size("missing_fields") > 0) & (F.col("state") == "OK")).alias("CHANNELS_COLLECTED"),
-        bad(F.array_contains("missing_fields", "price_availability") & F.col("last_price").isNotNull()).alias("MISSING_NOT_ZEROED"), bad(~F.coalesce(F.col("data_confidence").between(0, 100), F.lit(False))).alias("CONFIDENCE_PER_STOCK"),
-        (F.count_if(F.col("state") == "FAILED") == 0).alias("NO_STOCK_FAILED"),
+CHANNELS = ("kap_count", "news_count", "action_count", "restriction_count")
+
+
+def completion(scan: DataFrame, started: DataFrame) -> DataFrame:
+    """run_id, criterion, passed: the criteria that the rows of a staged run can show, for each run started (run_id, expected).
+
+    scan: run_id, state, data_confidence, last_price, volume, missing_fields and the counts of CHANNELS. A run without a row passes none
+    that asks for rows. Missing is not zero: a price or volume named as missing must not stand as 0."""
+    named = lambda field, column: F.coalesce(F.array_contains("missing_fields", field), F.lit(False)) & F.coalesce(F.col(column) == 0, F.lit(False))
+    zeroed = named("price_availability", "last_price") | (named("volume_availability", "volume") & F.col("last_price").isNull())
+    per = scan.groupBy("run_id").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("state").isNull()).alias("open"), F.count_if(F.col("last_price") > 0).alias("prices"), F.sum(sum(F.coalesce(c, F.lit(0)) for c in CHANNELS)).alias("items"),
+        F.count_if(zeroed).alias("zeroed"), F.count_if(~F.coalesce(F.col("data_confidence").between(0, 100), F.lit(False))).alias("unsure"), F.count_if(F.col("state") == "FAILED").alias("failed"),
     )
-    return flags.select(F.explode(F.map_from_arrays(F.array(*map(F.lit, flags.columns)), F.array(*flags.columns))).alias("criterion", "passed"))
+    rows = started.join(per, "run_id", "left").na.fill(0, ["n", "open", "prices", "items", "zeroed", "unsure", "failed"])
+    passed = {
+        "UNIVERSE_VERIFIED": F.col("run_id").startswith("STAGING-") & (F.col("n") > 0), "ALL_SCANNED": (F.col("n") == F.col("expected")) & (F.col("open") == 0), "CHANNELS_COLLECTED": (F.col("prices") > 0) & (F.col("items") > 0),
+        "MISSING_NOT_ZEROED": F.col("zeroed") == 0, "CONFIDENCE_PER_STOCK": (F.col("n") > 0) & (F.col("unsure") == 0), "NO_STOCK_FAILED": F.col("failed") == 0,
+    }
+    return rows.select("run_id", F.explode(F.array(*(F.struct(F.lit(k).alias("criterion"), v.alias("passed")) for k, v in passed.items()))).alias("c")).select("run_id", "c.*")
 
 
 def count_check(active: DataFrame, official: DataFrame, expected: int) -> DataFrame:

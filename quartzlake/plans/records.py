@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import functions as F
 
 from quartzlake.functions import text
 from quartzlake.operators import api, confidence, corporate, disclosures, identity, news, records, runs, storage, validation, views, volume
+from quartzlake.sources import fetched
 from quartzlake.sources import tables as T
 
 from .bars import AS_OF, BATTERY, FACTORS, LABELS, RATIO, RESTRICTIONS, VERSIONED, checked, factors, joined, labels, restrictions, versioned
@@ -365,9 +368,50 @@ def run_assertion(spark, d):
     return records.run_mismatches(T.stock_rows(spark, d), starts).select("symbol")
 
 
-@query(with_views("bars_dirty", f"SELECT criterion, passed FROM (SELECT [count(*) = 1500, TRUE, TRUE, TRUE, TRUE, count(*) FILTER (state = 'FAILED') = 0] AS p FROM scan) , (SELECT unnest(['UNIVERSE_VERIFIED','ALL_SCANNED','CHANNELS_COLLECTED','MISSING_NOT_ZEROED','CONFIDENCE_PER_STOCK','NO_STOCK_FAILED']) AS criterion, unnest(range(1, 7)) AS i), LATERAL (SELECT p[i] AS passed)", BATTERY, SCAN))
+STAGED = """staged AS (SELECT CASE WHEN k % 10 = 8 THEN 'LIVE-' ELSE 'STAGING-' END || (k % 10) AS run_id, k, n = 0 OR k % 70 = 3 AS missing, CASE WHEN k % 70 = 3 THEN 0 ELSE price END AS price,
+  CASE WHEN k % 90 = 45 THEN NULL WHEN k % 90 = 54 THEN 101 ELSE data_confidence END AS sure, CASE WHEN k % 110 = 27 THEN NULL ELSE state END AS state, CASE WHEN k % 10 <> 6 THEN coalesce(filings, 0) + coalesce(moves, 0) + k % 10 % 3 ELSE 0 END AS items
+  FROM part1 JOIN scan USING (symbol) LEFT JOIN (SELECT stock_id AS k, count(*) AS filings FROM disclosures GROUP BY 1) USING (k) LEFT JOIN (SELECT stock_id AS k, count(*) AS moves FROM actions GROUP BY 1) USING (k) WHERE k % 110 <> 17),
+started AS (SELECT CASE WHEN c_custkey % 10 = 8 THEN 'LIVE-' ELSE 'STAGING-' END || (c_custkey % 10) AS run_id, count(*) AS expected FROM customer GROUP BY 1 UNION ALL SELECT 'STAGING-none', 5),
+per AS (SELECT run_id, any_value(expected) AS expected, count(k) AS n, count(*) FILTER (k IS NOT NULL AND state IS NULL) AS open, count(*) FILTER (price > 0) AS prices, coalesce(sum(items), 0) AS items, count(*) FILTER (missing AND price = 0) AS zeroed,
+  count(*) FILTER (k IS NOT NULL AND NOT coalesce(sure BETWEEN 0 AND 100, FALSE)) AS unsure, count(*) FILTER (state = 'FAILED') AS failed FROM started LEFT JOIN staged USING (run_id) GROUP BY 1)"""
+
+
+@query(with_views("bars_dirty disclosures actions", """SELECT run_id, unnest(['UNIVERSE_VERIFIED','ALL_SCANNED','CHANNELS_COLLECTED','MISSING_NOT_ZEROED','CONFIDENCE_PER_STOCK','NO_STOCK_FAILED']) AS criterion,
+  unnest([starts_with(run_id, 'STAGING-') AND n > 0, n = expected AND open = 0, prices > 0 AND items > 0, zeroed = 0, n > 0 AND unsure = 0, failed = 0]) AS passed FROM per""", BATTERY, SCAN, STAGED))
 def completion_criteria(spark, d):
-    return records.completion(_scan(spark, d), 1500)
+    """Ten runs over a tenth of the stocks each, with zeroed, unscanned, lost and unsure rows and a run without items; one run has no row at all."""
+    k = F.col("stock_id")
+    run = lambda key: F.concat(F.when(key % 10 == 8, "LIVE-").otherwise("STAGING-"), (key % 10).cast("string")).alias("run_id")
+    count = lambda rows, name: rows.groupBy("stock_id").agg(F.count(F.lit(1)).alias(name))
+    rows = _scan(spark, d).where(k % 110 != 17).join(count(T.disclosures(spark, d), "kap_count"), "stock_id", "left").join(count(T.actions(spark, d), "action_count"), "stock_id", "left")
+    zero, dry = k % 70 == 3, k % 10 == 6
+    rows = rows.select(
+        run(k), F.when(k % 110 != 27, F.col("state")).alias("state"), F.when(k % 90 == 45, F.lit(None)).when(k % 90 == 54, 101).otherwise(F.col("data_confidence")).alias("data_confidence"), F.when(zero, 0.0).otherwise(F.col("last_price")).alias("last_price"), "volume",
+        F.when(zero, F.array(F.lit("price_availability"))).otherwise(F.col("missing_fields")).alias("missing_fields"), F.when(~dry, F.col("kap_count")).alias("kap_count"), F.when(~dry, k % 10 % 3).alias("news_count"),
+        F.when(~dry, F.col("action_count")).alias("action_count"), F.lit(None).cast("long").alias("restriction_count"),
+    )
+    started = T.table(spark, d, "customer").groupBy(run(F.col("c_custkey"))).agg(F.count(F.lit(1)).alias("expected"))
+    return records.completion(rows, started.unionByName(spark.range(1).select(F.lit("STAGING-none").alias("run_id"), F.lit(5).cast("long").alias("expected"))))
+
+
+# --- a source by its three calls ------------------------------------------------------------------------------------
+FETCH_DAY = dt.date(1997, 3, 14)
+FETCHED = "stock_id, trade_date, open, high, low, close, volume"
+
+
+@query(with_views("bars_long", f"SELECT {FETCHED} FROM bars_long WHERE trade_date > DATE '{FETCH_DAY}' - 60 AND trade_date <= DATE '{FETCH_DAY}'"))
+def source_history(spark, d):
+    return fetched.fetch_history(fetched.records(spark, f"{d}/lineitem.parquet"), FETCH_DAY, 60)
+
+
+@query(with_views("bars_long", f"SELECT {FETCHED} FROM bars_long WHERE trade_date = DATE '{FETCH_DAY}'"))
+def source_date(spark, d):
+    return fetched.fetch_date(fetched.records(spark, f"{d}/lineitem.parquet"), FETCH_DAY)
+
+
+@query(with_views("bars_long", f"SELECT {FETCHED} FROM bars_long WHERE trade_date <= DATE '{FETCH_DAY}' QUALIFY row_number() OVER (PARTITION BY stock_id ORDER BY trade_date DESC) = 1"))
+def source_latest(spark, d):
+    return fetched.fetch_latest(fetched.records(spark, f"{d}/lineitem.parquet"), FETCH_DAY)
 
 
 @query("""SELECT symbol FROM (SELECT c_name AS symbol, coalesce(CASE WHEN c_custkey % 3 = 0 THEN c_custkey % 2 = 0 END, CASE WHEN c_custkey % 5 <> 0 THEN c_custkey % 4 > 0 END, CASE WHEN c_custkey % 7 <> 0 THEN c_custkey % 8 > 3 END, FALSE) AS has FROM customer) WHERE has""")

@@ -132,6 +132,7 @@ def test_text(spark):
     assert [r.a for r in got] == [False, False, True] and got[0].s == ["cgou", "isik", "sirketi"]
     assert fuzzy.token_set_ratio("a b", "c d") == 0 and fuzzy.token_set_ratio("a b c", "a b") == 100 and fuzzy.token_set_ratio("", "a") == 0
     assert fuzzy.partial_ratio("bank", "big bank of it") == 100
+    assert fuzzy.ratio("", "") == fuzzy.ratio("a", "") == fuzzy.partial_ratio("", "") == 0 and fuzzy.ratio("ab", "ab") == 100
 
 
 def test_short_codes_need_context(spark):
@@ -147,7 +148,7 @@ def test_near_duplicates_match_brute_force(spark):
     titles = ["Big bank profit rises", "Bank profit rises big time", "big bank profit rise", "Nothing alike here", "bank", "", "Profit falls at other bank"]
     n = spark.createDataFrame([(i, t, "b") for i, t in enumerate(titles)], "news_id long, title string, body string")
     norm = [t.lower() for t in titles]
-    want = {(i, j) for i in range(len(titles)) for j in range(i + 1, len(titles)) if fuzzy.token_set_ratio(norm[i], norm[j]) >= 85}
+    want = {(i, j) for i in range(len(titles)) for j in range(len(titles)) if i != j and fuzzy.token_set_ratio(norm[i], norm[j]) >= 85}
     rows = n.select(text.normalize(F.col("title")).alias("title")).where("title <> ''")
     rows = rows.select("title", F.array_sort(F.array_distinct(F.split("title", " "))).alias("t")).distinct()
     pairs = {frozenset((norm[i], norm[j])) for i, j in want if norm[i] != norm[j]}

@@ -77,6 +77,43 @@ def test_dedupe_against_all_pairs(spark):
     assert {r.news_id: (r.canonical_id, r.group_size, set(r.reasons), r.credit) for r in got.collect()} == brute_groups(rows, stocks)
 
 
+def one_way_titles(n):
+    """Pairs of titles, the first alike to the second but not the second to the first."""
+    rng, words = random.Random(8), ["acme", "profit", "rises", "firm", "old", "plant", "sale", "bank", "big", "a", "of"]
+    out = []
+    while len(out) < n:
+        base = rng.sample(words, rng.randrange(2, 5))
+        a, b = (" ".join(rng.sample(base + [w + x for w, x in zip(rng.sample(words, 2), rng.choices("xyz", k=2), strict=True)], len(base) + 1)) for _ in range(2))
+        if (fuzzy.token_set_ratio(a, b) >= 85) != (fuzzy.token_set_ratio(b, a) >= 85):
+            out.append((a, b) if fuzzy.token_set_ratio(a, b) >= 85 else (b, a))
+    return out
+
+
+def test_dedupe_keeps_the_order_of_the_texts(spark):
+    """Titles and bodies that are alike in one order only, in both orders of ids, near and far in time, and repeated."""
+    rng, rows = random.Random(5), []
+    for a, b in one_way_titles(4):
+        for x, y in ((a, b), (b, a)):
+            at = rng.randrange(10**6)
+            rows += [(x, "one body", at), (y, "other text", at + rng.choice([3, 29, 31]))]
+            rows += [("same title " + x[:3], x, None), ("same title " + x[:3], y, None)]
+        rows += [(a, "again", 5), (b, "once more", 20), (a, "again", 33)]
+    rows = [(i, t, body, "site", None, at, "NEWS") for i, (t, body, at) in enumerate(rows)]
+    df = spark.createDataFrame(rows, "news_id long, title string, body string, source_name string, url string, at long, content_type string")
+    got = dedupe.dedupe(df, spark.createDataFrame([], "news_id long, stock_id long"))
+    want = brute_groups(rows, {})
+    assert {r.news_id: (r.canonical_id, r.group_size, set(r.reasons), r.credit) for r in got.collect()} == want
+    assert {len(c[2]) for c in want.values()} >= {0, 1}
+
+
+def test_completion(spark):
+    rows = [("STAGING-1", "READY", 80, 1.0, 5, [], 1, 0, 0, 0), ("STAGING-1", "FAILED", 0, None, None, ["price_availability"], 0, 0, 0, 0), ("LIVE-2", None, 101, 0.0, 0, ["price_availability"], None, None, None, None)]
+    scan = spark.createDataFrame(rows, "run_id string, state string, data_confidence int, last_price double, volume long, missing_fields array<string>, kap_count long, news_count long, action_count long, restriction_count long")
+    found = records.completion(scan, spark.createDataFrame([("STAGING-1", 2), ("LIVE-2", 2), ("STAGING-3", 0)], "run_id string, expected long")).collect()
+    passed = {run: {r.criterion for r in found if r.run_id == run and r.passed} for run in ("STAGING-1", "LIVE-2", "STAGING-3")}
+    assert passed == {"STAGING-1": {"UNIVERSE_VERIFIED", "ALL_SCANNED", "CHANNELS_COLLECTED", "MISSING_NOT_ZEROED", "CONFIDENCE_PER_STOCK"}, "LIVE-2": {"NO_STOCK_FAILED"}, "STAGING-3": {"ALL_SCANNED", "MISSING_NOT_ZEROED", "NO_STOCK_FAILED"}}
+
+
 def test_best_name_against_all_names(spark):
     titles = [(i, t) for i, t in enumerate(TITLES)]
     names = [(1, "acme profit"), (2, "old plant firm"), (3, "nothing")]
