@@ -1,26 +1,18 @@
-"""Streams: appends without repeats, re-checks, late events, alerts and states of stocks.
+"""Streams: appends without repeats, re-checks and late events.
 
 Sinks that must look at what is stored run in `foreachBatch`; a batch that is replayed writes nothing twice, for its
-rows are found in the target. Alerts and states keep one small state for each key.
+rows are found in the target. What keeps a state for each key is in `stateful`.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from quartzlake.operators import records, storage
 
-ALERT = "source_id long, alert_at timestamp, event_id long"
-STATE = "streak int, ts timestamp"
-STEP = "stock_id long, state string, missing string"
-#: Sources of a scan in their order; without the first, a stock has failed.
-WAVES = ("price", "kap", "news", "actions", "restrictions")
-
 
 def stored_at(batch: DataFrame, path: str, partition: str | None, schema=None) -> DataFrame:
     """The table at path, or an empty one; of a partitioned table only the range of partitions that the batch touches."""
@@ -76,25 +68,6 @@ def append_disclosures(path: str) -> Callable[[DataFrame, int], None]:
     return write
 
 
-def expiries(stream: DataFrame, delay: str = "0 seconds") -> DataFrame:
-    """seq, expired_at for restrictions (seq, ts, ends_at): each once, when the stream's clock passes its end; an open end never."""
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            ends = state.get[0]
-            state.remove()
-            yield pd.DataFrame({"seq": [key[0]], "expired_at": [ends]})
-            return
-        ends = [e for rows in batches for e in rows["ends_at"] if not pd.isna(e)]
-        if ends:
-            state.update((max(ends),))
-            state.setTimeoutTimestamp(max(int(max(ends).timestamp() * 1000), state.getCurrentWatermarkMs() + 1))
-        elif state.exists:
-            state.setTimeoutTimestamp(max(int(state.get[0].timestamp() * 1000), state.getCurrentWatermarkMs() + 1))
-
-    return stream.withWatermark("ts", delay).groupBy("seq").applyInPandasWithState(step, "seq long, expired_at timestamp", "ends timestamp", "append", GroupStateTimeout.EventTimeTimeout)
-
-
 def append_versions(path: str) -> Callable[[DataFrame, int], None]:
     """A foreachBatch sink: a changed bar becomes a new version behind the stored one, a new bar the first version."""
 
@@ -124,35 +97,3 @@ def split_at_cutoff(stream: DataFrame, cutoff) -> tuple[DataFrame, DataFrame]:
     """(on time, late): events after the cutoff go to the second run of the day."""
     late = F.col("ts") > F.lit(cutoff).cast("timestamp")
     return stream.where(~late), stream.where(late)
-
-
-def alerts(stream: DataFrame, limit: int = 3) -> DataFrame:
-    """source_id, alert_at, event_id when a source's errors in a row reach the limit; once for each row of errors."""
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        streak, out = (state.get[0] if state.exists else 0), []
-        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-        for ok, ts, event_id in zip(rows["ok"], rows["ts"], rows["event_id"], strict=True):
-            streak = 0 if ok else streak + 1
-            if streak == limit:
-                out.append((key[0], ts, event_id))
-        state.update((streak, rows["ts"].max()))
-        yield pd.DataFrame(out, columns=["source_id", "alert_at", "event_id"])
-
-    return stream.groupBy("source_id").applyInPandasWithState(step, ALERT, STATE, "append", GroupStateTimeout.NoTimeout)
-
-
-def stock_states(stream: DataFrame) -> DataFrame:
-    """stock_id, state, missing after each batch of source outcomes (stock_id, source, ok): WAITING until all sources have
-    reported, then READY, PARTIAL_DATA, or FAILED without a price."""
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        seen = dict(x.split("=") for x in state.get[0].split(",") if x) if state.exists else {}
-        for rows in batches:
-            seen |= {s: "1" if ok else "0" for s, ok in zip(rows["source"], rows["ok"], strict=True)}
-        state.update((",".join(f"{s}={v}" for s, v in sorted(seen.items())),))
-        bad = [s for s in WAVES if seen.get(s) == "0"]
-        name = "WAITING" if set(seen) < set(WAVES) else "FAILED" if WAVES[0] in bad else "PARTIAL_DATA" if bad else "READY"
-        yield pd.DataFrame({"stock_id": [key[0]], "state": [name], "missing": [",".join(bad)]})
-
-    return stream.groupBy("stock_id").applyInPandasWithState(step, STEP, "seen string", "update", GroupStateTimeout.NoTimeout)

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quartzlake.operators import runs, storage
-from quartzlake.streaming import increments
+from quartzlake.streaming import increments, stateful
 
 T0 = dt.datetime(2024, 1, 1, 9)
 
@@ -49,18 +49,18 @@ def test_alerts_match_the_batch_form(spark, tmp_path):
     schema = "source_id long, ts timestamp, event_id long, ok boolean"
     stream = batches(spark, tmp_path, "in", schema, [rows[:3] + rows[12:17], rows[3:12] + rows[17:]])
     out = str(tmp_path / "out")
-    drain(increments.alerts(stream).writeStream.format("parquet").option("path", out), tmp_path, "alerts")
+    drain(stateful.alerts(stream).writeStream.format("parquet").option("path", out), tmp_path, "alerts")
     want = {(r.source_id, r.event_id) for r in runs.source_alerts(spark.createDataFrame(rows, schema)).collect()}
     assert {(r.source_id, r.event_id) for r in spark.read.parquet(out).collect()} == want and want
 
 
 def test_states_and_cutoff(spark, tmp_path):
-    waves = increments.WAVES
+    waves = stateful.WAVES
     rows = [(1, s, True) for s in waves] + [(2, s, s != "news") for s in waves] + [(3, s, s != "price") for s in waves] + [(4, "price", True)]
     stream = batches(spark, tmp_path, "in", "stock_id long, source string, ok boolean", [rows])
     found = {}
     write = lambda df, _: found.update({r.stock_id: r.state for r in df.collect()})
-    drain(increments.stock_states(stream).writeStream.outputMode("update").foreachBatch(write), tmp_path, "states")
+    drain(stateful.stock_states(stream).writeStream.outputMode("update").foreachBatch(write), tmp_path, "states")
     assert found == {1: "READY", 2: "PARTIAL_DATA", 3: "FAILED", 4: "WAITING"}
     events = spark.createDataFrame([(1, T0), (2, T0 + dt.timedelta(hours=1))], "id long, ts timestamp")
     on_time, late = increments.split_at_cutoff(events, "2024-01-01 09:40:00")
@@ -99,5 +99,19 @@ def test_restrictions_expire_once(spark, tmp_path):
     rows = [[(1, T0, T0 + 2 * hour), (2, T0, None), (3, T0, T0 + 90 * hour)], [(9, T0 + 5 * hour, None)], [(9, T0 + 6 * hour, None)]]
     stream = batches(spark, tmp_path, "in", "seq long, ts timestamp, ends_at timestamp", rows)
     out = str(tmp_path / "out")
-    drain(increments.expiries(stream).writeStream.format("parquet").option("path", out), tmp_path, "expiries")
+    drain(stateful.expiries(stream).writeStream.format("parquet").option("path", out), tmp_path, "expiries")
     assert [(r.seq, r.expired_at) for r in spark.read.parquet(out).collect()] == [(1, T0 + 2 * hour)]
+
+
+def test_state_lives_as_long_as_it_should(spark, tmp_path):
+    """Two errors, a pause, two errors: three in a row for a state that lives on, and not for one that does not."""
+    schema = "source_id long, ts timestamp, event_id long, ok boolean"
+    rows = [(1, T0 + dt.timedelta(minutes=i), i, False) for i in range(4)]
+    found = {}
+    for name, live_ms in (("long", 3_600_000), ("short", 1)):
+        stream, out = batches(spark, tmp_path, f"in-{name}", schema, [rows[:2]]), str(tmp_path / f"out-{name}")
+        drain(stateful.alerts(stream, 3, live_ms).writeStream.format("parquet").option("path", out), tmp_path, name)
+        stream = batches(spark, tmp_path, f"in-{name}", schema, [rows[2:]])
+        drain(stateful.alerts(stream, 3, live_ms).writeStream.format("parquet").option("path", out), tmp_path, name)
+        found[name] = [r.event_id for r in spark.read.schema(stateful.ALERT).parquet(out).collect()]
+    assert found == {"long": [2], "short": []}
