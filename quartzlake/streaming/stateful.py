@@ -2,7 +2,7 @@
 
 The state of a key whose time to live has passed since its last change is dropped by the state store, so keys that fall
 silent cost nothing in the end; an expiry drops its state when its timer fires. Both need the RocksDB state store, which
-`stored_in_rocksdb` sets for a session.
+`stored_in_rocksdb` sets for a session. With a time to live a query goes on planning batches, so it is stopped from outside.
 """
 
 from __future__ import annotations

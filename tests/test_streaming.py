@@ -1,4 +1,5 @@
 import datetime as dt
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -23,6 +24,17 @@ def drain(writer, tmp_path, name):
     assert q.exception() is None
 
 
+def run_through(writer, tmp_path, name, rows):
+    """A query in processing time plans batch after batch for its time to live, so it is stopped when it has read its rows."""
+    q = writer.option("checkpointLocation", str(tmp_path / f"{name}-checkpoint")).start()
+    for _ in range(400):
+        if sum(p["numInputRows"] for p in q.recentProgress) >= rows:
+            break
+        time.sleep(0.1)
+    q.stop()
+    assert q.exception() is None
+
+
 def test_replayed_rows_are_written_once(spark, tmp_path):
     rows = [(1, dt.date(2024, 1, 2), "a", "1", 1), (1, dt.date(2024, 1, 3), "a", "1", 2)]
     stream = batches(spark, tmp_path, "in", "stock_id long, trade_date date, source string, data_version string, seq long", [rows, rows + [(2, dt.date(2024, 1, 3), "a", "1", 3), (2, dt.date(2024, 1, 3), "a", "1", 4)]])
@@ -110,8 +122,8 @@ def test_state_lives_as_long_as_it_should(spark, tmp_path):
     found = {}
     for name, live_ms in (("long", 3_600_000), ("short", 1)):
         stream, out = batches(spark, tmp_path, f"in-{name}", schema, [rows[:2]]), str(tmp_path / f"out-{name}")
-        drain(stateful.alerts(stream, 3, live_ms).writeStream.format("parquet").option("path", out), tmp_path, name)
+        run_through(stateful.alerts(stream, 3, live_ms).writeStream.format("parquet").option("path", out), tmp_path, name, 2)
         stream = batches(spark, tmp_path, f"in-{name}", schema, [rows[2:]])
-        drain(stateful.alerts(stream, 3, live_ms).writeStream.format("parquet").option("path", out), tmp_path, name)
+        run_through(stateful.alerts(stream, 3, live_ms).writeStream.format("parquet").option("path", out), tmp_path, name, 2)
         found[name] = [r.event_id for r in spark.read.schema(stateful.ALERT).parquet(out).collect()]
     assert found == {"long": [2], "short": []}
