@@ -16,7 +16,8 @@ paired. So a group of copies costs no square, also where many of them are not si
 
 The order is by hash, but shingles that are frequent anywhere come last, the most frequent at the very end. Each task keeps a
 summary of bounded size over all its texts (counts less than the share 1 / COUNTERS may be missed), so all rows are counted. Any
-order gives the same result.
+order gives the same result. Shingles with the same posting list are one list with a weight, so a run of text that long documents share pairs
+them once and not once for each shingle.
 
 Defined cases: null, empty and blank texts have an empty set and are linked with nothing; texts of one to four words have
 one shingle, the whole sequence, and link with equal ones. Every row is a row of its own, whatever its doc_id; of null ids the
@@ -161,7 +162,10 @@ def marked(rows: DataFrame, size: int = SHINGLE) -> DataFrame:
 
 
 def postings(nodes: DataFrame) -> DataFrame:
-    """key, row, n, place, level, need and signature: the entries of each node's own prefix, in a table of `cut`; need is its l."""
+    """key, row, n, place, level, need, w and signature: the entries of each node's own prefix, in a table of `cut`; need is its l.
+
+    Shingles in just the same nodes' prefixes, as a run of shared text has them, are one list of weight w under the first of them
+    in the global order, which is the first of them in each node too."""
     listed = nodes.select("row", "n", F.posexplode("prefix").alias("place", "key"))
     listed = listed.select("key", "row", "n", "place", _level("n", "place").alias("level"))
     lengths = cut(nodes.select(F.explode("prefix").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("k")).where("k > 1"), "join-lengths")
@@ -171,9 +175,13 @@ def postings(nodes: DataFrame) -> DataFrame:
     known = met.groupBy("row").agg(F.first("n").alias("n"), *(within(l, F.col("k") - 1).alias(f"s{l}") for l in levels), *(within(l, F.lit(1)).alias(f"m{l}") for l in levels))  # noqa: E741
     alone = F.expr(" OR ".join(f"m{l} < {l}" for l in levels))  # noqa: E741
     costs = [F.struct((F.col(f"s{l}") * (1 + VERIFY * F.col("n") / l)).alias("cost"), F.lit(l).alias("need")) for l in levels]  # noqa: E741
-    need = cut(known.where(~alone).select("row", F.least(*costs)["need"].alias("need")).join(nodes.select("row", *SIGNATURE), "row"), "join-need")
-    found = cut(met.drop("k").join(need, "row").where("level <= need"), "join-postings")
+    need = cut(known.where(~alone).select("row", F.least(*costs)["need"].alias("need")), "join-need")
+    own = cut(met.drop("k").join(need, "row").where("level <= need"), "join-own")
     release(lengths, met, need)
+    members = own.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.bit_xor(F.xxhash64("row")).alias("x"), F.bit_xor(F.xxhash64(F.lit(SEED), "row")).alias("y"), F.min(F.struct("row", "place")).alias("c"))
+    lists = cut(members.where("m > 1").groupBy("m", "x", "y", "c.row").agg(F.min_by("key", "c.place").alias("key"), F.count(F.lit(1)).alias("w")).select("key", "w"), "join-lists")
+    found = cut(own.join(lists, "key").join(nodes.select("row", *SIGNATURE), "row"), "join-postings")
+    release(own, lists)
     return found
 
 
@@ -191,7 +199,7 @@ def _fitting(pairs: DataFrame) -> DataFrame:
 
 def _counted(pairs: DataFrame) -> DataFrame:
     """The distinct pairs that share enough shingles of their prefixes."""
-    shared = pairs.groupBy("hi", "lo").agg(F.count(F.lit(1)).alias("k"), *(F.first(c).alias(c) for c in ("need", "root_hi", "root_lo")))
+    shared = pairs.groupBy("hi", "lo").agg(F.sum("w").alias("k"), *(F.first(c).alias(c) for c in ("need", "root_hi", "root_lo")))
     return shared.where("k >= need").select("hi", "lo", "root_hi", "root_lo")
 
 
@@ -216,7 +224,7 @@ def verified(pairs: DataFrame, texts: DataFrame, size: int = SHINGLE) -> DataFra
 
 
 def _side(entries: DataFrame, k: str, *key: str) -> DataFrame:
-    return entries.select("key", *key, F.col("row").alias(k), *(F.col(c).alias(f"{c}_{k}") for c in ("n", "place", "need", "root", *SIGNATURE)))
+    return entries.select("key", *key, *(["w"] if k == "hi" else []), F.col("row").alias(k), *(F.col(c).alias(f"{c}_{k}") for c in ("n", "place", "need", "root", *SIGNATURE)))
 
 
 def _stars(entries: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
