@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quartzlake.functions import fuzzy, text
-from quartzlake.operators import api, confidence, dedupe, disclosures, identity, index_score, news, runs, storage
+from quartzlake.operators import api, confidence, dedupe, disclosures, hashtree, identity, index_score, news, runs, storage
 from quartzlake.sources import tables as T
 
 from .bars import AS_OF, BATTERY, checked, joined
@@ -425,6 +425,37 @@ def table_checksum(spark, d):
     return storage.manifest({"part_keys": T.table(spark, d, "part")}, lambda df: row)
 
 
+ORDER_DIGEST = "sha256(concat_ws('|', o_orderkey, o_custkey, coalesce(o_orderstatus, ''), CAST(round(o_totalprice * 100) AS BIGINT), strftime(o_orderdate, '%Y-%m-%d'), coalesce(o_orderpriority, '')))"
+HASH_LEAVES = "SELECT CAST(o_orderkey // 500 AS BIGINT) AS node, count(*) AS n, sha256(string_agg(digest, '' ORDER BY o_orderkey, digest)) AS digest"
+
+
+def _digested_orders(spark, d):
+    """Orders with the digest of each row: the values of all columns."""
+    cents, day = F.round(F.col("o_totalprice") * 100).cast("long"), F.to_date("o_orderdate")
+    digest = hashtree.row_digest(*map(F.col, ("o_orderkey", "o_custkey", "o_orderstatus")), cents, day, F.col("o_orderpriority"))
+    return T.table(spark, d, "orders"), digest
+
+
+@query(with_views("", """SELECT level, node, n, digest FROM nodes UNION ALL SELECT max(level) + 1, 0, CAST(sum(n) AS BIGINT), sha256(string_agg(digest, '' ORDER BY node)) FROM nodes WHERE level = (SELECT max(level) FROM nodes)""",
+  f"leaves AS ({HASH_LEAVES} FROM (SELECT *, {ORDER_DIGEST} AS digest FROM orders) GROUP BY 1)",
+  """nodes AS (SELECT 0 AS level, node, n, digest FROM leaves UNION ALL SELECT level + 1, up, CAST(sum(n) AS BIGINT), sha256(string_agg(digest, '' ORDER BY node)) FROM (SELECT *, CAST(node // 8 AS BIGINT) AS up, count(*) OVER () AS width FROM nodes) WHERE width > 8 GROUP BY level, up)"""))
+def order_hash_tree(spark, d):
+    """The hash tree of the orders by ranges of 500 keys, eight nodes below each node."""
+    rows, digest = _digested_orders(spark, d)
+    return hashtree.tree(rows, "o_orderkey", digest, 500, 8)
+
+
+@query(with_views("", "SELECT coalesce(a.node, b.node) AS node, coalesce(a.n, 0) AS source_rows, coalesce(b.n, 0) AS target_rows FROM a FULL JOIN b ON a.node = b.node WHERE a.digest IS DISTINCT FROM b.digest",
+  f"a AS ({HASH_LEAVES} FROM (SELECT *, {ORDER_DIGEST} AS digest FROM orders) GROUP BY 1)",
+  f"b AS ({HASH_LEAVES} FROM (SELECT *, {ORDER_DIGEST} AS digest FROM (SELECT * REPLACE (CASE WHEN o_orderkey % 4999 = 7 THEN 'X' ELSE o_orderstatus END AS o_orderstatus) FROM orders WHERE o_orderkey % 3989 <> 5)) GROUP BY 1)"))
+def damaged_ranges(spark, d):
+    """Ranges of keys in which a copy of the orders lost or changed a row."""
+    rows, digest = _digested_orders(spark, d)
+    k = F.col("o_orderkey")
+    copy = rows.where(k % 3989 != 5).withColumn("o_orderstatus", F.when(k % 4999 == 7, "X").otherwise(F.col("o_orderstatus")))
+    return hashtree.differing(*(hashtree.leaves(t, "o_orderkey", digest, 500) for t in (rows, copy)))
+
+
 @query("""SELECT source_id, event_id, count(*) OVER (PARTITION BY source_id ORDER BY second RANGE BETWEEN 59 PRECEDING AND CURRENT ROW) AS recent FROM (SELECT user_id % 10 AS source_id, event_id, epoch(ts)::BIGINT - (CASE WHEN epoch(ts)::BIGINT > epoch(ts) THEN 1 ELSE 0 END) AS second FROM events)""")
 def calls_in_window(spark, d):
     calls = T.source_events(spark, d).select("source_id", "event_id", F.unix_seconds(F.col("ts").cast("timestamp")).alias("second"))
