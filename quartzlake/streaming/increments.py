@@ -11,13 +11,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quartzlake.durable import remove
 from quartzlake.operators import records, storage
 
 
 def stored_at(batch: DataFrame, path: str, partition: str | None, schema=None) -> DataFrame:
     """The table at path, or an empty one; of a partitioned table only the range of partitions that the batch touches."""
     try:
-        found = batch.sparkSession.read.parquet(path)
+        found = batch.sparkSession.read.schema(schema or batch.schema).parquet(path)
     except Exception as e:  # no table yet
         if "PATH_NOT_FOUND" not in str(e):
             raise
@@ -42,16 +43,32 @@ def append_new(path: str, key: list[str], partition: str | None = None) -> Calla
     return write
 
 
-def append_after_mark(path: str, overlap_days: int = 12, partition: str | None = None) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch sink for incremental pulls: of each stock the bars after its high mark, less an overlap that is read again
-    for gaps and late corrections; what is stored is not stored twice."""
-    key = ["stock_id", "trade_date", "source"]
+def _marks(batch: DataFrame, number: int, path: str, marks: str) -> DataFrame:
+    """stock_id, mark: the marks before a batch; where there are none yet, those of the table itself."""
+    try:
+        return batch.sparkSession.read.parquet(f"{marks}/before={number}")
+    except Exception as e:  # the first batch of a checkpoint
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return stored_at(batch, path, None).groupBy("stock_id").agg(F.max("trade_date").alias("mark"))
 
-    def write(batch: DataFrame, _: int) -> None:
-        stored = stored_at(batch, path, None)
-        mark = stored.groupBy("stock_id").agg(F.max("trade_date").alias("mark"))
-        fresh = batch.join(mark, "stock_id", "left").where(F.col("mark").isNull() | (F.col("trade_date") > F.date_sub("mark", overlap_days))).drop("mark")
-        _append(storage.new_rows(fresh, stored_at(batch, path, partition), key), path, partition)
+
+def append_after_mark(path: str, overlap_days: int = 12, partition: str | None = None, marks: str | None = None) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch sink for incremental pulls: of each stock the bars after its high mark, less an overlap that is read again
+    for gaps and late corrections; what is stored is not stored twice.
+
+    The high marks are a small table beside the target (`marks`), one version for each batch, written after the batch's rows: a batch
+    that is replayed starts from the marks that it started from, and finds its rows in the target. The last two versions stay. Of a
+    partitioned target a batch reads the partitions of its fresh rows; only the first batch of a checkpoint reads all of it, for the marks."""
+    key, marks = ["stock_id", "trade_date", "source"], marks or f"{path.rstrip('/')}-marks"
+
+    def write(batch: DataFrame, number: int) -> None:
+        before = _marks(batch, number, path, marks)
+        fresh = batch.join(before, "stock_id", "left").where(F.col("mark").isNull() | (F.col("trade_date") > F.date_sub("mark", overlap_days))).drop("mark")
+        _append(storage.new_rows(fresh, stored_at(fresh, path, partition), key), path, partition)
+        moved = before.unionByName(batch.groupBy("stock_id").agg(F.max("trade_date").alias("mark"))).groupBy("stock_id").agg(F.max("mark").alias("mark"))
+        moved.write.mode("overwrite").parquet(f"{marks}/before={number + 1}")
+        remove(batch.sparkSession, f"{marks}/before={number - 1}")
 
     return write
 

@@ -1,5 +1,7 @@
 import datetime as dt
+import shutil
 import time
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -97,6 +99,29 @@ def test_only_what_is_past_the_mark_comes_in(spark, tmp_path):
     assert sorted(r.seq for r in spark.read.parquet(target).collect()) == [1, 4, 6, 7]
 
 
+def test_marks_are_kept_beside_the_target(spark, tmp_path):
+    """After the first batch neither marks nor repeats need the old partitions: one that cannot be read does no harm. A batch that
+    is replayed, before or after its marks were written, writes nothing twice."""
+    schema, target = "stock_id long, trade_date date, source string, seq long", tmp_path / "target"
+    day = lambda n: dt.date(2024, 1, 1) + dt.timedelta(days=n)
+    stored = lambda low: sorted(r.seq for r in spark.read.schema(schema).parquet(str(target)).where(F.col("trade_date") >= day(low)).collect())
+    write = increments.append_after_mark(str(target), overlap_days=3, partition="trade_date")
+    write(spark.createDataFrame([(1, day(0), "a", 1), (1, day(20), "a", 2)], schema), 0)
+    for part in (target / f"trade_date={day(0)}").glob("*.parquet"):
+        part.write_bytes(b"not a table")
+        (part.parent / f".{part.name}.crc").unlink(missing_ok=True)
+    second = spark.createDataFrame([(1, day(16), "a", 3), (1, day(21), "a", 4), (2, day(19), "b", 5)], schema)
+    write(second, 1)
+    assert stored(1) == [2, 4, 5]
+    shutil.rmtree(f"{target}-marks/before=2")
+    write(second, 1)  # it had stopped before its marks
+    write(second, 1)  # and after them
+    assert stored(1) == [2, 4, 5]
+    write(spark.createDataFrame([(1, day(17), "a", 6), (2, day(17), "b", 7), (1, day(19), "a", 8)], schema), 2)
+    assert stored(1) == [2, 4, 5, 7, 8]
+    assert sorted(p.name for p in Path(f"{target}-marks").iterdir()) == ["before=2", "before=3"]
+
+
 def test_revisions_follow_what_is_stored(spark, tmp_path):
     schema, target = "notification_id long, previous_notification_id long, seq long", str(tmp_path / "target")
     write = increments.append_disclosures(target)
