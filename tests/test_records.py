@@ -51,7 +51,8 @@ def brute_groups(rows, stocks):
     root, why = {r[0]: r[0] for r in live}, {}
     for a, b in itertools.combinations(live, 2):
         near = abs(a[5] - b[5]) if a[5] is not None and b[5] is not None else None
-        title, body = fuzzy.token_set_ratio(norm(a[1]), norm(b[1])), fuzzy.token_set_ratio(norm(a[2]), norm(b[2]))
+        title = fuzzy.token_set_ratio(norm(a[1]), norm(b[1]))
+        body = fuzzy.token_set_ratio(norm(a[2]), norm(b[2])) if title >= 85 else 0
         keys = {w for w in norm(a[1]).split() if len(w) >= 4} & {w for w in norm(b[1]).split() if len(w) >= 4}
         got = [c for c, ok in zip(dedupe.REASONS, (a[4] and a[4] == b[4], title >= 85 and body >= 80, near is not None and near <= 30 and title >= 85, near is not None and near <= 360 and len(keys) >= 2 and stocks.get(a[0]) is not None and stocks.get(a[0]) == stocks.get(b[0])), strict=False) if ok]
         if got and agency(a[3]) != agency(b[3]):
@@ -77,6 +78,63 @@ def test_dedupe_against_all_pairs(spark):
     assert {r.news_id: (r.canonical_id, r.group_size, set(r.reasons), r.credit) for r in got.collect()} == brute_groups(rows, stocks)
 
 
+def edited(rng, words, base):
+    """A text with some of its words replaced, dropped or changed by a letter, on both sides of the bound for bodies."""
+    share, out = rng.choice([0.02, 0.1, 0.2, 0.3, 0.45, 0.6]), []
+    for w in base:
+        if rng.random() >= share:
+            out.append(w)
+        elif rng.random() < 0.7:
+            out.append(rng.choice([rng.choice(words), w + rng.choice("xyz")]))
+    return " ".join(out[: rng.choice([len(out), len(out) // 2])])
+
+
+def test_long_bodies_against_all_pairs(spark):
+    """Bodies of all lengths, over and under the one from which the matcher leaves frequent letters out."""
+    rng = random.Random(11)
+    words = ["".join(rng.choice("abcdefghiklmnoprstuvyz") for _ in range(rng.randrange(2, 9))) for _ in range(300)]
+    bases = [[rng.choice(words) for _ in range(n)] for n in (8, 30, 60, 150, 400)]
+    rows = [(i, TITLES[i % 5], edited(rng, words, rng.choice(bases)), "site", None, None, "NEWS") for i in range(90)]
+    df = spark.createDataFrame(rows, "news_id long, title string, body string, source_name string, url string, at long, content_type string")
+    got = {r.news_id: (r.canonical_id, r.group_size, set(r.reasons), r.credit) for r in dedupe.dedupe(df, spark.createDataFrame([], "news_id long, stock_id long")).collect()}
+    assert got == brute_groups(rows, {}) and 3 < len({c[0] for c in got.values()}) < 90
+
+
+def test_bounds_of_the_matcher():
+    rng = random.Random(12)
+    for _ in range(400):
+        a, b = ("".join(rng.choice("abc ") for _ in range(rng.randrange(25))) for _ in range(2))
+        table = [0] * (len(b) + 1)
+        for x in a:
+            old, table = table, [0]
+            for j, y in enumerate(b):
+                table.append(old[j] + 1 if x == y else max(old[j + 1], table[j]))
+        assert fuzzy.subsequence(a, b) == table[-1] >= sum(m.size for m in difflib.SequenceMatcher(None, a, b).get_matching_blocks())
+        shared = set(a.split()) & set(b.split())
+        assert sum(map(min, fuzzy.profile(a, 4), fuzzy.profile(b, 4))) >= sum(len(t) + 1 for t in shared) == sum(map(min, fuzzy.profile(" ".join(shared), 4), fuzzy.profile(" ".join(shared), 4)))
+
+
+def test_windows_connect_as_all_pairs(spark):
+    """Links of a window: each of them in it, and the same components as of all pairs, also for a hot key and repeated times."""
+    rng = random.Random(13)
+    rows = [(i, rng.choice(["hot"] * 3 + ["k", None]), rng.choice([None, -rng.randrange(400), rng.randrange(3000)])) for i in range(250)] + [(900, "even", 0), (901, "even", 30), (902, "even", 60), (903, "even", 91)]
+    times = {i: at for i, _, at in rows}
+    df = spark.createDataFrame(rows, "news_id long, title string, at long")
+    got = [(r.hi, r.lo) for r in dedupe._in_window(df, ["title"], 30, "R").collect()]
+    assert all(abs(times[hi] - times[lo]) <= 30 for hi, lo in got)
+
+    def merged(links):
+        root = {i: i for i, _, _ in rows}
+        for a, b in links:
+            x, y = sorted((root[a], root[b]))
+            root = {k: x if v == y else v for k, v in root.items()}
+        return root
+
+    near = [(a[0], b[0]) for a, b in itertools.combinations(rows, 2) if a[1] == b[1] is not None and a[2] is not None and b[2] is not None and abs(a[2] - b[2]) <= 30]
+    assert merged(got) == merged(near) and merged(got)[902] == 900 and merged(got)[903] == 903
+    assert dedupe._in_window(df.limit(0), ["title"], 30, "R").count() == 0
+
+
 def one_way_titles(n):
     """Pairs of titles, the first alike to the second but not the second to the first."""
     rng, words = random.Random(8), ["acme", "profit", "rises", "firm", "old", "plant", "sale", "bank", "big", "a", "of"]
