@@ -99,6 +99,12 @@ def list_page(df: DataFrame, p: FilterParams) -> tuple[DataFrame, DataFrame]:
     return page, meta
 
 
+def whole_list(df: DataFrame) -> DataFrame:
+    """The meta of a list that is given in one page: its size is the page's, at least one, and there is no page without rows."""
+    total = F.count(F.lit(1))
+    return df.agg(F.lit(1).alias("page"), F.greatest(total, F.lit(1)).alias("page_size"), total.alias("total"), F.least(total, F.lit(1)).alias("total_pages"))
+
+
 def positions(df: DataFrame, p: FilterParams) -> DataFrame:
     """Rows of the page with `position`; ranks are taken of the page's rows alone."""
     page, _ = list_page(df, p)

@@ -82,6 +82,29 @@ def answer(rows: DataFrame, universe: DataFrame, order: list[str]) -> DataFrame:
     return api.publishable(api.visible(rows, universe).withColumn("position", F.row_number().over(Window.partitionBy("symbol").orderBy(*order))))
 
 
+def looked_up(asked: DataFrame, stocks: DataFrame, universe: DataFrame) -> DataFrame:
+    """asked (request_id, asked) with the symbol of the visible stock that is meant, null without one.
+
+    A symbol is looked up as it is written, then in upper, then in lower case, and the first one that there is counts. A stock (symbol,
+    active) is visible unless it is inactive, or missing from the universe (symbol, in any case) while that has rows. Each text is looked
+    up once, however often it is asked for; a null one means no stock."""
+    tries = F.array_distinct(F.array("asked", F.upper("asked"), F.lower("asked")))
+    keyed = asked.where("asked IS NOT NULL").select("asked").distinct().select("asked", F.posexplode(tries).alias("turn", "symbol"))
+    met = keyed.join(stocks.select("symbol", "active"), "symbol").groupBy("asked").agg(F.min(F.struct("turn", "symbol", "active")).alias("s")).select("asked", "s.symbol", "s.active")
+    listed = universe.where("symbol IS NOT NULL").select(F.upper("symbol").alias("key"), F.lit(True).alias("listed")).distinct()
+    some = F.broadcast(listed.agg((F.count(F.lit(1)) > 0).alias("some")))  # one row
+    known = met.withColumn("key", F.upper("symbol")).join(listed, "key", "left").crossJoin(some)
+    shown = known.where(F.coalesce("active", F.lit(True)) & (F.coalesce("listed", F.lit(False)) | ~F.col("some"))).select("asked", "symbol")
+    return asked.select("request_id", "asked").join(shown, "asked", "left")
+
+
+def single(found: DataFrame, rows: DataFrame) -> DataFrame:
+    """The answer to each request of `looked_up` from rows of one per symbol, without private columns, and its code."""
+    held = api.publishable(rows).withColumn("_held", F.lit(True))
+    code = F.when(F.col("symbol").isNull(), "SYMBOL_NOT_FOUND").when(F.col("_held").isNull(), "NOT_FOUND").otherwise("OK")
+    return found.join(held, "symbol", "left").withColumn("code", code).drop("_held")
+
+
 def envelopes(rows: DataFrame, run_id: str, generated_at: str) -> DataFrame:
     """symbol, run_id, status, total and generated_at of each symbol's answer; no row is OK with total 0 only if the symbol is listed."""
     return rows.groupBy("symbol").agg(F.count("position").alias("total")).select("symbol", F.lit(run_id).alias("scan_run_id"), F.when(F.col("total") > 0, "OK").otherwise("EMPTY").alias("status"), "total", F.lit(generated_at).alias("generated_at"))

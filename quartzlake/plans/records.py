@@ -12,7 +12,7 @@ from quartzlake.sources import fetched
 from quartzlake.sources import tables as T
 
 from .bars import AS_OF, BATTERY, FACTORS, LABELS, RATIO, RESTRICTIONS, VERSIONED, checked, factors, joined, labels, restrictions, versioned
-from .domain import NORM, SCAN, STOP, _scan
+from .domain import NORM, SCAN, STOP, _scan, agency_sources
 from .oracle_views import with_views
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -470,6 +470,53 @@ def stock_summary_lines(spark, d):
     return out.withColumn("daily_change", F.bround("daily_change", 6)).withColumn("turnover_try", F.bround("turnover_try", 4)).withColumn("volume_ratio", F.bround("volume_ratio", 6))
 
 
+SORTED = {"daily_change": "asc", "volume_ratio": "desc", "scan_status": "asc", "name": "desc"}
+RANKED = """SELECT {key!r} AS sorted_by, symbol, row_number() OVER (ORDER BY {key} IS NULL, {key} {way}, CASE WHEN {key} IS NOT NULL THEN symbol END {way}, symbol) AS position FROM lines QUALIFY position BETWEEN 21 AND 40"""
+
+
+@query(f"WITH lines AS (SELECT symbol, name, daily_change, volume_ratio, state AS scan_status FROM ({ORACLE_SQL['stock_summary_lines']})) " + " UNION ALL ".join(f"({RANKED.format(key=key, way=way)})" for key, way in SORTED.items()))
+def sorted_summaries(spark, d):
+    """The second page of the stocks' lines by each of four keys; lines without a value come last."""
+    lines = stock_summary_lines(spark, d).withColumn("scan_status", F.col("state")).withColumn("scan_run_id", F.lit(None).cast("string"))
+    out = None
+    for key, way in SORTED.items():
+        page = api.positions(lines, api.FilterParams(sort=key, direction=way, page=2, page_size=20)).select(F.lit(key).alias("sorted_by"), "symbol", "position")
+        out = page if out is None else out.unionByName(page)
+    return out
+
+
+@query(with_views("bars_dirty", """SELECT request_id, upper(c_name) AS symbol, CASE WHEN c_name IS NULL THEN 'SYMBOL_NOT_FOUND' WHEN state IS NULL THEN 'NOT_FOUND' ELSE 'OK' END AS code, state, data_confidence FROM asked
+  LEFT JOIN (SELECT * FROM customer WHERE c_mktsegment <> 'BUILDING' AND (c_nationkey = 7 OR c_acctbal >= 0)) ON upper(c_name) = upper(asked) LEFT JOIN (SELECT * FROM scan WHERE state <> 'INACTIVE') s ON s.symbol = c_name""", BATTERY, SCAN,
+  """asked AS (SELECT o_orderkey AS request_id, CASE o_orderstatus WHEN 'O' THEN lower(n) WHEN 'P' THEN upper(n) ELSE n END AS asked FROM (SELECT o_orderkey, o_orderstatus, 'Customer#' || lpad(CAST(o_custkey * 3 // 2 AS VARCHAR), 9, '0') AS n FROM orders))"""))
+def single_stock_answers(spark, d):
+    """Requests for one stock's last scan: symbols in any case, unknown, inactive or outside of the universe, and stocks without a scan."""
+    c, n = T.table(spark, d, "customer"), F.concat(F.lit("Customer#"), F.lpad(F.expr("o_custkey * 3 div 2").cast("string"), 9, "0"))
+    asked = T.table(spark, d, "orders").select(F.col("o_orderkey").alias("request_id"), F.when(F.col("o_orderstatus") == "O", F.lower(n)).when(F.col("o_orderstatus") == "P", F.upper(n)).otherwise(n).alias("asked"))
+    stocks = c.select(F.upper("c_name").alias("symbol"), F.when(F.col("c_nationkey") != 7, F.col("c_acctbal") >= 0).alias("active"))
+    scan = _scan(spark, d).where("state <> 'INACTIVE'").select(F.upper("symbol").alias("symbol"), "state", "data_confidence", F.lit("x").alias("internal_notes"))
+    found = views.looked_up(asked, stocks, c.where("c_mktsegment <> 'BUILDING'").select(F.col("c_name").alias("symbol")))
+    return views.single(found, scan).select("request_id", "symbol", "code", "state", "data_confidence")
+
+
+@query(with_views("news", """SELECT CAST(news_id % 50 AS VARCHAR) AS symbol, news_id, row_number() OVER (PARTITION BY news_id % 50 ORDER BY published_min DESC, news_id) AS position
+  FROM (SELECT * FROM news QUALIFY news_id = first_value(news_id) OVER (PARTITION BY coalesce(md5(body), 'none ' || news_id) ORDER BY news_id % 5 <> 0, published_min, -length(body), news_id)) WHERE news_id % 50 % 3 <> 0 AND news_id % 50 < (SELECT count(*) FROM supplier)"""))
+def news_answers(spark, d):
+    """What the news endpoint gives for each visible symbol: canonical news, those that share no text unmarked, the latest first."""
+    k = F.col("news_id")
+    n = agency_sources(T.news(spark, d)).withColumn("digest", F.md5("body"))
+    marks = news.canonical(n.where("digest IS NOT NULL"), "digest").where("n > 1").select("digest", "canonical_id")
+    rows = n.join(marks, "digest", "left").withColumn("canonical", F.col("canonical_id") == k).withColumn("symbol", (k % 50).cast("string")).withColumn("raw_error", F.lit("x"))
+    listed = T.table(spark, d, "supplier").select(F.col("s_suppkey").cast("string").alias("symbol"), (F.col("s_suppkey") % 3 != 0).alias("is_active"))
+    return views.answer(views.canonical_only(rows), listed, [F.desc("published_min"), "news_id"]).select("symbol", "news_id", "position")
+
+
+@query("SELECT 'S' || s_suppkey AS symbol, s_name AS name, 1 AS page, greatest(n, 1) AS page_size, n AS total, least(n, 1) AS total_pages FROM supplier, (SELECT count(*) AS n FROM supplier)")
+def universe_answer(spark, d):
+    """The universe in one page, with the meta of the list."""
+    rows = T.table(spark, d, "supplier").select(F.concat(F.lit("S"), F.col("s_suppkey").cast("string")).alias("symbol"), F.col("s_name").alias("name"), F.col("s_acctbal").alias("admin_balance"))
+    return api.publishable(rows).crossJoin(F.broadcast(api.whole_list(rows)))  # one row on the other side
+
+
 @query(with_views("actions bars_long", """SELECT b.stock_id, b.trade_date, CASE arg_min(action_type, seq) WHEN 'dividend' THEN 'T' WHEN 'split' THEN 'B' WHEN 'bonus' THEN 'B' WHEN 'rights' THEN 'R' ELSE 'D' END AS marker FROM bars_long b JOIN actions a ON a.stock_id = b.stock_id AND a.effective_date = b.trade_date GROUP BY 1, 2"""))
 def chart_markers(spark, d):
     return views.event_markers(T.bars_long(spark, d), T.actions(spark, d))

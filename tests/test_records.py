@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quartzlake.functions import fuzzy
-from quartzlake.operators import dedupe, graph, news, records, views
+from quartzlake.operators import api, dedupe, graph, news, records, views
 from quartzlake.operators.api import InvalidParameter
 from quartzlake.operators.index_score import check_weights
 
@@ -198,3 +198,21 @@ def test_refusals(spark, tmp_path):
     records.archive(spark.createDataFrame([("daily", 1), ("news", 2)], "kind string, x int"), str(tmp_path / "a"))
     assert [r.x for r in records.archived(spark, str(tmp_path / "a"), "news").collect()] == [2]
     assert views.canonical_only(rows.withColumn("canonical", F.lit(None).cast("boolean"))).count() == 1
+
+
+def test_single_stock_lookup(spark):
+    """Symbols as written, in upper and lower case; inactive, unlisted, unknown and null ones; a stock without a row."""
+    stocks = spark.createDataFrame([("AB", None), ("cd", True), ("Ef", True), ("EF", False), ("GH", False), ("IJ", True), ("KL", True)], "symbol string, active boolean")
+    asked = spark.createDataFrame([(1, "AB"), (2, "ab"), (3, "CD"), (4, "Ef"), (5, "ef"), (6, "gh"), (7, "ij"), (8, None), (9, "zz"), (10, "ab"), (11, "KL"), (12, "")], "request_id long, asked string")
+    universe = spark.createDataFrame([("ab",), ("CD",), ("ef",), ("GH",), ("kl",), ("kl",), (None,)], "symbol string")
+    rows = spark.createDataFrame([("AB", 1, "x"), ("cd", 2, "x"), ("Ef", 3, "x"), ("EF", 4, "x")], "symbol string, v long, debug string")
+    got = views.single(views.looked_up(asked, stocks, universe), rows)
+    assert "debug" not in got.columns
+    none = (None, None, "SYMBOL_NOT_FOUND")
+    want = {1: ("AB", 1, "OK"), 2: ("AB", 1, "OK"), 3: ("cd", 2, "OK"), 4: ("Ef", 3, "OK"), 5: none, 6: none, 7: none, 8: none, 9: none, 10: ("AB", 1, "OK"), 11: ("KL", None, "NOT_FOUND"), 12: none}
+    assert {r.request_id: (r.symbol, r.v, r.code) for r in got.collect()} == want and got.count() == 12
+    free = views.looked_up(asked, stocks, universe.limit(0))  # an empty universe leaves nothing out
+    assert {r.request_id for r in free.where("symbol IS NOT NULL").collect()} == {1, 2, 3, 4, 7, 10, 11}
+    assert views.looked_up(asked.limit(0), stocks, universe).count() == 0
+    assert [r.asDict() for r in api.whole_list(asked.limit(0)).collect()] == [{"page": 1, "page_size": 1, "total": 0, "total_pages": 0}]
+    assert api.whole_list(asked).first().asDict() == {"page": 1, "page_size": 12, "total": 12, "total_pages": 1}
