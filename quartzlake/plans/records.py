@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 
 from pyspark.sql import functions as F
 
+from quartzlake.durable import shared_dir
 from quartzlake.functions import text
 from quartzlake.operators import api, confidence, corporate, disclosures, identity, news, records, runs, storage, validation, views, volume
 from quartzlake.sources import fetched
 from quartzlake.sources import tables as T
+from quartzlake.streaming import increments
 
 from .bars import AS_OF, BATTERY, FACTORS, LABELS, RATIO, RESTRICTIONS, VERSIONED, checked, factors, joined, labels, restrictions, versioned
 from .domain import NORM, SCAN, STOP, _scan, agency_sources
@@ -404,6 +407,15 @@ def source_history(spark, d):
     return fetched.fetch_history(fetched.records(spark, f"{d}/lineitem.parquet"), FETCH_DAY, 60)
 
 
+@query(with_views("bars_long", f"SELECT {FETCHED}, 0 AS seq FROM bars_long"))
+def pulled_bars(spark, d):
+    """All records by the stream of the source into a table of bars; a second pull finds nothing after the marks and adds nothing."""
+    place = f"{shared_dir(spark)}/pulled-{uuid.uuid4().hex}"
+    for _ in range(2):
+        increments.pull(spark, f"{d}/lineitem.parquet", f"{place}/bars", f"{place}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{place}/bars").select(*FETCHED.split(", "), "seq")
+
+
 @query(with_views("bars_long", f"SELECT {FETCHED} FROM bars_long WHERE trade_date = DATE '{FETCH_DAY}'"))
 def source_date(spark, d):
     return fetched.fetch_date(fetched.records(spark, f"{d}/lineitem.parquet"), FETCH_DAY)

@@ -8,11 +8,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
-from quartzlake.durable import remove
+from quartzlake.durable import release, remove, written
 from quartzlake.operators import records, storage
+from quartzlake.sources import fetched
 
 
 def stored_at(batch: DataFrame, path: str, partition: str | None, schema=None) -> DataFrame:
@@ -73,6 +75,23 @@ def append_after_mark(path: str, overlap_days: int = 12, partition: str | None =
     return write
 
 
+def pull(spark: SparkSession, source: str, target: str, checkpoint: str, overlap_days: int = fetched.OVERLAP_DAYS, partition: Callable[[Column], Column] = F.year) -> StreamingQuery:
+    """A started stream that brings what the source at a path has newly to the table of bars at target, and then ends.
+
+    The source gives the days after its high mark and the overlap before it, the sink keeps the marks of the stocks; a day that
+    is stored stays as it is. `seq` is the batch that brought a bar. The target is partitioned by a period of the day, and a batch reads the periods of its fresh bars alone."""
+    write = append_after_mark(target, overlap_days, partition="period")
+
+    def bars(batch: DataFrame, number: int) -> None:
+        found = fetched.bars(batch.where("stock_id IS NOT NULL")).withColumn("source", F.lit("licensed")).withColumn("seq", F.lit(number).cast("long"))
+        held = written(found.withColumn("period", partition(F.col("trade_date"))), "pulled")  # the source is read once
+        write(held, number)
+        release(held)
+
+    records = fetched.stream(spark, source, overlap_days)
+    return records.writeStream.foreachBatch(bars).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def append_disclosures(path: str) -> Callable[[DataFrame, int], None]:
     """A foreachBatch sink for filings (notification_id, previous_notification_id, seq): each id once, a revision behind its
     stored predecessor; nothing that is stored changes, and what supersedes what is read from the chain."""

@@ -75,3 +75,18 @@ def test_three_calls(spark, source):
     newest = {s: max(d for x, d in bars if x == s and d <= as_of) for s in range(1, 6)}
     assert {k: b for k, b in take(fetched.fetch_latest(found, as_of)).items() if k[0]} == {k: b for k, b in bars.items() if k[0] and newest[k[0]] == k[1]}
     assert fetched.fetch_date(found, DAY - dt.timedelta(days=1)).count() == 0
+
+
+def test_offsets_and_spans(source):
+    folder, rows = source
+    reader = fetched.StreamReader(folder, 5, fetched.FIRST)
+    last = max(r[0] for r in rows if r[0])
+    assert reader.initialOffset() == {"day": "0001-01-01"} and reader.latestOffset() == {"day": last.isoformat()} == reader.latestOffset()
+    every = reader.partitions(reader.initialOffset(), reader.latestOffset())
+    assert len(every) == 13 and {p.after for p in every} == {fetched.FIRST}
+    days = lambda spans: sorted(d for p in spans for b in reader.read(p) for d in b.column("trade_date").to_pylist())
+    assert days(every) == sorted(r[0] for r in rows if r[0])
+    mark = last - dt.timedelta(days=3)
+    some = reader.partitions({"day": mark.isoformat()}, {"day": last.isoformat()})
+    assert len(some) < 6 and days(some) == sorted(r[0] for r in rows if r[0] and r[0] > mark - dt.timedelta(days=5))
+    assert days(reader.partitions({"day": last.isoformat()}, {"day": last.isoformat()})) == []

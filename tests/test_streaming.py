@@ -3,6 +3,8 @@ import shutil
 import time
 from pathlib import Path
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -122,6 +124,41 @@ def test_marks_are_kept_beside_the_target(spark, tmp_path):
     assert sorted(p.name for p in Path(f"{target}-marks").iterdir()) == ["before=2", "before=3"]
 
 
+def test_a_source_is_pulled_after_its_marks(spark, tmp_path):
+    """New days and late records of the overlap come in once; a batch that is written but not committed is run again and writes nothing twice."""
+    day = lambda n: dt.date(2024, 1, 1) + dt.timedelta(days=n)
+    source, target, checkpoint = tmp_path / "source", str(tmp_path / "bars"), str(tmp_path / "checkpoint")
+    source.mkdir()
+
+    def arrive(name, rows):
+        kinds = {"l_suppkey": pa.int64(), "l_shipdate": pa.date32(), "l_extendedprice": pa.float64()}
+        table = {c: pa.array([r[i] for r in rows], k) for i, (c, k) in enumerate(kinds.items())}
+        rest = {"l_quantity": pa.array([1.0] * len(rows)), **{c: pa.array(range(len(rows)), pa.int64()) for c in ("l_orderkey", "l_linenumber", "l_partkey")}}
+        pq.write_table(pa.table(table | rest), source / f"{name}.parquet", row_group_size=2)
+
+    def pulled():
+        query = increments.pull(spark, str(source), target, checkpoint, overlap_days=4)
+        query.awaitTermination(120)
+        assert query.exception() is None
+
+    stored = lambda: sorted((r.stock_id, r.trade_date, r.close) for r in spark.read.parquet(target).collect())
+    arrive("a", [(1, day(0), 5.0), (1, day(0), 6.0), (2, day(1), 7.0), (1, day(10), 8.0), (None, day(3), 1.0), (2, None, 1.0)])
+    pulled()
+    first = [(1, day(0), 6.0), (1, day(10), 8.0), (2, day(1), 7.0)]
+    assert stored() == first
+    pulled()  # nothing new
+    assert stored() == first
+    arrive("b", [(1, day(2), 1.0), (1, day(8), 2.0), (1, day(10), 3.0), (1, day(11), 4.0), (3, day(9), 5.0)])
+    pulled()
+    want = sorted([*first, (1, day(8), 2.0), (1, day(11), 4.0), (3, day(9), 5.0)])
+    assert stored() == want
+    commits = sorted((tmp_path / "checkpoint" / "commits").glob("[0-9]*"), key=lambda p: int(p.name))
+    commits[-1].unlink()  # the last batch was written, but not committed
+    (commits[-1].parent / f".{commits[-1].name}.crc").unlink(missing_ok=True)
+    pulled()
+    assert stored() == want
+
+
 def test_revisions_follow_what_is_stored(spark, tmp_path):
     schema, target = "notification_id long, previous_notification_id long, seq long", str(tmp_path / "target")
     write = increments.append_disclosures(target)
