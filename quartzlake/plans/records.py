@@ -397,6 +397,33 @@ def completion_criteria(spark, d):
     return records.completion(rows, started.unionByName(spark.range(1).select(F.lit("STAGING-none").alias("run_id"), F.lit(5).cast("long").alias("expected"))))
 
 
+# --- symbols of several stocks --------------------------------------------------------------------------------------
+def shared_symbols(spark, d):
+    """Symbols that stocks of like balances have in common; those of the first five nations are valid no more."""
+    s = T.table(spark, d, "supplier")
+    symbol = F.concat(F.lit("B"), F.floor(F.col("s_acctbal") / 100).cast("string"))
+    closed = F.when(F.col("s_nationkey") < 5, F.lit("1996-01-01").cast("date"))
+    return s.select(F.col("s_suppkey").alias("stock_id"), F.lit("bist").alias("platform"), symbol.alias("symbol"), F.lit("1995-01-01").cast("date").alias("valid_from"), closed.alias("valid_to"))
+
+
+OWNERS = "owners AS (SELECT 'B' || CAST(floor(s_acctbal / 100) AS BIGINT) AS symbol, count(*) AS n, min(s_suppkey) AS owner FROM supplier WHERE s_nationkey >= 5 GROUP BY 1)"
+
+
+@query(f"WITH {OWNERS} SELECT c_custkey AS query_id, CASE WHEN n = 1 THEN owner END AS stock_id, coalesce(n, 0) AS n_owners, CASE WHEN n = 1 THEN 'MATCHED' WHEN n > 1 THEN 'AMBIGUOUS' ELSE 'UNMATCHED' END AS status FROM customer LEFT JOIN owners ON symbol = 'B' || CAST(floor(c_acctbal / 100) AS BIGINT)")
+def resolve_shared_symbols(spark, d):
+    asked = T.table(spark, d, "customer").select(F.col("c_custkey").alias("query_id"), F.lit("bist").alias("platform"), F.concat(F.lit(" b"), F.floor(F.col("c_acctbal") / 100).cast("string")).alias("symbol"))
+    return identity.resolve(asked, shared_symbols(spark, d)).select("query_id", "stock_id", "n_owners", "status")
+
+
+@query(f"WITH {OWNERS} SELECT c_custkey AS symbol_of, 'b' || CAST(floor(c_acctbal / 100) AS BIGINT) AS listed, CASE WHEN n = 1 THEN owner END AS stock_id, CASE WHEN n = 1 THEN NULL WHEN n > 1 THEN 'AMBIGUOUS' ELSE 'UNRESOLVED' END AS reason FROM customer LEFT JOIN owners ON symbol = 'B' || CAST(floor(c_acctbal / 100) AS BIGINT)")
+def review_queue(spark, d):
+    """Each listed symbol with its stock, or with the reason for which it waits for review."""
+    rows = T.table(spark, d, "customer").select(F.col("c_custkey").alias("symbol_of"), F.concat(F.lit("b"), F.floor(F.col("c_acctbal") / 100).cast("string")).alias("listed"))
+    found, queue = records.resolve_universe(rows.select(F.col("listed").alias("symbol")).distinct(), shared_symbols(spark, d))
+    told = found.select(F.col("symbol").alias("listed"), "stock_id", F.lit(None).cast("string").alias("reason")).unionByName(queue.select(F.col("symbol").alias("listed"), F.lit(None).cast("long").alias("stock_id"), "reason"))
+    return rows.join(told, "listed").select("symbol_of", "listed", "stock_id", "reason")
+
+
 # --- a source by its three calls ------------------------------------------------------------------------------------
 FETCH_DAY = dt.date(1997, 3, 14)
 FETCHED = "stock_id, trade_date, open, high, low, close, volume"
