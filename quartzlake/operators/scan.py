@@ -46,19 +46,20 @@ class VerdictChain:
     """The verdict of a bar, and the last close that was CLEAN itself, with which the next one is compared.
 
     A bar that fails a fatal rule is REJECTED, one that fails a warning or moves too far from the reference is REVIEW_REQUIRED; neither
-    becomes the reference. Without a positive reference, and for a bar without a close, nothing is compared. A second bar of
+    becomes the reference. Without a positive reference, and for a bar without a close, nothing is compared; with `zero` a reference
+    of zero is compared too, from which every close is infinitely far. A second bar of
     a day and source is a duplicate; the state holds the sources of one day only."""
 
-    def __init__(self, most: float):
-        self.most, self.last, self.day, self.sources = most, None, None, set()
+    def __init__(self, most: float, zero: bool = False):
+        self.most, self.zero, self.last, self.day, self.sources = most, zero, None, None, set()
 
     def __call__(self, day, source, close, fatal, warned, explained) -> tuple[str, bool, bool, float | None]:
         if day != self.day:
             self.day, self.sources = day, set()
         duplicate = source in self.sources
         self.sources.add(source)
-        known, reference = self.last is not None and self.last > 0 and close is not None, self.last
-        outlier = known and abs(close - self.last) / self.last * 100 > self.most and not explained
+        known, reference = self.last is not None and (self.last > 0 or self.zero and self.last == 0) and close is not None, self.last
+        outlier = known and (self.last == 0 or abs(close - self.last) / self.last * 100 > self.most) and not explained
         status = "REJECTED" if fatal or duplicate else "REVIEW_REQUIRED" if warned or outlier else "CLEAN"
         if status == "CLEAN":
             self.last = close

@@ -4,10 +4,12 @@ import datetime as dt
 import random
 from collections import deque
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from quartzlake.operators import graph, index_score, runs, scan, validation
+from quartzlake.plans import catalogue
 
 DAY = dt.date(2024, 1, 1)
 
@@ -63,6 +65,19 @@ def test_rejected_closes_are_no_reference(spark):
     assert got == {(s, i): names[x] for s, word in want.items() for i, x in enumerate(word)}
 
 
+def test_outlier_rule_alone_as_in_its_sql(spark, tmp_path):
+    """Closes of zero, missing and negative ones, first in a series and later, against the query's SQL."""
+    closes = {1: [10.0, 0.0, 11.0], 2: [0.0, 0.0, 5.0, None, 5.0, 50.0], 3: [-1.0, 100.0, 130.0], 4: [None, 3.0, 3.1], 5: [10.0, -1.0, 100.0]}
+    at = lambda i: dt.datetime(2024, 1, 1, 12) + dt.timedelta(days=i)
+    rows = [(s * 100 + i, at(i), s, "click", c, "{}") for s, own in closes.items() for i, c in enumerate(own)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").write.parquet(f"{tmp_path}/events.parquet")
+    db = duckdb.connect()
+    db.sql(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    want = db.sql(f"SELECT stock_id, trade_date, status FROM ({catalogue.ORACLE_SQL['clean_chain_outliers']})").fetchall()
+    got = catalogue.QUERIES["clean_chain_outliers"](spark, str(tmp_path)).select("stock_id", "trade_date", "status").collect()
+    assert sorted(map(tuple, got)) == sorted(want) and ("REVIEW_REQUIRED" in {w[2] for w in want})
+
+
 def test_verdicts_of_a_series(spark):
     """A second bar of a day and source, another source, a fatal and a warning rule, and an explained move."""
     columns = "stock_id long, trade_date date, source string, open double, high double, low double, close double, volume long, currency string, explained boolean"
