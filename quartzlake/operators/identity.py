@@ -30,11 +30,16 @@ def resolve(queries: DataFrame, symbols: DataFrame, as_of_column: str | None = N
     With a date, a symbol counts on [valid_from, valid_to); without one, the symbols that are valid still count."""
     q = queries.withColumn("norm", norm_symbol(F.col("symbol")))
     s = symbols.select("platform", norm_symbol(F.col("symbol")).alias("norm"), F.col("stock_id").alias("owner"), "valid_from", "valid_to")
-    on = F.col("valid_to").isNull() if as_of_column is None else (F.col("valid_from") <= F.col(as_of_column)) & (F.col("valid_to").isNull() | (F.col(as_of_column) < F.col("valid_to")))
-    hits = q.join(s, ["platform", "norm"]).where(on)
-    owners = hits.groupBy("query_id").agg(F.count_distinct("owner").alias("n_owners"), F.min("owner").alias("owner"))
+    counted = (F.count_distinct("owner").alias("n_owners"), F.min("owner").alias("owner"))
+    if as_of_column is None:  # owners are counted once for each symbol, not for each query
+        key = ["platform", "norm"]
+        owners = s.where("valid_to IS NULL").groupBy(*key).agg(*counted)
+    else:
+        key = ["platform", "norm", as_of_column]
+        on = (F.col("valid_from") <= F.col(as_of_column)) & (F.col("valid_to").isNull() | (F.col(as_of_column) < F.col("valid_to")))
+        owners = q.select(*key).distinct().join(s, ["platform", "norm"]).where(on).groupBy(*key).agg(*counted)
     n = F.coalesce("n_owners", F.lit(0))
-    return q.drop("norm").join(owners, "query_id", "left").select(
+    return q.join(owners, key, "left").select(
         *queries.columns, F.when(n == 1, F.col("owner")).alias("stock_id"), n.alias("n_owners"), F.when(n == 1, "MATCHED").when(n > 1, "AMBIGUOUS").otherwise("UNMATCHED").alias("status")
     )
 

@@ -202,3 +202,15 @@ def test_index_score(spark):
         e += (100.0 + i - e) * 2 / 6
     assert rows[119].ema5 == pytest.approx(e)
     assert index_score.percentile(index_score.returns(bars), "r1").orderBy(F.desc("trade_date")).first().r1_pct == pytest.approx(1 / 119)
+
+
+def test_owners_of_a_symbol_are_counted_before_queries_meet_them(spark):
+    asked = spark.createDataFrame([(i, "bist", s) for i, s in enumerate(["a", " A", "b", "c", None, "d"])], "query_id long, platform string, symbol string")
+    rows = [(1, "A", None), (2, "a", None), (3, "B", None), (3, "b", None), (4, "C", D(2024, 1, 1))]
+    symbols = spark.createDataFrame([(i, "bist", s, D(2020, 1, 1), to) for i, s, to in rows], "stock_id long, platform string, symbol string, valid_from date, valid_to date")
+    found = identity.resolve(asked, symbols)
+    ambiguous, none = (None, 2, "AMBIGUOUS"), (None, 0, "UNMATCHED")
+    assert {r.query_id: (r.stock_id, r.n_owners, r.status) for r in found.collect()} == {0: ambiguous, 1: ambiguous, 2: (3, 1, "MATCHED"), 3: none, 4: none, 5: none}
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
+    dated = asked.withColumn("at", F.lit("2023-06-01").cast("date"))
+    assert {r.query_id: r.status for r in identity.resolve(dated, symbols, "at").collect()} == {0: "AMBIGUOUS", 1: "AMBIGUOUS", 2: "MATCHED", 3: "MATCHED", 4: "UNMATCHED", 5: "UNMATCHED"}
