@@ -120,3 +120,18 @@ def test_chains_with_cycles(spark):
     found = graph.ends(spark.createDataFrame(list(up.items()), "node long, up long").repartition(3)).collect()
     assert {r.node: (r.far, r.steps, r.cycle) for r in found} == {n: walk(up, n) for n in up} and len(found) == len(up)
     assert 15 < sum(r.cycle for r in found) < len(up) - 70
+
+
+def test_pointers_are_not_sent_through_the_driver(spark, monkeypatch):
+    plans, write = [], graph.written
+
+    def seen(df, label):
+        plans.append((label, df._jdf.queryExecution().executedPlan().toString()))
+        return write(df, label)
+
+    monkeypatch.setattr(graph, "written", seen)
+    up = {k: k - 1 for k in range(2, 20)} | {30: 31, 31: 30, 32: 30}
+    found = graph.ends(spark.createDataFrame(list(up.items()), "node long, up long")).collect()
+    assert {r.node: (r.far, r.steps, r.cycle) for r in found} == {n: walk(up, n) for n in up}
+    joined = [plan for label, plan in plans if label == "chain" and "Join" in plan]
+    assert joined and not any("Broadcast" in plan for plan in joined)
