@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quartzlake.config import DEFAULT, Thresholds
+from quartzlake.durable import written
 
 from . import scan
 
@@ -99,8 +100,18 @@ def calls_in_window(calls: DataFrame, seconds: int = 60) -> DataFrame:
 
 def limited(calls: DataFrame, most: int, window: int = 60_000_000) -> DataFrame:
     """calls (source_id, call_id, at: microseconds) with waited, wait and total: which of them wait for a place among the `most` of a window,
-    how long, and how long those of their source waited so far. Each source is one scan in order of time."""
-    return scan.folded(calls, ["source_id"], ["at", "call_id"], ["at"], lambda: scan.Limiter(most, window), "waited boolean, wait long, total long")
+    how long, and how long those of their source waited so far. Each source is one scan in order of time.
+
+    total is a long wherever a long holds all of them, else a decimal of 38 digits: waits grow with the calls before, so sums with their square.
+    The call number i (from 0) of a source waits i // most windows at most, which tells that few calls stay far below; otherwise the sums are looked at."""
+    fold = lambda kind: scan.folded(calls, ["source_id"], ["at", "call_id"], ["at"], lambda: scan.Limiter(most, window), f"waited boolean, wait long, total {kind}")
+    n = calls.groupBy("source_id").count().agg(F.max("count")).first()[0] or 0
+    if n * (n - 1) // (2 * most) * window < 1 << 62:
+        return fold("long")
+    found = written(fold("decimal(38)"), "limited")
+    if found.agg(F.max("total")).first()[0] < 1 << 63:
+        return found.withColumn("total", F.col("total").cast("long"))
+    return found
 
 
 def recovered(found: DataFrame) -> DataFrame:

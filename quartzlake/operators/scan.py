@@ -14,7 +14,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 
-KINDS = {"string": pa.string(), "boolean": pa.bool_(), "long": pa.int64(), "double": pa.float64()}
+KINDS = {"string": pa.string(), "boolean": pa.bool_(), "long": pa.int64(), "double": pa.float64(), "decimal(38)": pa.decimal128(38, 0)}
 
 
 def folded(rows: DataFrame, keys: list[str], order: list[str | Column], inputs: list[str], start: Callable, outputs: str) -> DataFrame:

@@ -52,6 +52,16 @@ def test_limiter_equals_a_loop(spark, most):
         scan.Limiter(0, 60)
 
 
+@pytest.mark.parametrize(("window", "kind"), [(1 << 57, "bigint"), (1 << 58, "decimal(38,0)"), (1 << 40, "bigint")])
+def test_sums_of_waits_over_the_largest_long(spark, window, kind):
+    """Nine calls at once wait 36 windows in all, which a long cannot hold for one of the windows; a fitting sum stays a long."""
+    rows = [(s, i, 5) for s, n in ((1, 9), (2, 2)) for i in range(n)]
+    found = runs.limited(spark.createDataFrame(rows, "source_id long, call_id long, at long").repartition(3), 1, window)
+    assert dict(found.dtypes)["total"] == kind
+    got = {(r.source_id, r.call_id): (r.waited, r.wait, int(r.total)) for r in found.collect()}
+    assert got == {(s, i): w for s, n in ((1, 9), (2, 2)) for i, w in enumerate(waits([5] * n, 1, window))}
+
+
 def bars(spark, closes):
     rows = [(s, DAY + dt.timedelta(days=i), c) for s, own in closes.items() for i, c in enumerate(own)]
     return spark.createDataFrame(rows, "stock_id long, trade_date date, close double").repartition(3)
