@@ -216,3 +216,34 @@ def test_single_stock_lookup(spark):
     assert views.looked_up(asked.limit(0), stocks, universe).count() == 0
     assert [r.asDict() for r in api.whole_list(asked.limit(0)).collect()] == [{"page": 1, "page_size": 1, "total": 0, "total_pages": 0}]
     assert api.whole_list(asked).first().asDict() == {"page": 1, "page_size": 12, "total": 12, "total_pages": 1}
+
+
+def test_title_pairs_of_many_blocks_equal_brute_force(spark, monkeypatch):
+    """Titles with typos, tokens moved and tokens left out, met in blocks of 16."""
+    rng = random.Random(5)
+    words = ["".join(rng.choices("abcdefgh", k=rng.randrange(1, 9))) for _ in range(30)]
+    titles = {" ".join(rng.choices(words, k=rng.randrange(1, 9))) for _ in range(60)}
+    for t in sorted(titles):
+        k = rng.randrange(len(t))
+        titles |= {(t[:k] + "z" + t[k + 1 :]).strip(), " ".join(reversed(t.split())), " ".join(t.split()[1:]) or "abc"}
+    titles = sorted(titles)[:150] + [" ".join(words * 2)]
+    monkeypatch.setattr(dedupe, "BLOCK", 16)
+    like = lambda a, b: fuzzy.token_set_ratio(a, b) >= 85
+    want = {(a, b, like(a, b), like(b, a)) for a in titles for b in titles if a < b and (like(a, b) or like(b, a))}
+    found = dedupe.title_pairs(spark.createDataFrame([(t,) for t in set(titles)], "title string")).collect()
+    assert len(found) == len(want) and {(r.a, r.b, r.ab, r.ba) for r in found} == want
+
+
+def test_bounds_spare_the_matcher(monkeypatch):
+    """Texts of like lengths and characters, but in another order, are told apart without the matcher."""
+    monkeypatch.setattr(fuzzy, "SequenceMatcher", None)
+    assert fuzzy.reaches(85)("x abcdefghij klmnopqrst", "x tsrqponmlk jihgfedcba") == 0
+
+
+def test_bodies_of_a_group_with_like_texts_are_not_compared(spark):
+    """News 1 and 2 are linked by their texts, 3 to 1 by its time: the body of 3 tells nothing new; that of 4 does."""
+    body = "w1 w2 w3 w4 w5 w6 w7 w8 w9"
+    rows = spark.createDataFrame([(1, "t", body), (2, "t", body), (3, "t", body + " v"), (4, "t", body + " u")], "news_id long, title string, body string")
+    known = spark.createDataFrame([(2, 1, "DUPLICATE_TEXT"), (3, 1, "DUPLICATE_EVENT_TIME")], "hi long, lo long, reason string")
+    pairs = spark.createDataFrame([("t", "t", True, True)], "a string, b string, ab boolean, ba boolean")
+    assert {(r.hi, r.lo) for r in dedupe.body_links(rows, pairs, known).collect()} == {(4, 1), (4, 3)}
