@@ -39,6 +39,8 @@ PERIOD, SAMPLES, CHANCE, CHUNK_CHARS = 4096, 256, 0.125, 4_000_000
 FEW = 48
 #: Bands of a level; their digits, for fingerprints of at least and of less than so many digits; likeness of near copies.
 BANDS, BAND_DIGITS, LIKE = 20, ((4, 1, 80), (9, 64, 1 << 30)), 0.8
+#: Longs of a sketch; bits of a band's key that hold its level.
+SKETCH, LEVEL_BITS = 20, 6
 SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, edited_bands int, next_bands int"
 EDGE = f"{SCHEMA}, place int, last_text string, first_text string"
 
@@ -153,17 +155,30 @@ def _places(n: int, width: int) -> np.ndarray:
     return np.stack([order[order < n][:width] for order in orders])
 
 
+def _levels(fingerprint: str) -> Iterator[tuple[int, np.ndarray, list[int]]]:
+    """A fingerprint's own level and the next one, its digits there and its band hashes."""
+    own = int(fingerprint[:2])
+    for level in (own, own + 1):
+        got = _at_level(fingerprint, level)
+        yield level, got, [
+            xxhash.xxh64_intdigest(bytes((level, n)) + digits_.tobytes(), width)
+            for width, low, high in (BAND_DIGITS if level == 0 else BAND_DIGITS[1:]) if low <= len(got) < high
+            for n, digits_ in enumerate(got[_places(len(got), width)])
+        ]
+
+
 def bands(fingerprint: str) -> list[int]:
     """Hashes of bit-sampled digits from the whole of a fingerprint, at its level and the next, so that neighbouring levels can meet.
 
     The few digits of a short text make narrow bands, more make wide ones; in between both kinds, so that either kind meets."""
-    found, own = [], int(fingerprint[:2])
-    for level in (own, own + 1):
-        got = _at_level(fingerprint, level)
-        for width, low, high in BAND_DIGITS if level == 0 else BAND_DIGITS[1:]:
-            if low <= len(got) < high:
-                found += [xxhash.xxh64_intdigest(bytes((level, n)) + digits_.tobytes(), width) for n, digits_ in enumerate(got[_places(len(got), width)])]
-    return found
+    return [key for _, _, keys in _levels(fingerprint) for key in keys]
+
+
+def sketch(got: np.ndarray) -> np.ndarray:
+    """The first 16 * SKETCH digits, packed: what is missing counts as 0."""
+    values = np.where(got > 57, got - 87, got - 48).astype(np.uint8)[: 16 * SKETCH]
+    values = np.concatenate([values, np.zeros(16 * SKETCH - len(values), np.uint8)])
+    return (values[::2] << 4 | values[1::2]).view(np.int64)
 
 
 def prints(rows: list[tuple]) -> list[dict]:
@@ -266,6 +281,41 @@ def _alike(pairs: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
     return both.withColumn("likeness", alike("print_hi", "print_lo")).where(F.col("likeness") >= threshold).select("hi", "lo")
 
 
+def apart(open_: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
+    """hi, lo: the members (key, node, root) of one list in different components that may reach the threshold, once each.
+
+    At the coarser level of two fingerprints the digits that differ among the first ones, and those that only one has, are too many for most
+    pairs: then they are left out before their fingerprints are joined, which loses no link. Two that meet at a level above both have one level and are judged there."""
+
+    @tidy
+    def sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(n, f, *found) for n, f in zip(batch.column("node").to_pylist(), batch.column("fingerprint").to_pylist(), strict=True) for found in _levels(f)]
+            finest = [_at_level(f, int(f[:2])) for _, f, *_ in rows]
+            packed = np.array([np.concatenate([sketch(got), sketch(all_)]) for (*_, got, _), all_ in zip(rows, finest, strict=True)], np.int64).reshape(len(rows), 2 * SKETCH)
+            columns = [[n for n, *_ in rows], [level for _, _, level, *_ in rows], [level == int(f[:2]) for _, f, level, *_ in rows], [len(got) for *_, got, _ in rows], [len(all_) for all_ in finest], *packed.T]
+            kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.int32()] + 2 * SKETCH * [pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["node", "at", "own", "size_d", "size_e", *words])
+
+    words = [f"{k}{i}" for k in "de" for i in range(SKETCH)]  # at the level of the key, and at the own one
+    held = nodes.join(open_.select("node").distinct(), "node", "left_semi").select("node", "fingerprint")
+    held = cut(held.mapInArrow(sketches, f"node long, at long, own boolean, size_d int, size_e int, {', '.join(f'{w} long' for w in words)}"), "edit-sketches")
+    entries = cut(open_.withColumn("at", F.col("key").bitwiseAND((1 << LEVEL_BITS) - 1)).join(held, ["node", "at"]), "edit-entries")
+    side = lambda k: entries.select("key", F.col("node").alias(k), *(F.col(c).alias(f"{c}_{k}") for c in ("root", "own", "size_d", "size_e", *words)))
+    differ = lambda w: F.col(f"{w}_hi").bitwiseXOR(F.col(f"{w}_lo"))
+    unlike = lambda d: F.bit_count(d.bitwiseOR(F.shiftrightunsigned(d, 1)).bitwiseOR(F.shiftrightunsigned(d, 2)).bitwiseOR(F.shiftrightunsigned(d, 3)).bitwiseAND(0x1111111111111111))
+    share = CHANCE + threshold * (1 - CHANCE)
+
+    def fits(k):
+        most, least = F.greatest(f"size_{k}_hi", f"size_{k}_lo"), F.least(f"size_{k}_hi", f"size_{k}_lo")
+        return (least >= share * most - 1e-6) & (sum((unlike(differ(f"{k}{i}")) for i in range(SKETCH)), F.lit(0)) <= (1 - share) * most + 1e-6)
+
+    pairs = side("hi").join(side("lo"), "key").where("hi > lo AND root_hi <> root_lo").where(F.when(F.col("own_hi") | F.col("own_lo"), fits("d")).otherwise(fits("e")))
+    found = cut(pairs.select("hi", "lo").distinct(), "edit-apart-pairs")
+    release(held, entries)
+    return found
+
+
 def links(nodes: DataFrame, threshold: float = LIKE) -> DataFrame:
     """hi, lo: verified links that join all nodes (node, fingerprint) which share a band and reach the threshold, as a written table.
 
@@ -277,7 +327,8 @@ def links(nodes: DataFrame, threshold: float = LIKE) -> DataFrame:
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in portions(batch, "fingerprint", 1 << 20):
-                keys = [sorted(set(bands(f.as_py()))) for f in part.column("fingerprint")]
+                # the level takes the place of a key's last bits
+                keys = [sorted({k >> LEVEL_BITS << LEVEL_BITS | level for level, _, own in _levels(f.as_py()) for k in own}) for f in part.column("fingerprint")]
                 owner = np.repeat(np.arange(len(keys)), [len(k) for k in keys])
                 flat = np.array([k for own in keys for k in own], np.uint64).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(flat), part.column("node").take(pa.array(owner))], names=["key", "node"])
@@ -288,12 +339,11 @@ def links(nodes: DataFrame, threshold: float = LIKE) -> DataFrame:
     first = cut(_alike(held.where("node > lo").select(F.col("node").alias("hi"), "lo").distinct(), nodes, threshold), "edit-stars")
     label = cut(components(first), "edit-label")
     placed = cut(held.select("key", "node").join(label, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root")), "edit-placed")
-    apart = cut(placed.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("key"), "edit-apart")
-    open_ = cut(placed.join(apart, "key", "left_semi"), "edit-open")
-    side = lambda k: open_.select("key", F.col("node").alias(k), F.col("root").alias(f"root_{k}"))
-    rest = side("hi").join(side("lo"), "key").where("hi > lo AND root_hi <> root_lo").select("hi", "lo").distinct()
+    split = cut(placed.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("key"), "edit-apart")
+    open_ = cut(placed.join(split, "key", "left_semi"), "edit-open")
+    rest = apart(open_, nodes, threshold)
     found = cut(first.unionByName(_alike(rest, nodes, threshold)), "edit-links")
-    release(listed, centre, held, first, label, placed, apart, open_)
+    release(listed, centre, held, first, label, placed, split, open_, rest)
     return found
 
 

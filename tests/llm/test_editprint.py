@@ -96,3 +96,28 @@ def test_classes_against_all_pairs(spark):
 def test_empty_table(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert E.fingerprints(none).count() == 0 and E.classes(E.fingerprints(none)).count() == 0
+
+
+def test_unlike_members_of_a_list_are_not_paired(spark):
+    """Members of one list in many components, of several levels: all like pairs are left, few of the others."""
+    rng = random.Random(3)
+    texts = [words(100 + i, n) for i in range(40) for n in (4, 40)]
+    for t in list(texts):
+        k = rng.randrange(len(t))
+        texts.append(t[:k] + "q" + t[k + 1 :])
+    prints = sorted({r["fingerprint"] for r in E.prints([(i, t, None) for i, t in enumerate(texts)])})
+    nodes = spark.createDataFrame(list(enumerate(prints)), "node long, fingerprint string")
+
+    def met(levels):
+        """Pairs of one list at each level, as if all fingerprints that have it, of so many levels of their own, shared a band there."""
+        listed = [(64 + level, i, i) for i, f in enumerate(prints) for level, *_ in list(E._levels(f))[:levels]]
+        rows = [(r.hi, r.lo) for r in E.apart(spark.createDataFrame(listed, "key long, node long, root long"), nodes, E.LIKE).collect()]
+        assert len(rows) == len(set(rows))
+        return set(rows)
+
+    pairs = {(i, j) for i in range(len(prints)) for j in range(i) if abs(int(prints[i][:2]) - int(prints[j][:2])) <= 1}
+    like = {(i, j) for i, j in pairs if E.likeness(prints[i], prints[j]) >= E.LIKE}
+    below = {(i, j) for i, j in pairs if prints[i][:2] == prints[j][:2]}
+    assert len(like) > 40 and like <= met(2)
+    rows = met(1)
+    assert like & below <= rows <= below and len(rows - like) < len(below) / 20
