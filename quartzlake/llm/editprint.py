@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graph import components
-from .shared import cut, portions, release, tidy
+from .shared import cut, few, portions, release, tidy
 
 #: Period of the random bits; most samples of a text; likeness of unrelated texts' digits; characters walked at a time.
 PERIOD, SAMPLES, CHANCE, CHUNK_CHARS = 4096, 256, 0.125, 4_000_000
@@ -39,8 +39,8 @@ PERIOD, SAMPLES, CHANCE, CHUNK_CHARS = 4096, 256, 0.125, 4_000_000
 FEW = 48
 #: Bands of a level; their digits, for fingerprints of at least and of less than so many digits; likeness of near copies.
 BANDS, BAND_DIGITS, LIKE = 20, ((4, 1, 80), (9, 64, 1 << 30)), 0.8
-#: Longs of a sketch; bits of a band's key that hold its level.
-SKETCH, LEVEL_BITS = 20, 6
+#: Longs of a sketch, and those that are looked at first; bits of a band's key that hold its level.
+SKETCH, QUICK, LEVEL_BITS = 20, 4, 6
 SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, edited_bands int, next_bands int"
 EDGE = f"{SCHEMA}, place int, last_text string, first_text string"
 
@@ -264,11 +264,11 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     waiting = done.where("last_text IS NOT NULL").select("doc_id", "place", "last_text")
     waiting = waiting.join(following, "place").join(heads, "next_place").select("doc_id", "last_text", "next_text")
     names = [c.split()[0] for c in SCHEMA.split(", ")]
-    return done.where("fingerprint IS NOT NULL").select(*names).unionByName(waiting.mapInArrow(close, SCHEMA))
+    return few(done.where("fingerprint IS NOT NULL").select(*names).unionByName(few(waiting, done).mapInArrow(close, SCHEMA)), done)
 
 
-def _alike(pairs: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (hi, lo) of nodes (node, fingerprint) whose likeness reaches the threshold."""
+def _alike(pairs: DataFrame, nodes: DataFrame, threshold: float, like: DataFrame) -> DataFrame:
+    """The pairs (hi, lo) of nodes (node, fingerprint) whose likeness reaches the threshold. like: what the pairs are made from."""
 
     @F.pandas_udf("double")
     def alike(a, b):
@@ -277,7 +277,7 @@ def _alike(pairs: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
         return pd.Series([likeness(x, y) for x, y in zip(a, b, strict=True)], dtype=float)
 
     side = lambda k: nodes.select(F.col("node").alias(k), F.col("fingerprint").alias(f"print_{k}"))
-    both = pairs.join(side("hi"), "hi").join(side("lo"), "lo")
+    both = few(pairs.join(side("hi"), "hi").join(side("lo"), "lo"), like, nodes)
     return both.withColumn("likeness", alike("print_hi", "print_lo")).where(F.col("likeness") >= threshold).select("hi", "lo")
 
 
@@ -299,20 +299,29 @@ def apart(open_: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
 
     words = [f"{k}{i}" for k in "de" for i in range(SKETCH)]  # at the level of the key, and at the own one
     held = nodes.join(open_.select("node").distinct(), "node", "left_semi").select("node", "fingerprint")
-    held = cut(held.mapInArrow(sketches, f"node long, at long, own boolean, size_d int, size_e int, {', '.join(f'{w} long' for w in words)}"), "edit-sketches")
-    entries = cut(open_.withColumn("at", F.col("key").bitwiseAND((1 << LEVEL_BITS) - 1)).join(held, ["node", "at"]), "edit-entries")
-    side = lambda k: entries.select("key", F.col("node").alias(k), *(F.col(c).alias(f"{c}_{k}") for c in ("root", "own", "size_d", "size_e", *words)))
+    held = cut(few(held, open_, nodes).mapInArrow(sketches, f"node long, at long, own boolean, size_d int, size_e int, {', '.join(f'{w} long' for w in words)}"), "edit-sketches")
+    entries = cut(open_.withColumn("at", F.col("key").bitwiseAND((1 << LEVEL_BITS) - 1)).join(held, ["node", "at"]), "edit-entries", open_, held)
+    side = lambda rows, k, n, *key: rows.select(*key, F.col("node").alias(k), *(F.col(c).alias(f"{c}_{k}") for c in ("own", "size_d", "size_e", *(f"{w}{i}" for w in "de" for i in range(n)))))
     differ = lambda w: F.col(f"{w}_hi").bitwiseXOR(F.col(f"{w}_lo"))
     unlike = lambda d: F.bit_count(d.bitwiseOR(F.shiftrightunsigned(d, 1)).bitwiseOR(F.shiftrightunsigned(d, 2)).bitwiseOR(F.shiftrightunsigned(d, 3)).bitwiseAND(0x1111111111111111))
     share = CHANCE + threshold * (1 - CHANCE)
 
-    def fits(k):
-        most, least = F.greatest(f"size_{k}_hi", f"size_{k}_lo"), F.least(f"size_{k}_hi", f"size_{k}_lo")
-        return (least >= share * most - 1e-6) & (sum((unlike(differ(f"{k}{i}")) for i in range(SKETCH)), F.lit(0)) <= (1 - share) * most + 1e-6)
+    def fitting(pairs, n):
+        """Those whose sizes and first n words leave the threshold open."""
 
-    pairs = side("hi").join(side("lo"), "key").where("hi > lo AND root_hi <> root_lo").where(F.when(F.col("own_hi") | F.col("own_lo"), fits("d")).otherwise(fits("e")))
-    found = cut(pairs.select("hi", "lo").distinct(), "edit-apart-pairs")
-    release(held, entries)
+        def fits(k):
+            most, least = F.greatest(f"size_{k}_hi", f"size_{k}_lo"), F.least(f"size_{k}_hi", f"size_{k}_lo")
+            return (least >= share * most - 1e-6) & (sum((unlike(differ(f"{k}{i}")) for i in range(n)), F.lit(0)) <= (1 - share) * most + 1e-6)
+
+        return pairs.where(F.when(F.col("own_hi") | F.col("own_lo"), fits("d")).otherwise(fits("e")))
+
+    # a test of all words for each pair is more code than the JVM compiles, so a few words come first, and all of them for what is left
+    lists = [side(entries, k, QUICK, "key", "at", F.col("root").alias(f"root_{k}")) for k in ("hi", "lo")]
+    near = fitting(lists[0].join(lists[1].drop("at"), "key").where("hi > lo AND root_hi <> root_lo"), QUICK)
+    near = cut(near.select("hi", "lo", "at").distinct(), "edit-near", entries)
+    pairs = fitting(near.join(side(held, "hi", SKETCH, "at"), ["hi", "at"]).join(side(held, "lo", SKETCH, "at"), ["lo", "at"]), SKETCH)
+    found = cut(pairs.select("hi", "lo").distinct(), "edit-apart-pairs", near)
+    release(held, entries, near)
     return found
 
 
@@ -334,15 +343,15 @@ def links(nodes: DataFrame, threshold: float = LIKE) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(flat), part.column("node").take(pa.array(owner))], names=["key", "node"])
 
     listed = cut(nodes.select("node", "fingerprint").mapInArrow(keyed, "key long, node long"), "edit-bands")
-    centre = cut(listed.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("top")).where("lo < top").select("key", "lo"), "edit-centres")
-    held = cut(listed.join(centre, "key"), "edit-lists")
-    first = cut(_alike(held.where("node > lo").select(F.col("node").alias("hi"), "lo").distinct(), nodes, threshold), "edit-stars")
-    label = cut(components(first), "edit-label")
-    placed = cut(held.select("key", "node").join(label, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root")), "edit-placed")
-    split = cut(placed.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("key"), "edit-apart")
-    open_ = cut(placed.join(split, "key", "left_semi"), "edit-open")
+    centre = cut(listed.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("top")).where("lo < top").select("key", "lo"), "edit-centres", listed)
+    held = cut(listed.join(centre, "key"), "edit-lists", listed)
+    first = cut(_alike(held.where("node > lo").select(F.col("node").alias("hi"), "lo").distinct(), nodes, threshold, held), "edit-stars")
+    label = cut(components(first, first), "edit-label", first)
+    placed = cut(held.select("key", "node").join(label, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root")), "edit-placed", held, label)
+    split = cut(placed.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("key"), "edit-apart", placed)
+    open_ = cut(placed.join(split, "key", "left_semi"), "edit-open", placed)
     rest = apart(open_, nodes, threshold)
-    found = cut(first.unionByName(_alike(rest, nodes, threshold)), "edit-links")
+    found = cut(first.unionByName(_alike(rest, nodes, threshold, rest)), "edit-links")
     release(listed, centre, held, first, label, placed, split, open_, rest)
     return found
 
@@ -350,10 +359,10 @@ def links(nodes: DataFrame, threshold: float = LIKE) -> DataFrame:
 def classes(printed: DataFrame, threshold: float = LIKE) -> DataFrame:
     """printed (doc_id, fingerprint and more) with class_id: the smallest doc_id that verified links lead to, its own included."""
     nodes = printed.groupBy("fingerprint").agg(F.min("doc_id").alias("least")).withColumn("node", F.monotonically_increasing_id())
-    nodes = cut(nodes, "edit-nodes")
+    nodes = cut(nodes, "edit-nodes", printed)
     found = links(nodes, threshold)
-    label = cut(components(found), "edit-label")
+    label = cut(components(found, found), "edit-label", found)
     rooted = nodes.join(label, "node", "left").select("fingerprint", "least", F.coalesce("root", "node").alias("root"))
-    named = cut(rooted.join(rooted.groupBy("root").agg(F.min("least").alias("class_id")), "root").select("fingerprint", "class_id"), "edit-classes")
+    named = cut(rooted.join(rooted.groupBy("root").agg(F.min("least").alias("class_id")), "root").select("fingerprint", "class_id"), "edit-classes", nodes)
     release(nodes, found, label)
-    return printed.join(named, "fingerprint")
+    return few(printed.join(named, "fingerprint"), printed)

@@ -49,9 +49,25 @@ def _collected(spark: SparkSession) -> None:
         spark.sparkContext._jvm.System.gc()
 
 
-def cut(df: DataFrame, label: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it back: lineage ends there and lost executors cost nothing."""
+#: Bytes on disk of the written tables that a result is made from, for each task that writes it.
+WRITE_BYTES = 1 << 20
+
+
+def few(df: DataFrame, *like: DataFrame) -> DataFrame:
+    """df, of about the size of the tables of `cut` that it is made from, dealt to as many tasks as their bytes ask for, one for each core at least.
+
+    A session may have hundreds of parts for a shuffle, and a small table's files cost far more than its rows. Where the parts
+    are not four times as many as needed, or the tables' bytes are not known, df stays as it is."""
+    if not all(getattr(x, "written_to", None) for x in like):
+        return df
+    n = max(df.sparkSession.sparkContext.defaultParallelism, math.ceil(sum(map(written_bytes, like)) / WRITE_BYTES))
+    return df.repartition(n) if 4 * n <= shuffle_parts(df.sparkSession) else df
+
+
+def cut(df: DataFrame, label: str, *like: DataFrame) -> DataFrame:
+    """Write df as a table in the shared folder and read it back: lineage ends there and lost executors cost nothing. like: see `few`."""
     spark, path = df.sparkSession, new_dir(df.sparkSession, label)
+    df = few(df, *like) if like else df
     df.write.option("compression", "zstd").parquet(path)
     found = spark.read.schema(df.schema).parquet(path)
     found.written_to, found.table_name = path, None
