@@ -92,11 +92,13 @@ def profile_checks(stocks: DataFrame, checks: DataFrame, now, days: int = 7) ->
 def insert_disclosures(incoming: DataFrame, stored: DataFrame) -> DataFrame:
     """notification_id, outcome, version_no: of an id that is stored, or repeated in the batch, only the first is written.
 
-    A revision's version follows that of its stored predecessor; without one it is 1."""
+    A revision's version follows that of its stored predecessor; without one it is 1. Only filings that name a predecessor are
+    dealt out by it: the others, which are most, would all meet in one task as nulls."""
     once = incoming.withColumn("rn", F.row_number().over(Window.partitionBy("notification_id").orderBy("seq")))
     known = stored.select("notification_id", F.lit(True).alias("there"))
     before = stored.select(F.col("notification_id").alias("previous_notification_id"), F.col("version_no").alias("before"))
-    rows = once.join(known, "notification_id", "left").join(before, "previous_notification_id", "left")
+    rows, names = once.join(known, "notification_id", "left"), F.col("previous_notification_id").isNotNull()
+    rows = rows.where(names).join(before, "previous_notification_id", "left").unionByName(rows.where(~names).withColumn("before", F.lit(None).cast(before.schema["before"].dataType)))
     outcome = F.when(F.col("there") | (F.col("rn") > 1), "duplicate").when(F.col("previous_notification_id").isNotNull(), "revision_chain").otherwise("inserted")
     return rows.select("notification_id", "seq", outcome.alias("outcome"), F.when(outcome != "duplicate", F.coalesce(F.col("before") + 1, F.lit(1))).alias("version_no"))
 
