@@ -315,7 +315,7 @@ def apart(open_: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
 
         return pairs.where(F.when(F.col("own_hi") | F.col("own_lo"), fits("d")).otherwise(fits("e")))
 
-    # a test of all words for each pair is more code than the JVM compiles, so a few words come first, and all of them for what is left
+    # a few words come first, and all of them for what is left: a test of all words for each pair was slow
     lists = [side(entries, k, QUICK, "key", "at", F.col("root").alias(f"root_{k}")) for k in ("hi", "lo")]
     near = fitting(lists[0].join(lists[1].drop("at"), "key").where("hi > lo AND root_hi <> root_lo"), QUICK)
     near = cut(near.select("hi", "lo", "at").distinct(), "edit-near", entries)
