@@ -21,13 +21,13 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graph import components
@@ -39,8 +39,8 @@ PERIOD, SAMPLES, CHANCE, CHUNK_CHARS = 4096, 256, 0.125, 4_000_000
 FEW = 48
 #: Bands of a level; their digits, for fingerprints of at least and of less than so many digits; likeness of near copies.
 BANDS, BAND_DIGITS, LIKE = 20, ((4, 1, 80), (9, 64, 1 << 30)), 0.8
-#: Longs of a sketch, and those that are looked at first; bits of a band's key that hold its level.
-SKETCH, QUICK, LEVEL_BITS = 20, 4, 6
+#: Longs of a sketch, those that hold 64 digits, a bit of each in every long; bits of a band's key that hold its level.
+SKETCH, PLANES, LEVEL_BITS = 20, 4, 6
 SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, edited_bands int, next_bands int"
 EDGE = f"{SCHEMA}, place int, last_text string, first_text string"
 
@@ -175,10 +175,10 @@ def bands(fingerprint: str) -> list[int]:
 
 
 def sketch(got: np.ndarray) -> np.ndarray:
-    """The first 16 * SKETCH digits, packed: what is missing counts as 0."""
+    """The first 16 * SKETCH digits: of each 64 the first bits in one long, the second ones in the next, and so on; what is missing counts as 0."""
     values = np.where(got > 57, got - 87, got - 48).astype(np.uint8)[: 16 * SKETCH]
     values = np.concatenate([values, np.zeros(16 * SKETCH - len(values), np.uint8)])
-    return (values[::2] << 4 | values[1::2]).view(np.int64)
+    return np.packbits(values.reshape(-1, 1, 64) >> np.arange(PLANES, dtype=np.uint8)[:, None] & 1, axis=-1).view(np.int64).ravel()
 
 
 def prints(rows: list[tuple]) -> list[dict]:
@@ -301,27 +301,20 @@ def apart(open_: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
     held = nodes.join(open_.select("node").distinct(), "node", "left_semi").select("node", "fingerprint")
     held = cut(few(held, open_, nodes).mapInArrow(sketches, f"node long, at long, own boolean, size_d int, size_e int, {', '.join(f'{w} long' for w in words)}"), "edit-sketches")
     entries = cut(open_.withColumn("at", F.col("key").bitwiseAND((1 << LEVEL_BITS) - 1)).join(held, ["node", "at"]), "edit-entries", open_, held)
-    side = lambda rows, k, n, *key: rows.select(*key, F.col("node").alias(k), *(F.col(c).alias(f"{c}_{k}") for c in ("own", "size_d", "size_e", *(f"{w}{i}" for w in "de" for i in range(n)))))
+    # one shuffle serves both sides, as they have the same columns
+    side = lambda k: entries.select("key", F.col("node").alias(k), *(F.col(c).alias(f"{c}_{k}") for c in ("root", "own", "size_d", "size_e", *words)))
     differ = lambda w: F.col(f"{w}_hi").bitwiseXOR(F.col(f"{w}_lo"))
-    unlike = lambda d: F.bit_count(d.bitwiseOR(F.shiftrightunsigned(d, 1)).bitwiseOR(F.shiftrightunsigned(d, 2)).bitwiseOR(F.shiftrightunsigned(d, 3)).bitwiseAND(0x1111111111111111))
+    # 64 digits at a time: a test of digits one after the other in a long is more code than the JVM compiles
+    unlike = lambda k: sum((F.bit_count(reduce(Column.bitwiseOR, (differ(f"{k}{i + plane}") for plane in range(PLANES)))) for i in range(0, SKETCH, PLANES)), F.lit(0))
     share = CHANCE + threshold * (1 - CHANCE)
 
-    def fitting(pairs, n):
-        """Those whose sizes and first n words leave the threshold open."""
+    def fits(k):
+        most, least = F.greatest(f"size_{k}_hi", f"size_{k}_lo"), F.least(f"size_{k}_hi", f"size_{k}_lo")
+        return (least >= share * most - 1e-6) & (unlike(k) <= (1 - share) * most + 1e-6)
 
-        def fits(k):
-            most, least = F.greatest(f"size_{k}_hi", f"size_{k}_lo"), F.least(f"size_{k}_hi", f"size_{k}_lo")
-            return (least >= share * most - 1e-6) & (sum((unlike(differ(f"{k}{i}")) for i in range(n)), F.lit(0)) <= (1 - share) * most + 1e-6)
-
-        return pairs.where(F.when(F.col("own_hi") | F.col("own_lo"), fits("d")).otherwise(fits("e")))
-
-    # a few words come first, and all of them for what is left: a test of all words for each pair was slow
-    lists = [side(entries, k, QUICK, "key", "at", F.col("root").alias(f"root_{k}")) for k in ("hi", "lo")]
-    near = fitting(lists[0].join(lists[1].drop("at"), "key").where("hi > lo AND root_hi <> root_lo"), QUICK)
-    near = cut(near.select("hi", "lo", "at").distinct(), "edit-near", entries)
-    pairs = fitting(near.join(side(held, "hi", SKETCH, "at"), ["hi", "at"]).join(side(held, "lo", SKETCH, "at"), ["lo", "at"]), SKETCH)
-    found = cut(pairs.select("hi", "lo").distinct(), "edit-apart-pairs", near)
-    release(held, entries, near)
+    pairs = side("hi").join(side("lo"), "key").where("hi > lo AND root_hi <> root_lo").where(F.when(F.col("own_hi") | F.col("own_lo"), fits("d")).otherwise(fits("e")))
+    found = cut(pairs.select("hi", "lo").distinct(), "edit-apart-pairs", entries)
+    release(held, entries)
     return found
 
 

@@ -121,3 +121,33 @@ def test_unlike_members_of_a_list_are_not_paired(spark):
     assert len(like) > 40 and like <= met(2)
     rows = met(1)
     assert like & below <= rows <= below and len(rows - like) < len(below) / 20
+
+
+def test_late_differences_leave_no_pairs(spark, monkeypatch):
+    """Texts of one head and different tails, all in one list: no table of pairs has more than those that the threshold leaves open."""
+    head = words(1, 26)
+    prints = sorted({r["fingerprint"] for r in E.prints([(k, f"{head} {words(50 + k, 12)}", None) for k in range(60)])})
+    nodes = spark.createDataFrame(list(enumerate(prints)), "node long, fingerprint string")
+    level = int(prints[0][:2])
+    listed = spark.createDataFrame([(64 + level, k, k) for k, f in enumerate(prints) if int(f[:2]) == level], "key long, node long, root long")
+    made, cut = [], E.cut
+
+    def counted(df, *rest):
+        found = cut(df, *rest)
+        if "hi" in found.columns:
+            made.append(found.count())
+        return found
+
+    monkeypatch.setattr(E, "cut", counted)
+    got = {(r.hi, r.lo) for r in E.apart(listed, nodes, E.LIKE).collect()}
+    pairs = [(i, j) for i in range(len(prints)) for j in range(i) if int(prints[i][:2]) == int(prints[j][:2]) == level]
+    assert {p for p in pairs if E.likeness(prints[p[0]], prints[p[1]]) >= E.LIKE} <= got
+    assert len(pairs) > 500 and max(made) < len(pairs) / 20
+
+
+@pytest.mark.parametrize("n", [1, 63, 64, 65, 319, 320, 400])
+def test_sketches_count_unlike_digits(n):
+    rng = np.random.default_rng(n)
+    a, b = (np.frombuffer("".join(f"{d:x}" for d in rng.integers(0, 16, n)).encode(), np.uint8) for _ in range(2))
+    apart = (E.sketch(a) ^ E.sketch(b)).reshape(-1, E.PLANES)
+    assert sum((int(x) & (1 << 64) - 1).bit_count() for x in np.bitwise_or.reduce(apart, axis=1)) == (a[:320] != b[:320]).sum()
