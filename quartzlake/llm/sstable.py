@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import tokens
-from .shared import cut, new_dir
+from .shared import cut, new_dir, tidy
 
 MAGIC, FOOTER = b"QZSST\x01\x00\x00", struct.Struct("<7Q8s")
 #: Bytes of entries in a block, bytes of blocks in a shard, bits for a key in the Bloom filter, its hashes.
@@ -170,6 +170,7 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     """Encode every text, append end_id, write the shards; return a written table of them, `ids_before` included."""
     root = new_dir(docs.sparkSession, "sstable")
 
+    @tidy  # the words stay for the worker's next task, as encoding them is most of the work; only the reading of the shards comes after
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, place = tokens.encoder(tokenizer).encode, TaskContext.get().partitionId()
         store, at = pafs.FileSystem.from_uri(root)
@@ -191,7 +192,6 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
                     writer, shards = None, shards + 1
         if writer:
             finish()
-        tokens.forget(tokenizer)
         if done:
             yield pa.RecordBatch.from_pylist(done)
 

@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 
 from .shared import free_memory
 
-#: Words that a worker remembers (about 200 bytes each); when they are so many, it starts anew.
+#: Words that a worker remembers (about 200 bytes each); when they are so many, it keeps those of the texts at hand only.
 MEMORY_WORDS = 500_000
 #: Bytes of text that are encoded together, and words in one call of the library.
 BATCH_BYTES, CALL_WORDS = 16 << 20, 1000
@@ -59,8 +59,7 @@ class TextEncoder:
         """Ids of distinct words; one that starts with a line feed has none before it, the others have a space."""
         fresh = [w for w in words if w not in self.memory]
         if len(self.memory) + len(fresh) > MEMORY_WORDS:
-            self.memory.clear()
-            fresh = words
+            self.memory = {w: self.memory[w] for w in words if w in self.memory}
         feed = self.feed.tobytes()
         for at in range(0, len(fresh), CALL_WORDS):
             some = fresh[at : at + CALL_WORDS]

@@ -108,3 +108,17 @@ def test_limits(segments, loss):
     for doc_id, start, length, _, total, sequence, _ in rows:
         borne[sequence] += max(0, start + length - max(start, total // 2))
     assert max(borne.values()) <= loss
+
+
+def test_a_full_memory_keeps_the_words_at_hand(monkeypatch):
+    """Over its bound, the encoder gives only words to the library that it has not met; ids are those of whole texts."""
+    monkeypatch.setattr(tokens, "MEMORY_WORDS", 60)
+    own, asked = tokens.TextEncoder(PATH), []
+    plain = own._words
+    monkeypatch.setattr(own, "_words", lambda words: asked.extend(words) or plain(words))
+    texts = [" ".join(f"w{k}" for k in range(at, at + 50)) for at in (0, 20, 40, 60)]
+    for n, text in enumerate(texts):
+        before = len(asked)
+        (ids,) = own.encode(pa.array([text]))
+        assert ids.tolist() == own.whole(text).tolist()
+        assert len(own.memory) <= 60 and (n == 0 or len(asked) - before <= 22)  # 20 more, and the first word as one after a line feed
