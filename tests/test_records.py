@@ -247,3 +247,12 @@ def test_bodies_of_a_group_with_like_texts_are_not_compared(spark):
     known = spark.createDataFrame([(2, 1, "DUPLICATE_TEXT"), (3, 1, "DUPLICATE_EVENT_TIME")], "hi long, lo long, reason string")
     pairs = spark.createDataFrame([("t", "t", True, True)], "a string, b string, ab boolean, ba boolean")
     assert {(r.hi, r.lo) for r in dedupe.body_links(rows, pairs, known).collect()} == {(4, 1), (4, 3)}
+
+
+def test_tokens_of_one_news_are_not_paired(spark):
+    """Only tokens that several news of a stock have are paired; the links of one event are those of all pairs of tokens."""
+    rows = [(1, 0, 7, ["aaaa", "bbbb", "only", "here"]), (2, 5, 7, ["aaaa", "bbbb", "cccc"]), (3, 400, 7, ["aaaa", "cccc"]), (4, 5, 8, ["aaaa", "bbbb"]), (5, None, 7, ["only", "here"]), (6, 9, None, ["aaaa", "bbbb"]), (7, 6, None, ["aaaa", "bbbb"])]
+    pairs, _ = dedupe.token_pairs(spark.createDataFrame(rows, "news_id long, at long, stock_id long, keys array<string>"))
+    got = sorted((r.news_id, r.at) for r in pairs.collect())
+    assert got == [(1, 0), (2, 5), (2, 5), (2, 5), (3, 400)]
+    assert [(r.hi, r.lo) for r in dedupe._in_window(pairs, ["x", "y"], 360, "R").collect()] == [(2, 1)]
