@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import ctypes
 import functools
 import gc
@@ -64,6 +65,21 @@ def few(df: DataFrame, *like: DataFrame) -> DataFrame:
     return df.repartition(n) if 4 * n <= shuffle_parts(df.sparkSession) else df
 
 
+#: Tables made within each `passing` that is open.
+_MADE: list[list[DataFrame]] = []
+
+
+@contextlib.contextmanager
+def passing() -> Iterator[list[DataFrame]]:
+    """Tables of `cut` and `bucketed` that are made meanwhile go at the end, but for those that are taken off the list."""
+    _MADE.append(made := [])
+    try:
+        yield made
+    finally:
+        _MADE.pop()
+        release(*made)
+
+
 def cut(df: DataFrame, label: str, *like: DataFrame) -> DataFrame:
     """Write df as a table in the shared folder and read it back: lineage ends there and lost executors cost nothing. like: see `few`."""
     spark, path = df.sparkSession, new_dir(df.sparkSession, label)
@@ -71,17 +87,54 @@ def cut(df: DataFrame, label: str, *like: DataFrame) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     found = spark.read.schema(df.schema).parquet(path)
     found.written_to, found.table_name = path, None
+    for made in _MADE[-1:]:
+        made.append(found)
     _collected(spark)
     return found
 
 
-def bucketed(df: DataFrame, key: str, label: str, parts: int) -> DataFrame:
-    """`cut`, dealt into buckets by a key, so that later joins on the key do not shuffle this table again."""
+#: Text that is dealt into buckets at a time, and the most times that a table is read for it.
+ROUND_BYTES, MOST_ROUNDS = 64 << 20, 8
+
+
+def dealing_rounds(size: int) -> int:
+    """In how many rounds `bucketed` deals a table of so many bytes, so that a share of them is in shuffle files at a time."""
+    return min(MOST_ROUNDS, max(1, math.ceil(size / ROUND_BYTES)))
+
+
+def numbered(text, rounds: int):
+    """A number for each row, in the order of the rows, whose remainder by `rounds` is the text's, whenever it is computed."""
+    return F.monotonically_increasing_id() * rounds + F.pmod(F.xxhash64(text), F.lit(rounds))
+
+
+def cut_by(key: str, size: int, make: Callable[[DataFrame], DataFrame], df: DataFrame, label: str) -> DataFrame:
+    """`cut` of make(df), of which each row comes from rows of one key: one share of the keys after another, as a shuffle of about `size` bytes asks for."""
+    spark, path, rounds = df.sparkSession, new_dir(df.sparkSession, label), dealing_rounds(size)
+    for k in range(rounds):
+        some = make(df if rounds == 1 else df.where(F.pmod(F.xxhash64(F.lit(label), key), F.lit(rounds)) == k))
+        some.write.mode("append").option("compression", "zstd").parquet(path)
+        _collected(spark)
+    found = spark.read.schema(some.schema).parquet(path)
+    found.written_to, found.table_name = path, None
+    for made in _MADE[-1:]:
+        made.append(found)
+    return found
+
+
+def bucketed(df: DataFrame, key: str, label: str, parts: int, rounds: int = 1) -> DataFrame:
+    """`cut`, dealt into buckets by a key, so that later joins on the key do not shuffle this table again.
+
+    With more than one round, which needs a key of `numbered`, each round deals the rows of one remainder and its shuffle files go before the next."""
     spark, path, name = df.sparkSession, new_dir(df.sparkSession, label), f"{label.replace('-', '_')}_{uuid.uuid4().hex}"
-    df.repartition(parts, key).write.bucketBy(parts, key).option("compression", "zstd").option("path", path).format("parquet").saveAsTable(name)
+    for k in range(rounds):
+        some = df if rounds == 1 else df.where(F.pmod(key, F.lit(rounds)) == k)
+        to = some.repartition(parts, key).write.bucketBy(parts, key).option("compression", "zstd").format("parquet")
+        (to.mode("append") if k else to.option("path", path)).saveAsTable(name)
+        _collected(spark)
     found = spark.table(name)
     found.written_to, found.table_name = path, name
-    _collected(spark)
+    for made in _MADE[-1:]:
+        made.append(found)
     return found
 
 

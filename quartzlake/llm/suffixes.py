@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import bucketed, cut, portions, release, shuffle_parts, tidy
+from .shared import bucketed, cut, dealing_rounds, numbered, portions, release, shuffle_parts, tidy
 
 LENGTH, KMER = 200, 40
 #: Least number of batches, and bytes of text in one; more text makes more batches.
@@ -321,12 +321,13 @@ def remove_repeats(
     With characters, kept is without the characters that were cut in two; the other columns are by bytes all the same."""
     text, doc_id = F.coalesce(F.col("text").cast("string"), F.lit("")), F.col("doc_id").cast("long")
     size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    rounds = dealing_rounds(size)
     rows = docs.select(
-        F.monotonically_increasing_id().alias("row"), F.coalesce(doc_id, F.lit((1 << 63) - 1)).alias("id") if keep_first else F.lit(0).cast("long").alias("id"),
+        numbered(text, rounds).alias("row"), F.coalesce(doc_id, F.lit((1 << 63) - 1)).alias("id") if keep_first else F.lit(0).cast("long").alias("id"),
         doc_id.alias("own_id"), text.alias("text"), (F.struct(*carry) if carry else F.lit(0)).alias("carry"),
     )
     schema = T.StructType.fromDDL(RESULT).add(rows.schema["carry"])
-    rows = bucketed(rows, "row", "suffix-texts", shuffle_parts(docs.sparkSession, size))
+    rows = bucketed(rows, "row", "suffix-texts", shuffle_parts(docs.sparkSession, size), rounds)
     found = spans(rows.where(F.octet_length("text") >= length).select("row", "id", "text"), length, kmer, batches or max(BATCHES, math.ceil(size / BATCH_BYTES)), keep_first)
 
     @tidy

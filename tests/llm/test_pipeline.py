@@ -1,8 +1,11 @@
 import random
+from pathlib import Path
 
 import corpus_pipeline as pipeline
 import pytest
 
+from quartzlake.llm import shared
+
 STEMS = {"en": ["river", "stone", "house", "green", "walk"], "de": ["schtur", "pfeng", "lichz", "gerüb", "kömpf"]}
 
 
@@ -43,6 +46,15 @@ def test_stages(spark, sf_dir):
     assert {r.doc_id for r in packed} == set(after)
 
 
+def test_run_keeps_the_last_table_only(spark, sf_dir):
+    """What the stages write goes when the stage after it has been written."""
+    top = Path(shared.shared_dir(spark).removeprefix("file://"))
+    before = set(top.iterdir())
+    assert pipeline.run(spark, sf_dir).count() > 0
+    left = {p.name.rsplit("-", 1)[0] for p in set(top.iterdir()) - before}
+    assert left == {"stage-repeats"}
+
+
 def test_near_copy_with_changed_words_goes(spark):
     """A copy with two words of 150 changed: fingerprints of three-word shingles may be many bits apart."""
     rows = []

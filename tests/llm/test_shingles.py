@@ -1,6 +1,6 @@
 import random
 
-from quartzlake.llm import shingles
+from quartzlake.llm import shared, shingles
 
 
 def words(seed, n):
@@ -86,3 +86,28 @@ def test_a_group_far_from_its_first_member_makes_no_square(spark, monkeypatch):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted(r.doc_id for r in shingles.one_of_each(docs).collect()) == sorted(i for i, _ in brute(rows))
     assert max(n for n, label in made if label in ("shingle-pairs", "shingle-near")) < 6000
+
+
+def test_long_texts_with_a_common_passage_are_not_compared(spark, monkeypatch):
+    """Texts too long for the signature that share a passage: prefixes have some shingles in common, far fewer than similar texts."""
+    passage, made, cut = words(4, 30), [], shingles.cut
+    rows = [(k, " ".join(words(2000 + k, 900) + passage + words(3000 + k, 600))) for k in range(60)]
+    rows.append((60, rows[59][1].replace(" ", " changed ", 1)))
+
+    def counted(df, label):
+        found = cut(df, label)
+        made.append((found.count(), label))
+        return found
+
+    monkeypatch.setattr(shingles, "cut", counted)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in shingles.one_of_each(docs).collect()) == list(range(60))
+    assert [n for n, label in made if label == "shingle-near"][-1] == 0  # the turn of all pairs
+
+
+def test_rounds_change_nothing(spark, monkeypatch):
+    monkeypatch.setattr(shared, "ROUND_BYTES", 1 << 12)
+    rows = corpus()
+    assert shared.dealing_rounds(sum(len(t or "") for _, t in rows)) == shared.MOST_ROUNDS
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted(r.doc_id for r in shingles.one_of_each(docs).collect()) == sorted(i for i, _ in brute(rows))
