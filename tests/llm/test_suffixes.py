@@ -4,7 +4,7 @@ from collections import Counter
 
 import pytest
 
-from quartzlake.llm import suffixes
+from quartzlake.llm import shared, suffixes
 
 
 def first_kept(rows, length):
@@ -108,3 +108,11 @@ def test_levels_merge_geometrically(spark):
 
 def test_empty_table(spark):
     assert suffixes.remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_rounds_change_nothing(spark, monkeypatch):
+    monkeypatch.setattr(shared, "ROUND_BYTES", 1 << 10)
+    rows = [(i, t) for i, t in corpus() if i != 6]
+    docs = spark.createDataFrame(random.Random(6).sample(rows, len(rows)), "doc_id long, text string").repartition(3)
+    got = suffixes.remove_repeats(docs, 50, 11, keep_first=True)
+    assert sorted(str((r.doc_id, bytes(r.kept))) for r in got.collect()) == first_kept(rows, 50)
